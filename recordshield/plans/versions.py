@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,7 +76,3 @@ class VersionedTable:
         for r in runs:
             frames.append(self.spark.read.parquet(f"{self.path}/closed/run={r}").withColumn("active_flag", F.lit("N")))
         return union_all(frames)
-
-
-def key_columns(table: VersionedTable) -> Sequence[str]:
-    return table.keys

@@ -10,7 +10,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.rules import output_type
 from ..spec import TableSpec
@@ -100,7 +99,7 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_keys(raw: DataFrame) -> DataFrame:
-    parts = F.filter(F.transform(F.split("primary_key", r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("primary_key", r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     return raw.select(F.trim("table_name").alias("table_name"), parts.alias("key_columns")).where(F.size("key_columns") > 0)
 
 
@@ -134,11 +133,9 @@ def without_range(df: DataFrame, id_column: str, low: int, high: int) -> DataFra
     return df.where(~F.coalesce(inside, F.lit(False)))
 
 
-def match_tables(spark: SparkSession, requested: Sequence[str], existing: Sequence[str]) -> DataFrame:
-    """Requested tables against existing ones, any case: (requested, found_name, found)."""
-    asked = spark.createDataFrame([(r,) for r in requested], "requested string")
-    there = spark.createDataFrame([(e,) for e in existing], "found_name string")
-    joined = asked.join(there, F.upper("requested") == F.upper("found_name"), "left")
+def match_tables(requested: DataFrame, existing: DataFrame) -> DataFrame:
+    """Requested table names against existing ones, any case: (requested, found_name, found)."""
+    joined = requested.join(existing, F.upper("requested") == F.upper("found_name"), "left")
     return joined.withColumn("found", F.col("found_name").isNotNull())
 
 
@@ -182,7 +179,3 @@ def image_inventory(headers: DataFrame, levels: dict[str, Sequence[str]], path:
         F.sum("files").alias("files"),
         F.min("first_path").alias("first_path"),
     )
-
-
-def simple_schema(df: DataFrame) -> T.StructType:
-    return df.schema
