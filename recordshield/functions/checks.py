@@ -13,13 +13,16 @@ from .clean import as_col
 
 # --- is a masked value what its rule should have made of it? (after, before, parameters) -> boolean, never null --------
 
-Check = Callable[..., Column]
-CHECKS: dict[str, tuple[int, Check]] = {}
+# a check gives {reason code: the value is right}; it passes when all of them hold
+Check = Callable[..., dict[int, Column]]
+CHECKS: dict[str, Check] = {}
 
 
-def register_check(rule: str, reason: int) -> Callable[[Check], Check]:
+def register_check(rule: str) -> Callable[[Check], Check]:
+    """Add a check of your own for the columns of a rule."""
+
     def add(check: Check) -> Check:
-        CHECKS[rule] = (reason, check)
+        CHECKS[rule] = check
         return check
 
     return add
@@ -29,54 +32,61 @@ def sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-@register_check("ZIP_CODE", 8)
-def zip_masked(after: Column, before: Column | None = None, **_) -> Column:
+@register_check("ZIP_CODE")
+def zip_masked(after: Column, before: Column | None = None, **_) -> dict[int, Column]:
     text = F.trim(after.cast("string"))
-    return sure(text.isNull() | F.lower(text).isin("none", "null", "nan") | (F.length(text) <= 3))
+    return {8: sure(text.isNull() | F.lower(text).isin("none", "null", "nan") | (F.length(text) <= 3))}
 
 
-@register_check("DOB", 6)
-def dob_masked(after: Column, before: Column | None = None, **_) -> Column:
+@register_check("DOB")
+def dob_masked(after: Column, before: Column | None = None, **_) -> dict[int, Column]:
     text = F.trim(after.cast("string"))
-    return sure(text.isNull() | (text == "") | text.rlike(r"^\d{4}$"))
+    return {6: sure(text.isNull() | (text == "") | text.rlike(r"^\d{4}$"))}
 
 
-@register_check("STATIC_OFFSET", 4)
-def static_shifted(after: Column, before: Column, days: int = P.DEFAULT_STATIC_OFFSET, **_) -> Column:
-    return sure(F.datediff(after, before) == F.lit(days))
+@register_check("STATIC_OFFSET")
+def static_shifted(after: Column, before: Column, days: int = P.DEFAULT_STATIC_OFFSET, **_) -> dict[int, Column]:
+    return {4: sure(F.datediff(after, before) == F.lit(days))}
 
 
-@register_check("MASK", 5)
-def masked(after: Column, before: Column | None = None, mask: str = "", **_) -> Column:
-    return sure(after == F.lit(f"<<{mask}>>"))
+@register_check("MASK")
+def masked(after: Column, before: Column | None = None, mask: str = "", **_) -> dict[int, Column]:
+    return {5: sure(after == F.lit(f"<<{mask}>>"))}
 
 
-@register_check("DATE_OFFSET", 7)
-def patient_shifted(after: Column, before: Column, offset: Column | None = None, default: int = P.DEFAULT_STATIC_OFFSET, **_) -> Column:
+@register_check("DATE_OFFSET")
+def patient_shifted(
+    after: Column, before: Column, offset: Column | None = None, default: int = P.DEFAULT_STATIC_OFFSET, **_
+) -> dict[int, Column]:
     days = F.coalesce(offset, F.lit(default)) if offset is not None else F.lit(default)
-    return sure(F.datediff(after, before) == days) | (after.isNull() & before.isNull())
+    return {7: sure(F.datediff(after, before) == days)}
 
 
-def _id_shape(after: Column, length: int | None, prefix: str | None) -> Column:
+def _id_shape(after: Column, length: int | None, prefix: str | None) -> dict[int, Column]:
     text = after.cast("string")
-    good = F.lit(True)
-    if length is not None:
-        good = good & (F.length(text) == length)
-    if prefix is not None:
-        good = good & text.startswith(prefix)
-    return sure(good | text.isNull())
+    return {
+        2: sure(F.length(text) == length) if length else F.lit(True),
+        3: sure(text.startswith(prefix)) if prefix else F.lit(True),
+    }
 
 
-@register_check("PATIENT_ID", 2)
-def patient_id_shape(after: Column, before: Column | None = None, length: int | None = None, prefix: str | None = None, **_) -> Column:
+@register_check("PATIENT_ID")
+def patient_id_shape(after: Column, before: Column | None = None, length: int | None = None, prefix: str | None = None, **_):
     return _id_shape(after, length, prefix)
 
 
-@register_check("ENCOUNTER_ID", 2)
-def encounter_id_shape(after: Column, before: Column | None = None, length: int | None = None, prefix: str | None = None, **_) -> Column:
+@register_check("ENCOUNTER_ID")
+def encounter_id_shape(after: Column, before: Column | None = None, length: int | None = None, prefix: str | None = None, **_):
     return _id_shape(after, length, prefix)
 
 
+def all_hold(parts: dict[int, Column]) -> Column:
+    out = F.lit(True)
+    for part in parts.values():
+        out = out & part
+    return out
+
+
 # --- validity of source values: true means the value is bad -----------------------------------------------------------
 
 

@@ -36,7 +36,7 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def near_terms(threshold: float):
-    """(runs of words, wanted terms) -> the runs that are nearly a term, with its mask."""
+    """(runs of words, wanted terms) -> the runs that are nearly a term, with its mask and the place of the run."""
 
     def near(grams: pd.Series, terms: pd.Series) -> pd.Series:
         out = []
@@ -46,9 +46,9 @@ def near_terms(threshold: float):
                 value = term["value"].lower()
                 # a ratio of t needs lengths within t / (200 - t) of each other
                 low, high = len(value) * threshold / (200 - threshold), len(value) * (200 - threshold) / threshold
-                for gram in found if found is not None else ():
-                    if len(gram) >= 3 and low <= len(gram) <= high and indel_ratio(value, gram) >= threshold:
-                        hits.append({"value": gram, "mask": term["mask"]})
+                for place, gram in enumerate(found if found is not None else ()):
+                    if low <= len(gram) <= high and indel_ratio(value, gram) >= threshold:
+                        hits.append({"place": place, "value": gram, "mask": term["mask"]})
             out.append(hits)
         return pd.Series(out)
 

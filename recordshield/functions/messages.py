@@ -17,20 +17,17 @@ def hl7_segment(message: str | Column, segment: str) -> Column:
 
 def hl7_field(message: str | Column, segment: str, number: int) -> Column:
     """Field by its 1-based position, the segment name being field 1."""
-    return F.get(hl7_segment(message, segment), F.lit(number - 1))
+    return F.trim(F.get(hl7_segment(message, segment), F.lit(number - 1)))
 
 
 def hl7_person(message: str | Column) -> dict[str, Column]:
-    """Id (0 when it is missing, no number or too large for an INT), name and date of birth of the PID segment."""
-    fields = hl7_segment(message, "PID")
-    person = F.regexp_extract(F.get(fields, F.lit(3)), r"^\s*(\d+)", 1).try_cast("int")
-    born = F.regexp_extract(F.get(fields, F.lit(7)), r"^(\d{8})", 1)
+    """Id (0 when it is missing, no number or too large for an INT), first two name parts, date of birth of the PID segment."""
+    fields = F.split(F.nullif(F.regexp_extract(as_col(message), r"PID\|[^\r\n]*", 0), F.lit("")), r"\|")
+    person = F.regexp_extract(F.get(fields, F.lit(2)), r"^\s*([+-]?\d+)\s*$", 1).try_cast("int")
+    name = F.array_join(F.slice(F.split(F.get(fields, F.lit(5)), r"\^"), 1, 2), " ")
+    born = F.regexp_extract(F.get(fields, F.lit(7)), r"^(\d{8})$", 1)
     iso = F.regexp_replace(born, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    return {
-        "person_id": F.coalesce(person, F.lit(0)),
-        "name": F.get(fields, F.lit(5)),
-        "dob": iso.try_cast("date"),
-    }
+    return {"person_id": F.coalesce(person, F.lit(0)), "name": name, "dob": iso.try_cast("date")}
 
 
 def xml_value(text: str | Column, tag: str) -> Column:

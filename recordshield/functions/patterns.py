@@ -60,8 +60,10 @@ US_STATES = [
     "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
 ]
 
+# the look-ahead changes no match: it only ends hopeless tries early, before the nested runs are attempted
 ADDRESS = (
-    r"(?i)(?<number>\d+[A-Za-z]{0,3})[\s,]*(?<street>[A-Za-z0-9\s.,'-]+)[,\s]+(?<city>[A-Za-z\s]+?)[,\s]+"
+    r"(?i)(?<number>\d+[A-Za-z]{0,3})(?=[A-Za-z0-9\s.,'-]*?(?:" + "|".join(US_STATES) + r")[\s,]*\d{5})"
+    r"[\s,]*(?<street>[A-Za-z0-9\s.,'-]+)[,\s]+(?<city>[A-Za-z\s]+?)[,\s]+"
     r"(?<state>" + "|".join(US_STATES) + r")[\s,]*(?<zip>\d{3})\d{2}(?:-\d{4})?"
 )
 ADDRESS_MASK = r"((HouseNumber)) ((StreetName)), ((City)), ((State)) ${zip}"

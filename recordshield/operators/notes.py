@@ -13,7 +13,9 @@ from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
 from ..functions.text import mask_values
 
-TERMS = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("mask", T.StringType())]))
+HITS = T.ArrayType(
+    T.StructType([T.StructField("place", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("mask", T.StringType())])
+)
 
 
 def pii_terms(pii: DataFrame, masks: dict[str, str], patient: str = "sur_patient_id", least: int = 1) -> DataFrame:
@@ -133,11 +135,13 @@ def mask_near_values(
     threshold: float = 80.0,
     chunk: int = 200,
 ) -> DataFrame:
-    """Runs of one to three words that are nearly a value of the person (three letters or more) are masked.
+    """Exact values are masked first, then runs of one to three words that are nearly a value of the person (three letters
+    or more): single words before pairs before triples, each in the order of the text.
 
     A person's values are cut into chunks by hash; a note meets each chunk of its own person once. Only rows with a hit go
     on to the regrouping, and the text itself is masked by native expressions.
     """
+    notes = mask_patient_values(notes, note_id, text, terms, patient, chunk)
     usable = terms.where(F.length("value") >= 3)
     norm = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[‘’`]", "'"), "[–—]", "-"), r"\s+", " "))
     usable = usable.select(patient, norm.alias("value"), "mask")
@@ -148,11 +152,11 @@ def mask_near_values(
         .groupBy(patient, "__chunk")
         .agg(F.collect_list(F.struct("value", "mask")).alias("__terms"))
     )
-    near = F.pandas_udf(near_terms(threshold), TERMS)
+    near = F.pandas_udf(near_terms(threshold), HITS)
     grams = F.filter(_grams(F.col(text), 3), lambda g: F.length(g) >= 3)
     pairs = notes.select(note_id, patient, grams.alias("__grams")).join(bundles.drop("__chunk"), patient)
     hits = pairs.select(note_id, F.explode(near("__grams", "__terms")).alias("t"))
-    found = hits.groupBy(note_id).agg(_longest_first(F.collect_set("t")).alias("terms"))
+    found = hits.groupBy(note_id).agg(F.sort_array(F.collect_set("t")).alias("terms"))
     return notes.join(found, note_id, "left").withColumn(text, _mask_words(text, "terms")).select(*notes.columns)
 
 

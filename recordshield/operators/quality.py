@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import CHECKS, sure
+from ..functions.checks import CHECKS, all_hold, sure
 from ..functions.dates import parse_date
 from ..functions.patterns import NOTE_DATE, QC_REASONS
 from ..functions.text import value_pattern
@@ -88,30 +88,34 @@ class ColumnCheck:
     params: dict[str, Any] = field(default_factory=dict)
 
 
+def _parts(check: ColumnCheck) -> dict[int, Column]:
+    return CHECKS[check.rule](F.col(f"{check.column}_after"), F.col(f"{check.column}_before"), **check.params)
+
+
 def check_columns(pairs: DataFrame, checks: Sequence[ColumnCheck], table: str) -> DataFrame:
     """All checks of a table in one pass over the paired rows ``<column>_before``, ``<column>_after``."""
-    aggregates, triples = [], []
+    aggregates, rows = [], []
     for i, check in enumerate(checks):
-        reason, predicate = CHECKS[check.rule]
-        good = predicate(F.col(f"{check.column}_after"), F.col(f"{check.column}_before"), **check.params)
+        parts = _parts(check)
+        good = all_hold(parts)
         aggregates += [F.count_if(good).alias(f"__p{i}"), F.count_if(~good).alias(f"__f{i}")]
-        triples.append(
+        aggregates += [F.count_if(~part).alias(f"__f{i}_{code}") for code, part in parts.items()]
+        reasons = F.array(*[F.when(F.col(f"__f{i}_{code}") > 0, F.lit(QC_REASONS.get(code, str(code)))) for code in parts])
+        rows.append(
             F.struct(
                 F.lit(check.column).alias("column_name"),
                 F.lit(check.rule).alias("rule"),
                 F.col(f"__p{i}").alias("passed"),
                 F.col(f"__f{i}").alias("failed"),
-                F.when(F.col(f"__f{i}") > 0, F.lit(QC_REASONS[reason])).alias("reason"),
+                F.array_compact(reasons).alias("reasons"),
             )
         )
     counted = pairs.agg(*aggregates)
-    return counted.select(F.lit(table).alias("table_name"), F.explode(F.array(*triples)).alias("r")).select("table_name", "r.*")
+    return counted.select(F.lit(table).alias("table_name"), F.explode(F.array(*rows)).alias("r")).select("table_name", "r.*")
 
 
 def failing_rows(pairs: DataFrame, check: ColumnCheck, row_id: str) -> DataFrame:
-    _, predicate = CHECKS[check.rule]
-    good = predicate(F.col(f"{check.column}_after"), F.col(f"{check.column}_before"), **check.params)
-    return pairs.where(~good).select(F.lit(check.column).alias("column_name"), row_id)
+    return pairs.where(~all_hold(_parts(check))).select(F.lit(check.column).alias("column_name"), row_id)
 
 
 # --- text checks ------------------------------------------------------------------------------------------------------
