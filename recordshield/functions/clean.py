@@ -13,6 +13,11 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def placeholder_to_null(c: str | Column) -> Column:
     """Zero dates and words such as ``none`` or ``nan`` become null, any case, blanks around them ignored."""
     c = as_col(c)

@@ -9,72 +9,49 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .clean import as_col
+from .clean import as_col, let
 from .patterns import COMPACT_DATE, MONTH, NOTE_DATE, TIME_ONLY
 
-CENTURY_PIVOT = 2075
-
-
-def _month_first(text: Column, sep: str) -> Column:
-    """M/d/yyyy, and d/M/yyyy where the first part cannot be a month."""
-    parts = F.split(text, sep)
-    a, b, y = (F.get(parts, F.lit(i)).try_cast("int") for i in (0, 1, 2))
-    year = F.when(F.length(F.get(parts, F.lit(2))) > 2, y).otherwise(F.when(y + 2000 > CENTURY_PIVOT, y + 1900).otherwise(y + 2000))
-    month, day = F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
-    return _stamp(year, month, day)
-
-
-def _stamp(year: Column, month: Column, day: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year.isNotNull() & month.between(1, 12) & day.between(1, 31), text.try_cast("date")).cast("timestamp_ntz")
-
-
-def _named_month(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(\d)(?:st|nd|rd|th)\b", "$1")
-    year = F.regexp_extract(bare, r"(\d{4})\s*$", 1).try_cast("int")
-    day = F.coalesce(
-        F.regexp_extract(bare, r"(?i)^\s*(\d{1,2})\s+[a-z]", 1).try_cast("int"),
-        F.regexp_extract(bare, r"(?i)^\s*[a-z]+\.?\s+(\d{1,2})\D", 1).try_cast("int"),
-    )
-    month = F.lower(F.substring(F.regexp_extract(bare, r"([A-Za-z]{3,})", 1), 1, 3))
-    return _stamp(year, _month_number(month), day)
-
-
-def _month_number(month: Column) -> Column:
-    names = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    return F.nullif(F.array_position(names, month), F.lit(0)).cast("int")
+# two-digit years above 75 lie in the last century
+_LATE_YEAR = r"(?<y>7[6-9]|[89]\d)"
+_MONTH, _DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+
+# each step turns one written shape into yyyy-M-d and leaves every other text alone, so the steps need no branches
+_SHORT_YEAR_STEPS = [
+    (r"^(?<d>\d{1,2}([/.-])\d{1,2}\2)" + _LATE_YEAR + "$", "${d}19${y}"),
+    (r"^(?<d>\d{1,2}([/.-])\d{1,2}\2)(?<y>\d{2})$", "${d}20${y}"),
+]
+_NUMERIC_STEPS = [
+    (rf"^(?<m>{_MONTH})([/.-])(?<d>{_DAY})\2(?<y>\d{{4}})$", "${y}-${m}-${d}"),
+    (rf"^(?<d>{_DAY})([/.-])(?<m>{_MONTH})\2(?<y>\d{{4}})$", "${y}-${m}-${d}"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
+]
+_COMPACT_STEPS = [
+    (r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
+    (r"^(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "$1-$2-$3"),
+    (r"^(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(\d{4})$", "$3-$1-$2"),
+    (r"^(0[1-9]|[12]\d|3[01])(0[1-9]|1[0-2])(\d{4})$", "$3-$2-$1"),
+]
+_ISO = rf"^\d{{4}}-{_MONTH}-{_DAY}(?:[ T]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?)?$"
+_NAMED_STEPS = [
+    (r"(?i)^([a-z]{3})[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?[,./\s-]*(\d{4})$", "$2 $1 $3"),
+    (r"(?i)^(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})$", "$1 $2 $3"),
+]
+
+
+def _steps(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for shape, target in steps:
+        text = F.regexp_replace(text, shape, target)
+    return text
 
 
 def parse_date(c: str | Column, compact: bool = True) -> Column:
     """The ladder: TIMESTAMP_NTZ, or null when no shape fits."""
     t = F.trim(as_col(c).cast("string"))
-    iso = r"^\d{4}[-/](?:0?[1-9]|1[0-2])[-/](?:0?[1-9]|[12]\d|3[01])"
-    day = F.regexp_replace(t, "/", "-")
-    chosen = (
-        F.when(t.rlike(iso + r"(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"), day.try_cast("timestamp_ntz"))
-        .when(t.rlike(r"^\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})$"), _month_first(t, "/"))
-        .when(t.rlike(r"^\d{1,2}-\d{1,2}-(?:\d{4}|\d{2})$"), _month_first(t, "-"))
-        .when(t.rlike(r"^\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})$"), _month_first(t, r"\."))
-        .when(t.rlike(r"(?i)^(?:\d{1,2}\s+" + MONTH + r"|" + MONTH + r"\.?\s+\d{1,2}(?:st|nd|rd|th)?)[,./\s-]*\d{4}$"), _named_month(t))
-    )
-    if compact:
-        chosen = chosen.when(
-            t.rlike(r"^\d{8}T?\d{6}$"),
-            F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz"),
-        ).when(
-            t.rlike(r"^\d{8}$"),
-            F.coalesce(
-                *[
-                    F.regexp_replace(t, shape, target).try_cast("timestamp_ntz")
-                    for shape, target in (
-                        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-                        (r"^(\d{2})(\d{2})(\d{4})$", "$3-$1-$2"),
-                        (r"^(\d{2})(\d{2})(\d{4})$", "$3-$2-$1"),
-                    )
-                ]
-            ),
-        )
-    return chosen
+    numeric = _steps(t, _SHORT_YEAR_STEPS + _NUMERIC_STEPS + (_COMPACT_STEPS if compact else []))
+    numeric = F.regexp_extract(numeric, _ISO, 0).try_cast("timestamp_ntz")
+    named = F.try_to_date(F.initcap(F.lower(_steps(t, _NAMED_STEPS))), "d MMM yyyy").cast("timestamp_ntz")
+    return F.when(t.rlike(r"(?i)(?:^|\s)" + MONTH + r"(?![a-z])"), named).otherwise(numeric)
 
 
 def add_days(stamp: Column, days: str | Column | int) -> Column:
@@ -95,24 +72,28 @@ def birth_year(c: str | Column, is_text: bool = True) -> Column:
     return F.year(parse_date(c) if is_text else as_col(c)).cast("int")
 
 
-def rewrite_dates(text: str | Column, change, pattern: str = NOTE_DATE) -> Column:
-    """Every date in a text replaced by ``change(date_text)``; where that is null the date stays as written."""
+def rewrite_matches(text: str | Column, pattern: str, change) -> Column:
+    """Every match of a pattern replaced by ``change(match)``; where that is null the match stays as written."""
+
+    def rebuilt(whole: Column) -> Column:
+        changed = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(change(m), m))
+        gaps = F.split(whole, pattern, -1)
+        return F.array_join(F.zip_with(gaps, changed, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
     text = as_col(text)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    changed = F.transform(found, lambda d: F.coalesce(change(d), d))
-    gaps = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(gaps, changed, lambda gap, date: F.concat(gap, F.coalesce(date, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+    return let(text, lambda whole: F.when(whole.rlike(pattern), rebuilt(whole)).otherwise(whole))
+
+
+def rewrite_dates(text: str | Column, change, pattern: str = NOTE_DATE) -> Column:
+    return rewrite_matches(text, pattern, change)
 
 
 def shift_dates_in_text(text: str | Column, days: str | Column | int, pad: str = "", pattern: str = NOTE_DATE) -> Column:
     days = F.lit(days) if isinstance(days, int) else as_col(days)
 
     def moved(d: Column) -> Column:
-        stamp = add_days(parse_date(d), F.coalesce(days, F.lit(0)))
-        shown = F.when(d.rlike(r"\d{2}:\d{2}:\d{2}"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")).otherwise(
-            F.date_format(stamp, "yyyy-MM-dd")
-        )
+        shape = F.when(d.rlike(r"\d{2}:\d{2}:\d{2}"), "yyyy-MM-dd HH:mm:ss").otherwise("yyyy-MM-dd")
+        shown = F.call_function("date_format", add_days(parse_date(d), F.coalesce(days, F.lit(0))), shape)
         return F.concat(F.lit(pad), shown, F.lit(pad))
 
     return rewrite_dates(text, moved, pattern)

@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .clean import as_col
-from .dates import parse_date, shift_dates_in_text
+from .clean import as_col, let
+from .dates import parse_date, rewrite_matches, shift_dates_in_text
 
 # left and right edge of a value inside a text: no word character next to it, and no mail host behind it
 LEFT_EDGE = r"(?<![A-Za-z0-9_])"
@@ -152,35 +152,39 @@ def mask_spaced_values(text: str | Column, values: Sequence[tuple[str | Column,
 # --- markup -----------------------------------------------------------------------------------------------------------
 
 
-def tag_pattern(tag: str, any_case: bool = False) -> str:
-    return rf"(?s{'i' if any_case else ''})(<(?:\w+:)?{tag}(?:\s[^>]*)?>)[^<]*(</(?:\w+:)?{tag}\s*>)"
+def _names(names: Sequence[str]) -> str:
+    return "(?:" + "|".join(names) + ")"
+
+
+def rewrite_tag(text: str | Column, names: Sequence[str], change: Callable[[Column, Column], Column], any_case: bool = True) -> Column:
+    """The text of the named tags replaced by ``change(tag name, content)``; null leaves it as it is. One scan for all names."""
+    whole = rf"(?s{'i' if any_case else ''})<(?:\w+:)?{_names(names)}(?:\s[^>]*)?>[^<]*(?=</)"
+
+    def one(m: Column) -> Column:
+        name, content = F.regexp_extract(m, r"^<(?:\w+:)?(\w+)", 1), F.regexp_extract(m, r"(?s)>([^<]*)$", 1)
+        return F.concat(F.regexp_extract(m, r"(?s)^([^>]*>)", 1), change(name, content))
+
+    return rewrite_matches(text, whole, one)
 
 
 def mask_tags(text: str | Column, tags: dict[str, str], any_case: bool = False) -> Column:
-    """Text of the named tags, their ``value`` attribute and attributes of that name."""
-    out = as_col(text)
+    """Text of the named tags, their ``value`` attribute, and attributes of that name in any tag and case."""
+    key = F.lower if any_case else (lambda c: c)
+    by_name = F.create_map(*[F.lit(x) for t, m in tags.items() for x in (t.lower() if any_case else t, m)])
+    by_attribute = F.create_map(*[F.lit(x) for t, m in {t.lower(): m for t, m in tags.items()}.items() for x in (t, m)])
     flag = "(?i)" if any_case else ""
-    for tag, mask in tags.items():
-        safe = java_replacement(mask)
-        out = F.regexp_replace(out, tag_pattern(tag, any_case), f"$1{safe}$2")
-        out = F.regexp_replace(out, rf"{flag}(<(?:\w+:)?{tag}\s(?:[^>]*\s)?value=)(?:\"[^\"]*\"|'[^']*')", f'$1"{safe}"')
-        out = F.regexp_replace(out, rf"(?i)(<[^>]*\s{tag}=)(?:\"[^\"]*\"|'[^']*')", f'$1"{safe}"')
-    return out
-
+    opening = rf"{flag}<(?:\w+:)?{_names(list(tags))}\s[^>]*\bvalue=(?:\"[^\"]*\"|'[^']*')"
+    attribute = rf"(?i)(?<=\s){_names(list(tags))}=(?:\"[^\"]*\"|'[^']*')(?=[^<>]*>)"
 
-def rewrite_tag(text: str | Column, tag: str, change: Callable[[Column], Column]) -> Column:
-    """The text of one tag replaced by ``change(content)``; null leaves it as it is."""
-    text = as_col(text)
-    whole = rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>[^<]*(?=</)"
-    found = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    def value(m: Column) -> Column:
+        name = F.regexp_extract(m, r"^<(?:\w+:)?(\w+)", 1)
+        return F.concat(F.regexp_extract(m, r"(?s)^(.*\bvalue=)", 1), F.lit('"'), by_name[key(name)], F.lit('"'))
 
-    def one(m: Column) -> Column:
-        content = F.regexp_extract(m, r"(?s)>([^<]*)$", 1)
-        return F.coalesce(F.concat(F.regexp_extract(m, r"(?s)^([^>]*>)", 1), change(content)), m)
+    def named(m: Column) -> Column:
+        return F.concat(F.regexp_extract(m, r"^([^=]*=)", 1), F.lit('"'), by_attribute[F.lower(F.regexp_extract(m, r"^([^=]*)=", 1))], F.lit('"'))
 
-    gaps = F.split(text, whole, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform(found, one), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    return F.when(F.size(found) > 0, joined).otherwise(text)
+    out = rewrite_tag(text, list(tags), lambda name, content: by_name[key(name)], any_case)
+    return rewrite_matches(rewrite_matches(out, opening, value), attribute, named)
 
 
 def mask_markup(
@@ -191,10 +195,14 @@ def mask_markup(
     any_case: bool = False,
 ) -> Column:
     """Birth-date tags to the year, postal-code tags to three digits, named tags masked. Only text that starts as markup."""
-    text = as_col(text)
-    out = text
-    for tag in dob_tags:
-        out = rewrite_tag(out, tag, lambda c: F.date_format(parse_date(c), "yyyy"))
-    for tag in zip_tags:
-        out = rewrite_tag(out, tag, lambda c: F.regexp_replace(c, r"(\d{3})\d{2}", "$1"))
-    return F.when(F.ltrim(text).startswith("<"), mask_tags(out, tags, any_case)).otherwise(text)
+
+    def special(name: Column, content: Column) -> Column:
+        year = F.date_format(parse_date(content), "yyyy")
+        digits = F.regexp_replace(content, r"(\d{3})\d{2}", "$1")
+        return F.when(F.lower(name).isin([t.lower() for t in dob_tags]), year).otherwise(digits)
+
+    def masked(whole: Column) -> Column:
+        out = rewrite_tag(whole, [*dob_tags, *zip_tags], special) if dob_tags or zip_tags else whole
+        return F.when(F.ltrim(whole).startswith("<"), mask_tags(out, tags, any_case)).otherwise(whole)
+
+    return let(as_col(text), masked)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clean import let
 from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
 from ..functions.text import mask_values
@@ -34,17 +35,16 @@ def _words(text: Column) -> Column:
 def _grams(text: Column, most: int) -> Column:
     """Distinct runs of 1..most words; the empty run stands for values without any word character."""
 
+    def of_size(words: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
+            F.array().cast("array<string>")
+        )
+
     def runs(words: Column) -> Column:
-        sized = [
-            F.when(
-                F.size(words) >= n,
-                F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(1, most + 1)
-        ]
-        return F.array_distinct(F.concat(F.array(F.lit("")), *sized))
-
-    return F.get(F.transform(F.array(_words(text)), runs), F.lit(0))
+        return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(words, n) for n in range(1, most + 1)]))
+
+    return let(_words(text), runs)
 
 
 def _head(value: Column, most: int) -> Column:

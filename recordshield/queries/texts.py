@@ -237,7 +237,8 @@ _TAGS = {"title": "((TITLE))", "lang": "((LANG))"}
 def _tag_sql(column: str, tags: dict[str, str]) -> str:
     out = column
     for tag, mask in tags.items():
-        out = f"regexp_replace({out}, '{_re2(X.tag_pattern(tag))}', '\\1{mask}\\2', 'g')"
+        whole = rf"(?s)(<(?:\w+:)?{tag}(?:\s[^>]*)?>)[^<]*(</)"
+        out = f"regexp_replace({out}, '{whole}', '\\1{mask}\\2', 'g')"
         out = f"regexp_replace({out}, '(?i)(<[^>]*\\s{tag}=)(?:\"[^\"]*\"|''[^'']*'')', '\\1\"{mask}\"', 'g')"
     return out
 
