@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -62,23 +63,22 @@ def value_overlap(df: DataFrame, table: str, column: str, known: DataFrame, know
 def detect_id_columns(
     tables: dict[str, DataFrame], known: dict[str, tuple[DataFrame, str]], name_pattern: str, kind: str, threshold: float = OVERLAP_THRESHOLD
 ) -> DataFrame:
-    """Numeric columns whose name fits and whose values are known ids: one row per (column, identifier kind)."""
+    """Numeric columns whose name fits and whose values are known ids: one row per (column, identifier kind).
+
+    Names come from the schema, so only columns whose name fits are read. ``kind`` is the rule that a hit suggests;
+    ``{kind}`` in it becomes the identifier kind.
+    """
+    named = re.compile(name_pattern)
     parts = []
     for table, df in tables.items():
         for f in df.schema.fields:
-            if type_family(f.dataType) != "numeric" or isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                continue
-            for id_kind, (ids, id_column) in known.items():
-                parts.append(value_overlap(df, table, f.name, ids, id_column).withColumn("id_kind", F.lit(id_kind)))
-    named = F.lower("column_name").rlike(name_pattern)
-    return union_all(parts).select(
-        "table_name",
-        "column_name",
-        "id_kind",
-        "overlap",
-        named.alias("name_fits"),
-        F.when(named & (F.col("overlap") > threshold), F.lit(kind)).alias("proposed_rule"),
-    )
+            if type_family(f.dataType) == "numeric" and named.search(f.name.lower()):
+                for id_kind, (ids, id_column) in known.items():
+                    rule = F.lit(kind.replace("{kind}", id_kind.upper()))
+                    overlap = value_overlap(df, table, f.name, ids, id_column)
+                    hit = F.coalesce(F.col("overlap") > threshold, F.lit(False))
+                    parts.append(overlap.withColumns({"id_kind": F.lit(id_kind), "proposed_rule": F.when(hit, rule)}))
+    return union_all(parts).select("table_name", "column_name", "id_kind", "overlap", "proposed_rule")
 
 
 def dob_columns(columns: DataFrame) -> DataFrame:
