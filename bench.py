@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from recordshield.queries import load
@@ -61,6 +62,7 @@ def main() -> None:
     for name in chosen:
         once(name)
         seconds[name] = round(min(once(name) for _ in range(runs)), 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     spark.stop()
     result = {

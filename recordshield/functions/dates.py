@@ -51,7 +51,8 @@ def parse_date(c: str | Column, compact: bool = True) -> Column:
     numeric = _steps(t, _SHORT_YEAR_STEPS + _NUMERIC_STEPS + (_COMPACT_STEPS if compact else []))
     numeric = F.regexp_extract(numeric, _ISO, 0).try_cast("timestamp_ntz")
     named = F.try_to_date(F.initcap(F.lower(_steps(t, _NAMED_STEPS))), "d MMM yyyy").cast("timestamp_ntz")
-    return F.when(t.rlike(r"(?i)(?:^|\s)" + MONTH + r"(?![a-z])"), named).otherwise(numeric)
+    month = r"(?i)(?:^|\s)" + MONTH + r"(?![a-z])"
+    return F.when(t.rlike(_ISO), t.try_cast("timestamp_ntz")).when(t.rlike(month), named).otherwise(numeric)
 
 
 def add_days(stamp: Column, days: str | Column | int) -> Column:
@@ -75,13 +76,18 @@ def birth_year(c: str | Column, is_text: bool = True) -> Column:
 def rewrite_matches(text: str | Column, pattern: str, change) -> Column:
     """Every match of a pattern replaced by ``change(match)``; where that is null the match stays as written."""
 
-    def rebuilt(whole: Column) -> Column:
-        changed = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(change(m), m))
-        gaps = F.split(whole, pattern, -1)
-        return F.array_join(F.zip_with(gaps, changed, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-
     text = as_col(text)
-    return let(text, lambda whole: F.when(whole.rlike(pattern), rebuilt(whole)).otherwise(whole))
+
+    def rebuilt(found: Column) -> Column:
+        changed = F.transform(found["m"], lambda m: F.coalesce(change(m), m))
+        gaps = F.split(found["t"], pattern, -1)
+        joined = F.array_join(F.zip_with(gaps, changed, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+        return F.when(F.size(found["m"]) > 0, joined).otherwise(found["t"])
+
+    def searched(whole: Column) -> Column:
+        return let(F.struct(whole.alias("t"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)).alias("m")), rebuilt)
+
+    return let(text, searched)
 
 
 def rewrite_dates(text: str | Column, change, pattern: str = NOTE_DATE) -> Column:

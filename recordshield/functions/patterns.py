@@ -10,18 +10,22 @@ MONTH = (
     r"Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 )
 
-# dates as they appear inside free text
-NOTE_DATE = "|".join(
-    [
-        r"\b\d{4}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12]\d|3[01])(?:\s\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?)?\b",
-        r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-]\d{4}\b",
-        r"\b(?:0?[1-9]|1[0-2])\.(?:0?[1-9]|[12]\d|3[01])\.\d{4}\b",
-        r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-]\d{2}\b",
-        r"\b(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-]\d{4}\b",
-        r"\b\d{1,2}\s" + MONTH + r"\s\d{4}\b",
-        r"\b" + MONTH + r"\s\d{1,2}(?:st|nd|rd|th)?[,/\s-]?\s?\d{4}\b",
-        r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.\s\d{1,2}\.\d{4}\b",
-    ]
+# dates as they appear inside free text; the word boundaries and the look at the first letter are shared by all forms
+NOTE_DATE = (
+    r"\b(?=[0-9JFMASOND])(?:"
+    + "|".join(
+        [
+            r"\d{4}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12]\d|3[01])(?:\s\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?)?",
+            r"(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-]\d{4}",
+            r"(?:0?[1-9]|1[0-2])\.(?:0?[1-9]|[12]\d|3[01])\.\d{4}",
+            r"(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-]\d{2}",
+            r"(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-]\d{4}",
+            r"\d{1,2}\s" + MONTH + r"\s\d{4}",
+            MONTH + r"\s\d{1,2}(?:st|nd|rd|th)?[,/\s-]?\s?\d{4}",
+            r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.\s\d{1,2}\.\d{4}",
+        ]
+    )
+    + r")\b"
 )
 
 # compact forms are dates in a date column only, never in free text
@@ -122,6 +126,16 @@ QC_REASONS = {
     8: "zip code rule not applied correctly for some rows",
 }
 
+# what a text must hold for a kind to match at all; quick to test, so most texts skip the full pattern
+NEEDED = {
+    "ip": r"\d\.\d",
+    "email": "@",
+    "url": r"://|\.[^\s<>\"']",
+    "phone": r"\d{4}",
+    "driver_license": r"\d{5}",
+    "address": r"[A-Za-z][\s,]*\d{5}",
+}
+
 # --- end of fixed values ----------------------------------------------------------------------------------------------
 
 

@@ -27,25 +27,37 @@ def quote_pattern(value: Column) -> Column:
     return F.regexp_replace(value, r"([^A-Za-z0-9 ])", r"\\$1")
 
 
-def value_pattern(value: Column) -> Column:
-    """The whole-word, any-case pattern of a value. A quote or slash before it and a quote behind it go with it."""
-    quoted = quote_pattern(value)
-    short = F.concat(F.lit(r"(?i)['\"]?\b"), quoted, F.lit(r"\b['\"]?"))
-    long = F.concat(F.lit("(?i)" + LEFT_EDGE + r"(?:['\"/])?"), quoted, F.lit(r"(?:['\"])?" + RIGHT_EDGE))
-    return F.when(F.length(value) < 3, short).otherwise(long)
+def values_pattern(values: Column) -> Column:
+    """One whole-word, any-case pattern for an array of values, tried in array order.
+
+    A quote or slash before a value and a quote behind it go with it.
+    """
+    bare = F.transform(values, lambda v: F.trim(v))
+    long = F.transform(F.filter(bare, lambda v: F.length(v) >= 3), quote_pattern)
+    short = F.transform(F.filter(bare, lambda v: F.length(v) < 3), quote_pattern)
+    long_pattern = F.concat(F.lit(LEFT_EDGE + r"(?:['\"/])?(?:"), F.array_join(long, "|"), F.lit(r")(?:['\"])?" + RIGHT_EDGE))
+    short_pattern = F.concat(F.lit(r"['\"]?\b(?:"), F.array_join(short, "|"), F.lit(r")\b['\"]?"))
+    parts = F.array(F.when(F.size(long) > 0, long_pattern), F.when(F.size(short) > 0, short_pattern))
+    return F.concat(F.lit("(?i)"), F.array_join(F.array_compact(parts), "|"))
 
 
 def mask_values(text: str | Column, terms: str | Column) -> Column:
-    """Fold an ``array<struct<value,mask>>`` over a text, in array order."""
-    empty = F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != ""))
-    return F.when(
-        F.coalesce(F.size(as_col(terms)), F.lit(0)) > 0,
-        F.aggregate(
-            empty,
+    """Replace the values of an ``array<struct<value,mask>>`` in a text: one pattern and one pass per mask."""
+    terms = as_col(terms)
+
+    def masked(present: Column) -> Column:
+        return F.aggregate(
+            F.array_distinct(F.transform(present, lambda t: t["mask"])),
             as_col(text),
-            lambda acc, t: F.regexp_replace(acc, value_pattern(F.trim(t["value"])), F.regexp_replace(t["mask"], r"([\\$])", r"\\$1")),
-        ),
-    ).otherwise(as_col(text))
+            lambda acc, mask: F.regexp_replace(
+                acc,
+                values_pattern(F.transform(F.filter(present, lambda t: t["mask"] == mask), lambda t: t["value"])),
+                F.regexp_replace(mask, r"([\\$])", r"\\$1"),
+            ),
+        )
+
+    real = F.filter(terms, lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != ""))
+    return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, let(real, masked)).otherwise(as_col(text))
 
 
 def mask_regexes(text: str | Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
@@ -59,9 +71,14 @@ def mask_regexes(text: str | Column, rules: Sequence[tuple[Sequence[str], str]])
 CONTACT_RULES = [([P.EMAIL], P.MASKS["email_id"]), (P.PHONES, P.MASKS["phone"]), ([P.SSN], P.MASKS["ssn"])]
 
 
+def if_found(text: str | Column, needed: str, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` for texts that hold the needed piece, the text itself for all others."""
+    return let(as_col(text), lambda t: F.when(t.rlike(needed), change(t)).otherwise(t))
+
+
 def mask_address(text: str | Column) -> Column:
     """House, street, city and state masked, three digits of the postal code kept."""
-    return F.regexp_replace(as_col(text), P.ADDRESS, P.ADDRESS_MASK)
+    return if_found(text, P.NEEDED["address"], lambda t: F.regexp_replace(t, P.ADDRESS, P.ADDRESS_MASK))
 
 
 def mask_po_box(text: str | Column) -> Column:
@@ -96,7 +113,9 @@ def generic_mask(
         pattern = P.any_of(found)
         if kind in custom:
             return custom[kind](out, pattern, P.MASKS[kind])
-        return F.regexp_replace(out, pattern, java_replacement(P.MASKS[kind]))
+        if kind not in P.NEEDED:
+            return F.regexp_replace(out, pattern, java_replacement(P.MASKS[kind]))
+        return if_found(out, P.NEEDED[kind], lambda t: F.regexp_replace(t, pattern, java_replacement(P.MASKS[kind])))
 
     out = step(out, "ip", [P.IPV4])
     out = step(out, "email", [P.EMAIL])

@@ -104,8 +104,14 @@ def mask_patient_values(
     return attached.withColumn(text, mask_values(text, "terms")).select(*notes.columns)
 
 
-def mask_dictionary(notes: DataFrame, note_id: str, text: str, dictionary: DataFrame, most: int = 3) -> DataFrame:
-    """Every term of a dictionary table (value, mask) masked in every note, whoever it belongs to."""
+def mask_dictionary(notes: DataFrame, note_id: str, text: str, dictionary: DataFrame, most: int | None = None) -> DataFrame:
+    """Every term of a dictionary table (value, mask) masked in every note, whoever it belongs to.
+
+    ``most`` is the number of words by which terms are looked up; left out, it is the longest term's, three at most.
+    """
+    if most is None:
+        longest = dictionary.agg(F.max(F.size(_words(F.col("value"))))).first()[0] or 1
+        most = max(1, min(3, longest))
     found = terms_in_text(notes, note_id, text, dictionary, (), most)
     return notes.join(found, note_id, "left").withColumn(text, mask_values(text, "terms")).select(*notes.columns)
 

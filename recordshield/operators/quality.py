@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import CHECKS, all_hold, sure
 from ..functions.dates import parse_date
 from ..functions.patterns import NOTE_DATE, QC_REASONS
-from ..functions.text import value_pattern
+from ..functions.text import values_pattern
 from .reports import union_all
 
 
@@ -125,7 +125,7 @@ def leaked_values(text: str | Column, terms: str | Column) -> Column:
     """The values of the person that still stand in the text, as whole words in any case."""
     body = F.col(text) if isinstance(text, str) else text
     terms = F.col(terms) if isinstance(terms, str) else terms
-    left = F.filter(terms, lambda t: F.rlike(body, value_pattern(F.trim(t["value"]))))
+    left = F.filter(terms, lambda t: F.rlike(body, values_pattern(F.array(t["value"]))))
     return F.coalesce(F.transform(left, lambda t: t["value"]), F.array().cast("array<string>"))
 
 

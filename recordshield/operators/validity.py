@@ -56,7 +56,7 @@ def contradictions(df: DataFrame, rules: Sequence[tuple[str, str, str, Sequence[
     return df.where(broken)
 
 
-def standardise_terms(notes: DataFrame, note_id: str, text: str, terminology: DataFrame, most: int = 3) -> DataFrame:
+def standardise_terms(notes: DataFrame, note_id: str, text: str, terminology: DataFrame, most: int | None = None) -> DataFrame:
     """Known terms in cleaned text replaced by their standard display.
 
     ``terminology``: (term, code, display, priority); of several systems the least priority wins.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapping import keyed_offset
+from ..sources.scan import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on, spread over all cores."""
+    return spread(table(spark, sf, name))
+
+
 # --- a map of patients: every customer outside one market segment, so that some rows stay unmapped ---------------------
 
 PATIENTS_SQL = f"""
@@ -145,7 +151,7 @@ NOTES_SQL = """
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    orders, customer = text_table(spark, sf, "orders"), table(spark, sf, "customer")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     text = F.concat(
         "c_name",

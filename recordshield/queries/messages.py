@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from .base import query, table
+from .base import query, table, text_table
 
 
 def _hl7(spark, sf):
-    orders, cust = table(spark, sf, "orders"), table(spark, sf, "customer")
+    orders, cust = text_table(spark, sf, "orders"), table(spark, sf, "customer")
     joined = orders.join(cust, orders["o_custkey"] == cust["c_custkey"])
     person = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("X"), F.col("o_custkey").cast("string"))).otherwise(
         F.when(F.col("o_orderstatus") == "O", (F.col("o_custkey") + 3000000000).cast("string")).otherwise(F.col("o_custkey").cast("string"))

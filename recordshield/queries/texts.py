@@ -11,7 +11,7 @@ from ..operators import notes as N
 from ..operators.joins import PatientKey, map_patient, resolve_identity
 from ..operators.mapping import pii_rows
 from ..plans.notes import NotesOptions, mask_notes, mask_row_notes
-from .base import NOTES_SQL, PATIENTS_SQL, notes, patients, query, table
+from .base import NOTES_SQL, PATIENTS_SQL, notes, patients, query, table, text_table
 
 NOTES = f"WITH pmap AS ({PATIENTS_SQL}), notes AS ({NOTES_SQL})"
 
@@ -125,7 +125,7 @@ CONTACT_SQL = (
 
 @query("x5_contact_patterns", f"SELECT doc_id, {CONTACT_SQL} AS text FROM documents")
 def x5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.mask_regexes("text", X.CONTACT_RULES).alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", X.mask_regexes("text", X.CONTACT_RULES).alias("text"))
 
 
 # no look-around in RE2: the neighbours of a phone number are taken along and put back, twice for shared neighbours
@@ -147,17 +147,17 @@ def _generic_sql(column: str) -> str:
 
 @query("x6_generic_mask_documents", f"SELECT doc_id, {_generic_sql('text')} AS text FROM documents")
 def x6(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.generic_mask("text").alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", X.generic_mask("text").alias("text"))
 
 
 @query("x6_generic_mask_pages", f"SELECT page_id, {_generic_sql('html')} AS html FROM pages")
 def x6_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.generic_mask("html").alias("html"))
+    return text_table(spark, sf, "pages").select("page_id", X.generic_mask("html").alias("html"))
 
 
 @query("x6_generic_mask_conversations", f"SELECT conv_id, turn, {_generic_sql('text')} AS text FROM conversations")
 def x6_conversations(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.generic_mask("text").alias("text"))
+    return text_table(spark, sf, "conversations").select("conv_id", "turn", X.generic_mask("text").alias("text"))
 
 
 @query(
@@ -214,7 +214,7 @@ def x8(spark, sf):
     "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(^|[^A-Za-z0-9_])the', '\\1((ART))', 'g'), '(?i)(^|[^A-Za-z0-9_])of', '\\1((PREP))', 'g') AS text FROM documents",
 )
 def x9(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.replace_words("text", [("the", "((ART))"), ("of", "((PREP))")]).alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", X.replace_words("text", [("the", "((ART))"), ("of", "((PREP))")]).alias("text"))
 
 
 _OWN = "'(^|[^0-9])' || note_id || '($|[^0-9])'"
@@ -245,7 +245,7 @@ def _tag_sql(column: str, tags: dict[str, str]) -> str:
 
 @query("x11_markup_pages", f"SELECT page_id, {_tag_sql('html', _TAGS)} AS html FROM pages")
 def x11(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.mask_markup("html", _TAGS).alias("html"))
+    return text_table(spark, sf, "pages").select("page_id", X.mask_markup("html", _TAGS).alias("html"))
 
 
 def _record(dob, name, zip_code, extra):
@@ -265,12 +265,12 @@ SELECT o_orderkey, '<?xml version="1.0"?><record><DOB>' || strftime(o_orderdate,
 def x11_records(spark, sf):
     zips = F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")
     message = _record(F.date_format("o_orderdate", "MM/dd/yyyy"), F.col("o_custkey").cast("string"), zips, F.col("o_orderpriority"))
-    return table(spark, sf, "orders").select("o_orderkey", X.mask_markup(message).alias("message"))
+    return text_table(spark, sf, "orders").select("o_orderkey", X.mask_markup(message).alias("message"))
 
 
 @query("x12_tag_mask_by_config", f"SELECT page_id, {_tag_sql('html', {'a': '((LINK))', 'li': '((ITEM))'})} AS html FROM pages")
 def x12(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.mask_tags("html", {"a": "((LINK))", "li": "((ITEM))"}).alias("html"))
+    return text_table(spark, sf, "pages").select("page_id", X.mask_tags("html", {"a": "((LINK))", "li": "((ITEM))"}).alias("html"))
 
 
 @query(
@@ -302,7 +302,7 @@ SELECT d.doc_id, count(dict.w) AS masked FROM documents d LEFT JOIN words USING
 """,
 )
 def x14(spark, sf):
-    masked = N.mask_dictionary(table(spark, sf, "documents"), "doc_id", "text", _dictionary(spark, sf))
+    masked = N.mask_dictionary(text_table(spark, sf, "documents"), "doc_id", "text", _dictionary(spark, sf))
     count = F.size(F.split("text", r"\(\(TERM\)\)", -1)) - 1
     return masked.select("doc_id", count.cast("bigint").alias("masked"))
 
@@ -349,7 +349,7 @@ SELECT doc_id, regexp_replace(regexp_replace(text, '{_any([P.EMAIL])}', '<EMAIL>
 """,
 )
 def x17(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf, "documents").select("doc_id", "text")
     found = N.find_entities(docs, "doc_id", "text", {"EMAIL": P.any_of([P.EMAIL]), "IP": P.any_of([P.IPV4]), "YEAR": r"\b(?:19|20)\d\d\b"})
     return N.anonymise_entities(docs, "doc_id", "text", found, 31, ignored=["YEAR"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import checks as C
 from ..functions import clean
 from ..operators import validity as V
-from .base import query, table
+from .base import query, table, text_table
 
 AS_OF = date(2001, 6, 1)
 
@@ -169,7 +169,7 @@ FROM documents d LEFT JOIN words USING (doc_id) LEFT JOIN t ON words.w = t.w GRO
 """,
 )
 def v14(spark, sf):
-    texts = table(spark, sf, "documents").select("doc_id", "text")
+    texts = text_table(spark, sf, "documents").select("doc_id", "text")
     done = V.standardise_terms(texts, "doc_id", "text", _terminology(spark, sf))
 
     def hits(name):
@@ -188,5 +188,5 @@ FROM w LEFT JOIN t ON w.term = t.w
 """,
 )
 def v14_codes(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.regexp_extract(clean.clean_term("text"), "([a-z]{7,})", 1).alias("term"))
+    words = text_table(spark, sf, "documents").select("doc_id", F.regexp_extract(clean.clean_term("text"), "([a-z]{7,})", 1).alias("term"))
     return V.standard_codes(words, "term", _terminology(spark, sf))

@@ -31,6 +31,15 @@ def incremental_scan(
     return out.where((at > F.lit(low)) & ((at <= F.lit(high)) if closed else (at < F.lit(high))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the session has cores (a few large row groups) dealt out over all cores.
+
+    For work that is heavy per row. A large input has more partitions than cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def day_start(at: date | datetime) -> datetime:
     return datetime.combine(at.date() if isinstance(at, datetime) else at, time())
 
