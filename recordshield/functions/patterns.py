@@ -64,11 +64,21 @@ US_STATES = [
     "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
 ]
 
+
+
+def _by_first_letter(words: list[str]) -> str:
+    """Two-letter words as one short alternation."""
+    heads = dict.fromkeys(w[0] for w in words)
+    return "(?:" + "|".join(h + "[" + "".join(w[1] for w in words if w[0] == h) + "]" for h in heads) + ")"
+
+
+_STATE = _by_first_letter(US_STATES)
+STATE_AND_ZIP = r"[,\s]" + _STATE + r"[\s,]*\d{5}"
 # the look-ahead changes no match: it only ends hopeless tries early, before the nested runs are attempted
 ADDRESS = (
-    r"(?i)(?<number>\d+[A-Za-z]{0,3})(?=[A-Za-z0-9\s.,'-]*?(?:" + "|".join(US_STATES) + r")[\s,]*\d{5})"
+    r"(?i)(?=\d[A-Za-z0-9\s.,'-]*?" + STATE_AND_ZIP + r")(?<number>\d+[A-Za-z]{0,3})"
     r"[\s,]*(?<street>[A-Za-z0-9\s.,'-]+)[,\s]+(?<city>[A-Za-z\s]+?)[,\s]+"
-    r"(?<state>" + "|".join(US_STATES) + r")[\s,]*(?<zip>\d{3})\d{2}(?:-\d{4})?"
+    r"(?<state>" + _STATE + r")[\s,]*(?<zip>\d{3})\d{2}(?:-\d{4})?"
 )
 ADDRESS_MASK = r"((HouseNumber)) ((StreetName)), ((City)), ((State)) ${zip}"
 PO_BOX = r"(?i)\bP\.?\s?O\.?\s?Box\s+\d+\b"
@@ -133,7 +143,7 @@ NEEDED = {
     "url": r"://|\.[^\s<>\"']",
     "phone": r"\d{4}",
     "driver_license": r"\d{5}",
-    "address": r"[A-Za-z][\s,]*\d{5}",
+    "address": r"\d{5}",
 }
 
 # --- end of fixed values ----------------------------------------------------------------------------------------------

@@ -78,7 +78,11 @@ def if_found(text: str | Column, needed: str, change: Callable[[Column], Column]
 
 def mask_address(text: str | Column) -> Column:
     """House, street, city and state masked, three digits of the postal code kept."""
-    return if_found(text, P.NEEDED["address"], lambda t: F.regexp_replace(t, P.ADDRESS, P.ADDRESS_MASK))
+
+    def masked(t: Column) -> Column:
+        return if_found(t, "(?i)" + P.STATE_AND_ZIP, lambda u: F.regexp_replace(u, P.ADDRESS, P.ADDRESS_MASK))
+
+    return if_found(text, P.NEEDED["address"], masked)
 
 
 def mask_po_box(text: str | Column) -> Column:
