@@ -41,23 +41,30 @@ def values_pattern(values: Column) -> Column:
     return F.concat(F.lit("(?i)"), F.array_join(F.array_compact(parts), "|"))
 
 
-def mask_values(text: str | Column, terms: str | Column) -> Column:
-    """Replace the values of an ``array<struct<value,mask>>`` in a text: one pattern and one pass per mask."""
-    terms = as_col(terms)
+def term_patterns(terms: str | Column) -> Column:
+    """``array<struct<value,mask>>`` as one (pattern, replacement) per mask, in the order of the first value of each mask."""
 
-    def masked(present: Column) -> Column:
-        return F.aggregate(
+    def by_mask(present: Column) -> Column:
+        return F.transform(
             F.array_distinct(F.transform(present, lambda t: t["mask"])),
-            as_col(text),
-            lambda acc, mask: F.regexp_replace(
-                acc,
-                values_pattern(F.transform(F.filter(present, lambda t: t["mask"] == mask), lambda t: t["value"])),
-                F.regexp_replace(mask, r"([\\$])", r"\\$1"),
+            lambda mask: F.struct(
+                values_pattern(F.transform(F.filter(present, lambda t: t["mask"] == mask), lambda t: t["value"])).alias("pattern"),
+                F.regexp_replace(mask, r"([\\$])", r"\\$1").alias("replacement"),
             ),
         )
 
-    real = F.filter(terms, lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != ""))
-    return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, let(real, masked)).otherwise(as_col(text))
+    return let(F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != "")), by_mask)
+
+
+def mask_patterns(text: str | Column, patterns: str | Column) -> Column:
+    """Fold (pattern, replacement) pairs over a text; without any the text stays."""
+    folded = F.aggregate(as_col(patterns), as_col(text), lambda acc, p: F.regexp_replace(acc, p["pattern"], p["replacement"]))
+    return F.coalesce(folded, as_col(text))
+
+
+def mask_values(text: str | Column, terms: str | Column) -> Column:
+    """Replace the values of an ``array<struct<value,mask>>`` in a text: one pattern and one pass per mask."""
+    return mask_patterns(text, term_patterns(terms))
 
 
 def mask_regexes(text: str | Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:

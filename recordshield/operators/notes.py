@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.clean import let
 from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
-from ..functions.text import mask_values
+from ..functions.text import mask_patterns, mask_values, term_patterns
 
 HITS = T.ArrayType(
     T.StructType([T.StructField("place", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("mask", T.StringType())])
@@ -76,7 +76,7 @@ def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, b
 def attach_terms(
     notes: DataFrame, note_id: str, text: str, terms: DataFrame, patient: str = "sur_patient_id", limit: int = 200, most: int = 3
 ) -> DataFrame:
-    """Notes with the masking list of their person, longest value first, as ``terms``.
+    """Notes with the masking list of their person, longest value first, as ``terms`` and ready to use as ``patterns``.
 
     A person with up to ``limit`` values brings them as one array. People with more go the exact other way: only the values
     whose words occur in the note are attached.
@@ -89,11 +89,14 @@ def attach_terms(
     )
     heavy_notes = notes.join(heavy, patient, "left_semi")
     found = terms_in_text(heavy_notes, note_id, text, terms.join(heavy, patient, "left_semi"), [patient], most)
+    found = found.withColumn("patterns", term_patterns("terms"))
     return light.unionByName(heavy_notes.join(found, note_id, "left").select(*light.columns))
 
 
 def _bundles(terms: DataFrame, patient: str) -> DataFrame:
-    return terms.groupBy(patient).agg(_longest_first(F.collect_list(F.struct("value", "mask"))).alias("terms"))
+    """One list per person; its patterns are built here, once per person and not once per note."""
+    listed = terms.groupBy(patient).agg(_longest_first(F.collect_list(F.struct("value", "mask"))).alias("terms"))
+    return listed.withColumn("patterns", term_patterns("terms"))
 
 
 def mask_patient_values(
@@ -101,7 +104,7 @@ def mask_patient_values(
 ) -> DataFrame:
     """Every value of the person masked in the person's notes."""
     attached = attach_terms(notes, note_id, text, terms, patient, limit)
-    return attached.withColumn(text, mask_values(text, "terms")).select(*notes.columns)
+    return attached.withColumn(text, mask_patterns(text, "patterns")).select(*notes.columns)
 
 
 def mask_dictionary(notes: DataFrame, note_id: str, text: str, dictionary: DataFrame, most: int | None = None) -> DataFrame:

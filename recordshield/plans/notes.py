@@ -12,6 +12,7 @@ from ..functions.clean import collapse_note
 from ..functions.patterns import XML_TAG_MASKS
 from ..functions.text import (
     CONTACT_RULES,
+    combined_names,
     generic_mask,
     java_replacement,
     mask_combined_names,
@@ -54,26 +55,25 @@ def mask_notes(df: DataFrame, row_id: str, text: str, options: NotesOptions) ->
 
 
 def mask_person(df: DataFrame, row_id: str, text: str, options: NotesOptions) -> DataFrame:
-    terms = pii_terms(options.pii, dict(options.masks), options.patient)
+    """The person's own values, their name parts written as one word, near matches, birth dates."""
+    values = pii_terms(options.pii, dict(options.masks), options.patient)
+    terms = values
+    if options.combine:
+        terms = values.unionByName(joined_names(options)).groupBy(options.patient, "value").agg(F.min("mask").alias("mask"))
     out = mask_patient_values(df, row_id, text, terms, options.patient, options.limit)
     if options.fuzzy:
-        out = mask_near_values(out, row_id, text, terms, options.patient)
+        out = mask_near_values(out, row_id, text, values, options.patient)
     if options.dob:
         births = options.pii.select(options.patient, F.col(options.dob).try_cast("date").alias("dob"))
         out = mask_birth_dates(out, text, births, options.patient)
-    if options.combine:
-        out = mask_joined_names(out, row_id, text, options)
     return out
 
 
-def mask_joined_names(df: DataFrame, row_id: str, text: str, options: NotesOptions) -> DataFrame:
-    """Names written as one word: every ordered join of the person's name parts is a value to mask."""
-    from ..functions.text import combined_names
-
+def joined_names(options: NotesOptions) -> DataFrame:
+    """(patient, value, mask): every ordered join of the person's name parts is a value to mask."""
     parts, mask = options.combine
-    names = options.pii.select(options.patient, F.explode(combined_names(parts)).alias("value")).distinct()
-    terms = names.withColumn("mask", F.lit(mask))
-    return mask_patient_values(df, row_id, text, terms, options.patient, options.limit)
+    names = options.pii.select(options.patient, F.explode(combined_names(parts)).alias("value"))
+    return names.withColumn("mask", F.lit(mask))
 
 
 def mask_row_notes(df: DataFrame, text: str, order: Sequence[str], parts: Sequence[str], mask: str, options: NotesOptions) -> DataFrame:
