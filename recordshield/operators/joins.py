@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,16 +32,24 @@ def enrich(
     return out
 
 
-def split_null_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with a key, rows without). Null keys match nothing but would all be shuffled to one task."""
-    return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+NULL_SALTS = 1024
 
 
-def left_join_skip_null(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
-    """A left join that leaves rows with a null key where they are."""
-    keyed, keyless = split_null_keys(left, left_on)
-    joined = keyed.join(right, keyed[left_on] == right[right_on], "left")
-    return joined.unionByName(keyless, allowMissingColumns=True)
+def left_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, spread_by: Sequence[str] | None = None) -> DataFrame:
+    """A left join that spreads rows with a null key; the right key is dropped.
+
+    Null keys match nothing, yet a shuffle would send them all to one task. They get a salt as a second join key, which is
+    0 on every other row and on the right side. The salt is a hash of ``spread_by``, by default the first columns of the
+    row: ids stand there, and hashing all columns would make the scan read them all.
+    """
+    key, other = F.col(left_on), F.col(right_on)
+    spread_by = spread_by or [c for c in left.columns if c != left_on][:3] or [left_on]
+    salt = 1 + F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SALTS))
+    salted = left.withColumn("__salt", F.when(key.isNull(), salt).otherwise(F.lit(0).cast("bigint")))
+    # always 0, but not a literal that the optimizer could move out of the join keys
+    side = right.withColumn("__zero", F.pmod(F.xxhash64(other), F.lit(1).cast("bigint")))
+    joined = salted.join(side, (salted[left_on] == side[right_on]) & (salted["__salt"] == side["__zero"]), "left")
+    return joined.drop(side[right_on]).drop("__salt", "__zero")
 
 
 @dataclass(frozen=True)
@@ -59,7 +68,7 @@ def map_patient(df: DataFrame, patient_map: DataFrame, keys: Sequence[PatientKey
             F.col("sur_patient_id").alias(f"sur_patient_id_from_{key.kind}"),
             F.col("day_offset").alias(f"day_offset_from_{key.kind}"),
         )
-        df = df.join(side, df[key.column] == side["__k"], "left").drop("__k")
+        df = left_join(df, side, key.column, "__k")
     return df
 
 
@@ -71,7 +80,7 @@ def map_encounter(
     people = patient_map.select("sur_patient_id", F.col("day_offset").alias(f"day_offset_from_{kind}"))
     side = visit_map.select(F.col(key).alias("__k"), surrogate, "sur_patient_id").join(people, "sur_patient_id", "left")
     side = side.withColumnRenamed("sur_patient_id", f"sur_patient_id_from_{kind}")
-    return df.join(side, df[column] == side["__k"], "left").drop("__k")
+    return left_join(df, side, column, "__k")
 
 
 def resolve_identity(df: DataFrame, kinds: Sequence[str], default_offset: int) -> DataFrame:
@@ -89,8 +98,6 @@ def resolve_identity(df: DataFrame, kinds: Sequence[str], default_offset: int) -
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key. Spark cuts each task to one row per key before the shuffle (window group limit)."""
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rn", rank).where(F.col("__rn") == 1).drop("__rn")
 
@@ -124,7 +131,7 @@ def follow_path(df: DataFrame, column: str, hops: Sequence[Hop], result: str) ->
     out = df.withColumn("__at", F.col(column))
     for hop in hops:
         step = first_known(hop)
-        out = out.join(step, out["__at"] == step["__k"], "left").drop("__k", "__at").withColumnRenamed("__next", "__at")
+        out = left_join(out, step, "__at", "__k").drop("__at").withColumnRenamed("__next", "__at")
     return out.withColumnRenamed("__at", result)
 
 

@@ -59,7 +59,10 @@ def mask_person(df: DataFrame, row_id: str, text: str, options: NotesOptions) ->
     values = pii_terms(options.pii, dict(options.masks), options.patient)
     terms = values
     if options.combine:
-        terms = values.unionByName(joined_names(options)).groupBy(options.patient, "value").agg(F.min("mask").alias("mask"))
+        # a single name part keeps the mask of its own column
+        both = values.withColumn("rank", F.lit(0)).unionByName(joined_names(options).withColumn("rank", F.lit(1)))
+        first = both.groupBy(options.patient, F.lower("value").alias("key")).agg(F.min(F.struct("rank", "value", "mask")).alias("t"))
+        terms = first.select(options.patient, "t.value", "t.mask")
     out = mask_patient_values(df, row_id, text, terms, options.patient, options.limit)
     if options.fuzzy:
         out = mask_near_values(out, row_id, text, values, options.patient)

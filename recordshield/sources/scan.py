@@ -121,7 +121,7 @@ def rule_sheet(raw: DataFrame) -> DataFrame:
         F.nullif(F.trim("mask_value"), F.lit("")).alias("mask_value"),
     )
     return raw.groupBy("table_name").agg(
-        F.sort_array(F.collect_list(one)).alias("columns_details"), F.count_if(F.lower(F.trim("is_phi")) == "yes").alias("phi_columns")
+        F.sort_array(F.collect_set(one)).alias("columns_details"), F.count_if(F.lower(F.trim("is_phi")) == "yes").alias("phi_columns")
     )
 
 
