@@ -33,7 +33,7 @@ def _words(text: Column) -> Column:
 
 
 def _grams(text: Column, most: int) -> Column:
-    """Distinct runs of 1..most words; the empty run stands for values without any word character."""
+    """Distinct runs of 1..most words."""
 
     def of_size(words: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - n + 1)
@@ -42,7 +42,7 @@ def _grams(text: Column, most: int) -> Column:
         )
 
     def runs(words: Column) -> Column:
-        return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(words, n) for n in range(1, most + 1)]))
+        return F.array_distinct(F.concat(*[of_size(words, n) for n in range(1, most + 1)]))
 
     return let(_words(text), runs)
 
@@ -67,8 +67,12 @@ def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, b
     The words of a note are joined with the words of the terms, so neither side is held whole anywhere, and a note's list
     holds only what its own text calls for.
     """
-    grams = notes.select(note_id, *by, F.explode(_grams(F.col(text), most)).alias("__gram"))
     heads = terms.select(*by, "value", "mask", _head(F.col("value"), most).alias("__gram"))
+    grams = _grams(F.col(text), most)
+    if not heads.where(F.col("__gram") == "").isEmpty():
+        # values without any word character: every note is asked for them
+        grams = F.array_append(grams, F.lit(""))
+    grams = notes.select(note_id, *by, F.explode(grams).alias("__gram"))
     hits = grams.join(heads, [*by, "__gram"])
     return hits.groupBy(note_id).agg(_longest_first(F.collect_set(F.struct("value", "mask"))).alias("terms"))
 

@@ -35,7 +35,8 @@ def ignored_via_hop(
     """
     at = df.where(F.col(column).isNotNull()).select(row_id, F.col(column).alias("__at"))
     for table, key, nxt in hops:
-        step = table.select(F.col(key).alias("__k"), F.col(nxt).alias("__next"))
+        # distinct pairs: a key that repeats on both sides must not multiply
+        step = table.select(F.col(key).alias("__k"), F.col(nxt).alias("__next")).dropna().distinct()
         at = at.join(step, at["__at"] == step["__k"], "inner").select(row_id, F.col("__next").alias("__at"))
     reached = at.where(F.col("__at").isNotNull())
     side = known.select(F.col(known_column).alias("__k"))

@@ -71,8 +71,6 @@ class VersionedTable:
 
     def history(self) -> DataFrame:
         """All versions with their flag."""
-        runs = self.runs()
-        frames = [self.current().withColumn("active_flag", F.lit("Y"))]
-        for r in runs:
-            frames.append(self.spark.read.parquet(f"{self.path}/closed/run={r}").withColumn("active_flag", F.lit("N")))
-        return union_all(frames)
+        closed = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/closed")
+        closed = closed.where(F.col("run").isin(self.runs())).drop("run").withColumn("active_flag", F.lit("N"))
+        return self.current().withColumn("active_flag", F.lit("Y")).unionByName(closed, allowMissingColumns=True)
