@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,11 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def moment(at: date | datetime, dtype: str | T.DataType = "timestamp_ntz") -> Column:
+    """A date or time as a literal of a column's type. It goes by its text, so no time zone of the driver comes in."""
+    return F.lit(at.isoformat(sep=" ") if isinstance(at, datetime) else at.isoformat()).cast(dtype)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
@@ -41,8 +48,7 @@ def comparable(c: str | Column, dtype: T.DataType, null_integer_as_zero: bool =
     """One text form for values that two systems store in different types."""
     c = as_col(c)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        full = F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        return _trim_fraction(full)
+        return c.cast("timestamp_ntz").cast("string")  # a fraction shows without the zeros that end it
     if isinstance(dtype, T.BooleanType):
         c, dtype = c.cast("int"), T.IntegerType()
     if isinstance(dtype, T.IntegralType):
@@ -52,16 +58,10 @@ def comparable(c: str | Column, dtype: T.DataType, null_integer_as_zero: bool =
     if isinstance(dtype, T.DecimalType):
         return F.round(c, 6).cast("decimal(38,6)").cast("string")
     if parse_text:
-        stamp = F.try_to_timestamp(c).cast("timestamp_ntz")
-        return F.coalesce(_trim_fraction(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss.SSSSSS")), c)
+        return F.coalesce(c.try_cast("timestamp_ntz").cast("string"), c)
     return c
 
 
-def _trim_fraction(text: Column) -> Column:
-    """Drop zeros that end the fraction of a second, and the point if nothing is left of it."""
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
 def collapse_note(c: str | Column) -> Column:
     """Whitespace runs to one blank, ``^`` to a blank, trimmed, null to the empty text."""
     text = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), r"\s+", " ")

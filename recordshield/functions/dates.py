@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .clean import as_col, let
-from .patterns import COMPACT_DATE, MONTH, NOTE_DATE, TIME_ONLY
+from .patterns import MONTH, NOTE_DATE, TIME_ONLY
 
 # two-digit years above 75 lie in the last century
 _LATE_YEAR = r"(?<y>7[6-9]|[89]\d)"
@@ -65,7 +65,7 @@ def shift_column(c: str | Column, days: str | Column | int, is_text: bool) -> Co
     c = as_col(c)
     if not is_text:
         return add_days(c.cast("timestamp_ntz"), days)
-    moved = F.date_format(add_days(parse_date(c), days), "yyyy-MM-dd HH:mm:ss")
+    moved = F.substring(add_days(parse_date(c), days).cast("string"), 1, 19)
     return F.when(F.trim(c).rlike(TIME_ONLY), F.trim(c)).otherwise(moved)
 
 
@@ -98,8 +98,9 @@ def shift_dates_in_text(text: str | Column, days: str | Column | int, pad: str =
     days = F.lit(days) if isinstance(days, int) else as_col(days)
 
     def moved(d: Column) -> Column:
-        shape = F.when(d.rlike(r"\d{2}:\d{2}:\d{2}"), "yyyy-MM-dd HH:mm:ss").otherwise("yyyy-MM-dd")
-        shown = F.call_function("date_format", add_days(parse_date(d), F.coalesce(days, F.lit(0))), shape)
+        # by text: date_format would go through the zone of the session and its missing hours
+        length = F.when(d.rlike(r"\d{2}:\d{2}:\d{2}"), 19).otherwise(10)
+        shown = F.substring(add_days(parse_date(d), F.coalesce(days, F.lit(0))).cast("string"), F.lit(1), length)
         return F.concat(F.lit(pad), shown, F.lit(pad))
 
     return rewrite_dates(text, moved, pattern)
@@ -126,6 +127,3 @@ def shift_split_date(day, month, year, days) -> dict[str, Column]:
         "month": F.when(m.isNotNull(), F.coalesce(F.month(moved), m.cast("int"))),
         "year": F.when(y.isNotNull(), F.coalesce(F.year(moved), y.cast("int"))),
     }
-
-
-DATE_IN_COLUMN = NOTE_DATE + "|" + COMPACT_DATE

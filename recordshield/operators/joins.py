@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -120,6 +121,20 @@ class Hop:
     order: str
 
 
+def hops_of(reference: Mapping[str, Any], tables: Mapping[str, DataFrame], order: Mapping[str, str] | None = None) -> list[Hop]:
+    """Hops of a reference path in config form.
+
+    ``reference``: {conditions: [{source_column, reference_table, column_name}], destination_column}. Each condition leads
+    to a row of its table; the next condition's source column, at last the destination column, is taken from it.
+    """
+    steps = reference["conditions"]
+    nexts = [c["source_column"] for c in steps[1:]] + [reference["destination_column"]]
+    order = order or {}
+    return [
+        Hop(tables[c["reference_table"]], c["column_name"], nxt, order.get(c["reference_table"], nxt)) for c, nxt in zip(steps, nexts)
+    ]
+
+
 def first_known(hop: Hop) -> DataFrame:
     """Per key the first value that is not null, by the hop's order column."""
     known = hop.table.where(F.col(hop.next_column).isNotNull() & F.col(hop.key).isNotNull())

@@ -14,7 +14,6 @@ from ..functions.checks import CHECKS, all_hold, sure
 from ..functions.dates import parse_date
 from ..functions.patterns import NOTE_DATE, QC_REASONS
 from ..functions.text import values_pattern
-from .reports import union_all
 
 
 # --- expected ignored rows --------------------------------------------------------------------------------------------
@@ -165,7 +164,3 @@ def text_verdict(rows: DataFrame, checks: dict[str, Column], table: str, column:
         F.count_if(any_failed).alias("failed"),
         *[F.count_if(f).alias(f"failed_{name}") for name, f in zip(checks, flags)],
     ).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "*")
-
-
-def qc_chunks(results: Sequence[DataFrame]) -> DataFrame:
-    return union_all(results)

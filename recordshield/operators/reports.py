@@ -42,8 +42,8 @@ def table_statistics(tables: dict[str, DataFrame]) -> DataFrame:
 
 def extreme_tables(counts: DataFrame, rows: str = "row_count") -> DataFrame:
     """Largest and smallest table; the name decides between equal counts."""
-    big, small = F.struct(F.col(rows), F.col("table_name")), F.struct(F.col(rows), F.col("table_name"))
-    return counts.agg(F.max(big).alias("a"), F.min(small).alias("b")).select(
+    sized = F.struct(F.col(rows), F.col("table_name"))
+    return counts.agg(F.max(sized).alias("a"), F.min(sized).alias("b")).select(
         F.col("a.table_name").alias("largest"),
         F.col(f"a.{rows}").alias("largest_rows"),
         F.col("b.table_name").alias("smallest"),

@@ -8,6 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clean import moment
 from ..operators.mapping import keyed_offset
 from ..sources.scan import spread
 
@@ -111,16 +112,16 @@ def _order_columns(df: DataFrame, extracted: date, *extra) -> DataFrame:
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    old = table(spark, sf, "orders").where(F.col("o_orderdate") < F.lit(CUT))
+    old = table(spark, sf, "orders").where(F.col("o_orderdate") < moment(CUT))
     return _order_columns(old, date(2000, 1, 2), (F.col("o_orderkey") + 1).alias("row_id"), F.lit("Y").alias("active_flag"))
 
 
 def increment(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    fresh = orders.where(F.col("o_orderdate") >= F.lit(CUT))
-    changed = orders.where((F.col("o_orderdate") < F.lit(CUT)) & (F.col("o_orderpriority") == "1-URGENT"))
+    fresh = orders.where(F.col("o_orderdate") >= moment(CUT))
+    changed = orders.where((F.col("o_orderdate") < moment(CUT)) & (F.col("o_orderpriority") == "1-URGENT"))
     changed = changed.withColumns(
-        {"o_orderstatus": F.lit("X"), "o_orderdate": F.lit(datetime(2001, 9, 1)).cast("timestamp_ntz")}
+        {"o_orderstatus": F.lit("X"), "o_orderdate": moment(datetime(2001, 9, 1))}
     )
     day = date(2001, 9, 2)
     return _order_columns(fresh, day).unionByName(_order_columns(changed, day))

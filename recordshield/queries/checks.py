@@ -12,7 +12,7 @@ from ..operators.joins import PatientKey, map_patient, pair_by_id, resolve_ident
 from ..operators.notes import attach_terms, mask_patient_values, pii_terms
 from ..operators.numbering import number_rows
 from ..operators.reports import union_all
-from .base import LINE_KEY, MAPS_SQL, NOTES_SQL, PATIENTS_SQL, encounters, patients, query, table
+from .base import LINE_KEY, MAPS_SQL, NOTES_SQL, PATIENTS_SQL, encounters, patients, query, table, text_table
 from .masking import whole_table
 from .texts import NAME_MASK, owned_notes, pii
 
@@ -257,7 +257,7 @@ def q12(spark, sf):
     wrong_way = F.concat(F.lit("from "), back, F.lit(" to "), back, F.lit(" ok"))
     lost = F.concat(F.lit("from "), moved, F.lit(" on"))
     low = F.col("o_orderpriority") == "5-LOW"
-    rows = table(spark, sf, "orders").select(
+    rows = text_table(spark, sf, "orders").select(
         "o_orderkey",
         F.when(low & (s == "O"), F.concat(before, F.lit(" born 1990-01-01"))).otherwise(before).alias("before"),
         F.when(s == "F", good).when(low & (s == "O"), F.concat(good, F.lit(" born 1990"))).when(s == "O", wrong_way).otherwise(lost).alias("after"),
@@ -271,7 +271,7 @@ def q12(spark, sf):
     "SELECT doc_id, NOT (lang = 'de' AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])und([^A-Za-z0-9_]|$)')) AS done FROM documents",
 )
 def q13(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = text_table(spark, sf, "documents")
     after = F.when(F.col("lang") == "de", F.col("text")).otherwise(replace_words("text", [("und", "UNDX")]))
     rows = docs.select("doc_id", F.col("text").alias("before"), F.regexp_replace(after, "UNDX", "et").alias("after"))
     return rows.select("doc_id", Q.replacement_done("before", "after", "und", "et").alias("done"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import clean
 from ..operators import filters
 from ..operators.joins import PatientKey, map_patient
-from .base import LAYERS_SQL, PATIENTS_SQL, history, increment, patients, query, table
+from .base import LAYERS_SQL, PATIENTS_SQL, history, increment, patients, query, table, text_table
 
 
 @query(
@@ -178,12 +178,12 @@ def p11(spark, sf):
     "SELECT doc_id, trim(replace(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^', ' '), ' ') AS text FROM documents",
 )
 def p12(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", clean.collapse_note("text").alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", clean.collapse_note("text").alias("text"))
 
 
 @query("p13_strip_control", "SELECT doc_id, regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g') AS text FROM documents")
 def p13(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", clean.strip_control("text").alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", clean.strip_control("text").alias("text"))
 
 
 @query(
@@ -194,7 +194,7 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(translate
 """,
 )
 def p14(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", clean.clean_term("text").alias("term"))
+    return text_table(spark, sf, "documents").select("doc_id", clean.clean_term("text").alias("term"))
 
 
 def _split(spark, sf):

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clean import moment
 from ..functions.dates import shift_split_date
 from ..functions.rules import RuleContext, apply_rule
 from ..operators.images import mask_headers
@@ -188,7 +189,7 @@ WHERE coalesce(e.sur_patient_id, p.sur_patient_id) IS NOT NULL AND NOT (o_totalp
 
 def whole_table(spark, sf):
     spec = TableSpec("orders", ORDER_RULES, ignore_rows=IgnoreRule((("o_totalprice", "lt", 5000),)))
-    stamp = F.lit(datetime(2001, 6, 1, 8)).cast("timestamp_ntz")
+    stamp = moment(datetime(2001, 6, 1, 8))
     return deidentify_table(table(spark, sf, "orders"), spec, Maps(patients(spark, sf), encounters(spark, sf)), Options(stamp=stamp))
 
 

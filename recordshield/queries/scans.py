@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.clean import moment
 from ..operators.numbering import id_ranges, number_rows
 from ..operators.profile import catalog
 from ..session import scratch_path
@@ -153,7 +154,7 @@ def s9(spark, sf):
 def s10(spark, sf):
     orders = table(spark, sf, "orders").withColumn("scratch", F.lit(1))
     path = scratch_path(spark, "append")
-    stamp = F.lit(datetime(2001, 6, 1, 12)).cast("timestamp_ntz")
+    stamp = moment(datetime(2001, 6, 1, 12))
     early, late = orders.where("o_orderdate < '1998-01-01'"), orders.where("o_orderdate >= '1998-01-01'")
     for part in (early, late):
         sink.append(part, path, ["o_orderkey", "o_totalprice", "deid_ts"], "deid_ts", stamp)

@@ -179,7 +179,7 @@ def x7(spark, sf):
         F.lit(", then "),
         F.date_format(d, "MMMM d, yyyy"),
         F.lit(" and "),
-        F.date_format(d, "yyyy-MM-dd HH:mm:ss"),
+        F.col(d).cast("string"),
         F.lit("; no 2021-13-40."),
     )
     return owned_notes(spark, sf).select("note_id", shift_dates_in_text(text, "day_offset").alias("note"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.clean import moment
 from ..functions.rules import output_type
 from ..spec import TableSpec
 
@@ -27,8 +28,9 @@ def incremental_scan(
     if mark is None:
         return out
     at = F.col(column)
-    low, high = day_start(mark), day_start(today)
-    return out.where((at > F.lit(low)) & ((at <= F.lit(high)) if closed else (at < F.lit(high))))
+    dtype = source.schema[column].dataType
+    low, high = moment(day_start(mark), dtype), moment(day_start(today), dtype)
+    return out.where((at > low) & ((at <= high) if closed else (at < high)))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def newest_runs(runs: DataFrame, run: str, keep: int) -> DataFrame:
 def since_mark(history: DataFrame, processed: DataFrame | None, column: str = "extracted_date") -> DataFrame:
     """Rows newer than the mark of the processed layer. No mark: all rows; with a mark, rows without a date are left out."""
     mark = processed.agg(F.max(column)).first()[0] if processed is not None else None
-    return history if mark is None else history.where(F.col(column) > F.lit(mark))
+    return history if mark is None else history.where(F.col(column) > moment(mark, history.schema[column].dataType))
 
 
 def image_inventory(headers: DataFrame, levels: dict[str, Sequence[str]], path: str) -> DataFrame:

@@ -91,6 +91,11 @@ def test_dates_in_text(spark, given, want):
     assert value(spark, dates.shift_dates_in_text(lit(given), 10)) == want
 
 
+def test_birth_date_in_text(spark):
+    out = dates.dob_to_year_in_text(lit("born 03/04/1980, seen 1980-03-05"), F.lit("1980-03-04"))
+    assert value(spark, out) == "born 1980, seen 1980-03-05"
+
+
 def test_split_date_keeps_gaps(spark):
     moved = dates.shift_split_date(F.lit(None).cast("int"), F.lit(2), F.lit(2020), F.lit(5))
     row = spark.range(1).select(*[c.alias(n) for n, c in moved.items()]).first()

@@ -97,6 +97,24 @@ def test_follow_path_takes_the_first_known_value(spark):
     assert {(r["k"], r["r"]) for r in out.collect()} == {("a", 7), ("b", None), ("c", None), (None, None)}
 
 
+def test_hops_from_config(spark):
+    tables = {
+        "visits": spark.createDataFrame([(1, 7), (2, 8)], "visit int, person int"),
+        "people": spark.createDataFrame([(7, "c7"), (8, None)], "id int, chart string"),
+    }
+    reference = {
+        "source_table": "lines",
+        "conditions": [
+            {"source_column": "visit_id", "reference_table": "visits", "column_name": "visit"},
+            {"source_column": "person", "reference_table": "people", "column_name": "id"},
+        ],
+        "destination_column": "chart",
+    }
+    df = spark.createDataFrame([(1,), (2,), (3,)], "visit_id int")
+    out = joins.follow_path(df, "visit_id", joins.hops_of(reference, tables), "chart")
+    assert {(r[0], r[1]) for r in out.collect()} == {(1, "c7"), (2, None), (3, None)}
+
+
 def test_bridge_join_drops_rows_without_target(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k int")
     bridge = spark.createDataFrame([("1", "p"), ("1", "p"), ("2", ""), ("3", None)], "src string, dst string")
