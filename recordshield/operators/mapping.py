@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import normalise_id
-from ..session import store
+from ..session import discard, store_at
 from .filters import rename
 from .numbering import number_rows
 
@@ -33,27 +33,30 @@ def identifier_nodes(sources: Sequence[DataFrame], kinds: Sequence[str]) -> Data
     return reduce(lambda a, b: a.unionByName(b), parts).where(F.size("nodes") > 0)
 
 
-def components(rows: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(rows: DataFrame) -> DataFrame:
     """(node, component): nodes that share a row, directly or through others, get one component, the least node of it.
 
     Alternating star contraction: each round hangs the neighbours of every node onto the least one, first the larger
-    neighbours, then the smaller ones. The number of rounds grows with the logarithm of the longest chain. The edges are
-    written to the shared folder after each round.
+    neighbours, then the smaller ones. The number of rounds grows with the logarithm of the longest chain; every round
+    that changes an edge lowers a node, so the loop ends. Edges and the least neighbours are written to the shared folder,
+    and a round's files go when the next one is written. The join back to the edges reads both sides from files, so that
+    a hub (one identifier shared by a third of the rows) can be split over tasks by the adaptive skew join.
     """
+    spark = rows.sparkSession
     first = F.col("nodes")[0]
     # a row of k ids needs k - 1 edges; a single id keeps an edge to itself
-    edges = rows.select(F.explode("nodes").alias("u"), first.alias("v")).distinct()
+    edges, _ = store_at(rows.select(F.explode("nodes").alias("u"), first.alias("v")).distinct(), "edges")
     nodes_only = edges.where(F.col("u") == F.col("v")).select("u")
-    edges = store(edges.where(F.col("u") != F.col("v")), "edges")
-    before = _signature(edges)
-    for _ in range(max_rounds):
-        edges = store(_small_star(_large_star(edges)), "edges")
+    edges, path, before = edges.where(F.col("u") != F.col("v")), None, None
+    while True:
         now = _signature(edges)
-        if now == before:
+        if now == before or now[0] == 0:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        large, large_path = _large_star(edges)
+        edges, new_path = store_at(_small_star(large), "edges")
+        discard(spark, *large_path, *([path] if path else []))
+        path = new_path
     hung = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = hung.select(F.col("component").alias("node"))
     alone = nodes_only.select(F.col("u").alias("node")).unionByName(roots).distinct()
@@ -68,10 +71,12 @@ def _signature(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least, least_path = store_at(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    moved = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved, moved_path = store_at(moved, "edges")
+    return moved, (least_path, moved_path)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -51,6 +51,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: the lineage ends in files that survive lost executors."""
+    return store_at(df, label)[0]
+
+
+def store_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``store``, with the path, for frames of a loop that :func:`discard` removes once the next round is written."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch that nothing reads any more; only paths below the scratch folder are taken."""
+    root = f"{scratch_folder(spark)}/recordshield/"
+    for path in paths:
+        if not path.startswith(root) or ".." in path:
+            raise ValueError(f"{path} is no scratch of this library")
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
