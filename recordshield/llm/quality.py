@@ -32,6 +32,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Up to this many repeated windows of a text are looked up one by one.
+SHORT_LIST = 128
 
 #: Measures that rules may test, as expressions over the counts below. Counts are first divided by the words.
 MEASURES = {
@@ -65,25 +67,31 @@ Rule = tuple[Condition, ...]
 def _repeat_words(tokens: Column) -> Column:
     """Words inside a window of three that occurs twice or more in the text.
 
-    Windows are sorted by their hash with their place behind it, so that equal ones stand together; the places of those
-    with an equal neighbour are put back in order and the words they cover are counted once.
+    Windows are known by their hash. Those that occur again are found by sorting the hashes; their places are then looked up
+    in the short list of repeated hashes, or, where that list is long, by sorting the hashes once more with their places.
+    In place order, the words they cover are counted once. Both ways give the same places.
     """
     places = F.when(F.size(tokens) >= WINDOW, F.sequence(F.lit(0), F.size(tokens) - WINDOW)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)]))
 
-    def covered(hashed: Column) -> Column:
+    def looked_up(hashed: Column, again: Column) -> Column:
+        return F.filter(F.transform(hashed, lambda h, i: F.when(F.array_contains(again, h), i)), lambda i: i.isNotNull())
+
+    def sorted_out(hashed: Column) -> Column:
         ordered = F.array_sort(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = let(
+        beside = let(
             ordered,
             lambda a: F.filter(a, lambda x, k: (F.get(a, k - 1)["h"] == x["h"]) | (F.get(a, k + 1)["h"] == x["h"])),
         )
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+        return F.array_sort(F.transform(beside, lambda x: x["i"]))
+
+    def covered(hashed: Column) -> Column:
+        again = let(F.sort_array(hashed), lambda a: F.array_distinct(F.filter(a, lambda h, k: F.get(a, k + 1) == h)))
+        found = let(again, lambda d: F.when(F.size(d) <= SHORT_LIST, looked_up(hashed, d)).otherwise(sorted_out(hashed)))
         return F.aggregate(
-            F.array_sort(F.transform(twice, lambda x: x["i"])),
-            start,
-            lambda acc, p: F.struct(
-                (acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n"), (p + WINDOW).alias("end")
-            ),
+            found,
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+            lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n"), (p + WINDOW).alias("end")),
             lambda acc: acc["n"],
         )
 
@@ -99,12 +107,15 @@ def describe(df: DataFrame, text: str = "text") -> DataFrame:
         return F.regexp_count(body, F.lit(f"[{characters}]"))
 
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    counted = let(words(body), lambda t: F.struct(F.size(t).alias("n"), _repeat_words(t).alias("r")))
+    counted = let(
+        words(body),
+        lambda t: F.struct(F.size(t).alias("n"), F.length(F.array_join(t, "")).alias("c"), _repeat_words(t).alias("r")),
+    )
     line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     wide = df.withColumns({"__words": counted, "__lines": line_counts})
     counts = {
         "n_words": F.col("__words.n"),
-        "word_chars": F.length(body) - count(r"\x20\x09-\x0D"),
+        "word_chars": F.col("__words.c"),
         "n_symbols": count(SYMBOLS),
         "n_dup_lines": F.col("__lines.d"),
         "n_repeat_words": F.col("__words.r"),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, url_filter
+from . import mixing, quality, sharding, simhash, substring, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,13 @@ _MIX_SQL = f"""
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.dedup_table(table(spark, sf, "documents"))
+
+
+@query("op8_simhash_dedup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
