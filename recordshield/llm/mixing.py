@@ -110,3 +110,25 @@ def mix(
     return due.select(
         *keep, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float], share: float, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The documents with their own columns, each repeated as often as the mix takes it.
+
+    Copies meet their text by (doc_id, text hash); rows that repeat both are drawn one by one, and share their copies out evenly.
+    """
+    mark = F.xxhash64("text")
+    drawn = mix(docs.withColumn("__mark", mark), weights, share, most, seed, keep=("doc_id", "__mark"))
+    copies = drawn.groupBy("doc_id", "source", "__mark").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
+    copies = copies.where(F.col("total") > 0).select(
+        F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("__mark").alias("c_mark"), "total", "rows"
+    )
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), mark.alias("r_mark")
+    )
+    on = F.col("r_id").eqNullSafe(F.col("c_id")) & F.col("r_source").eqNullSafe(F.col("c_source")) & (F.col("r_mark") == F.col("c_mark"))
+    met = rows.join(copies, on)
+    # a single row takes all its copies; of rows that repeat, all take the whole share and the rest goes by their number
+    place = F.when(F.col("rows") > 1, F.pmod(F.monotonically_increasing_id(), F.col("rows"))).otherwise(F.lit(0))
+    times = F.floor(F.col("total") / F.col("rows")) + (place < F.col("total") % F.col("rows")).cast("bigint")
+    return met.withColumn("times", times.cast("int")).where(F.col("times") > 0).select(F.explode(F.sequence(F.lit(1), F.col("times"))), "row").select("row.*")

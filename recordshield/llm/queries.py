@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, substring, url_filter
+from . import bpe, langid, mixing, neighbours, quality, sharding, simhash, substring, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,33 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_simhash_dedup")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    path, pattern = vocabulary()
+    return bpe.encode_table(table(spark, sf, "documents"), path, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_records(index, folder, payloads=False).drop("url", "payload")
