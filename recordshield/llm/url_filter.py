@@ -88,7 +88,7 @@ def _branches(paths: DataFrame, depth: int) -> DataFrame:
     node = W.partitionBy("host", "template").orderBy(F.col("share").asc_nulls_first(), "segment")
     last_share, last_labelled = F.lag("share").over(node), F.lag("labelled").over(node)
     bound = math.sqrt(0.5 * math.log(2 / CONFIDENCE))
-    differs = F.col("share") - last_share > F.lit(bound) * (1 / F.sqrt("labelled") + 1 / F.sqrt(last_labelled))
+    differs = F.col("share") - last_share > F.lit(bound) * (F.try_divide(F.lit(1.0), F.sqrt("labelled")) + F.try_divide(F.lit(1.0), F.sqrt(last_labelled)))
     merged = (
         frequent.withColumn("share", share)
         .withColumn("starts", F.when(differs, 1).otherwise(0))
@@ -136,7 +136,7 @@ def template_purity(paths: DataFrame) -> DataFrame:
     templates = store(
         paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "templates"
     )
-    total = templates.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("rate")).first()["rate"]
+    total = templates.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("rate")).first()["rate"]
 
     def smoothed(prior: Column) -> Column:
         return (F.col("bad") + F.lit(PRIOR) * prior) / (F.col("labelled") + F.lit(PRIOR))
