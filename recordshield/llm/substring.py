@@ -6,9 +6,9 @@ three sentences with at least fifteen words. Spans are hashed (128 bits of their
 corpus; all sentences that lie in a repeated span which is not its first (by document id, then text hash, then place) are removed.
 What is left keeps its bytes; a text without removals comes back as it was.
 
-One shuffle finds the repeats. Within a batch of documents only the first span of a hash is sent on; its other occurrences are
+One shuffle finds the repeats. Within a slice of some megabytes of documents only the first span of a hash is sent on; its other occurrences are
 already known to repeat and leave as merged intervals. So a hash that stands in a third of all texts brings one row per
-batch, not one per text. Intervals of a document meet its text by (id, text hash).
+slice, not one per text. Intervals of a document meet its text by (id, text hash).
 
 Defined cases: null and blank texts have no sentences and come back unchanged; a text all of whose sentences repeat comes back
 empty, not dropped; rows that repeat id and text are one document and get the same text; equal ids with other texts are told
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 SPAN_SENTENCES = 3
 SPAN_WORDS = 15
 PIECE_WORDS = 10
+#: Texts that a task looks at together.
+SLICE_CHARS = 8 << 20
 
 _SENTENCE = re.compile(r".+?(?:[.!?]+\s+|\n\s*|$)", re.DOTALL)
 _PIECE = re.compile(rf"\s*(?:\S+\s*){{1,{PIECE_WORDS}}}")
@@ -81,16 +83,30 @@ def _merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (doc_id, text_hash, text) in lists of about SLICE_CHARS of text, so that a task's memory does not follow the length of texts."""
+    rows, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            for row in zip(*[batch.slice(start, 256).column(c).to_pylist() for c in ("doc_id", "text_hash", "text")]):
+                rows.append(row)
+                size += len(row[2])
+                if size >= SLICE_CHARS:
+                    yield rows
+                    rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def _batch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()),
         ("known", pa.bool_()),
     ])
-    for batch in batches:
+    for rows in _slices(batches):
         seen: dict[bytes, tuple] = {}
         known: list[tuple] = []
-        rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")])
-        # in document order, so that the first occurrence in the batch is met first
+        # in document order, so that the first occurrence in the slice is met first
         for doc, mark, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
             again = []
             for first, last, digest in spans(sentences(text)):
