@@ -73,10 +73,11 @@ def birth_year(c: str | Column, is_text: bool = True) -> Column:
     return F.year(parse_date(c) if is_text else as_col(c)).cast("int")
 
 
-def rewrite_matches(text: str | Column, pattern: str, change) -> Column:
+def rewrite_matches(text: str | Column, pattern: str | Column, change) -> Column:
     """Every match of a pattern replaced by ``change(match)``; where that is null the match stays as written."""
 
     text = as_col(text)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def rebuilt(found: Column) -> Column:
         changed = F.transform(found["m"], lambda m: F.coalesce(change(m), m))
@@ -85,7 +86,7 @@ def rewrite_matches(text: str | Column, pattern: str, change) -> Column:
         return F.when(F.size(found["m"]) > 0, joined).otherwise(found["t"])
 
     def searched(whole: Column) -> Column:
-        return let(F.struct(whole.alias("t"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)).alias("m")), rebuilt)
+        return let(F.struct(whole.alias("t"), F.regexp_extract_all(whole, pattern, F.lit(0)).alias("m")), rebuilt)
 
     return let(text, searched)
 

@@ -41,30 +41,41 @@ def values_pattern(values: Column) -> Column:
     return F.concat(F.lit("(?i)"), F.array_join(F.array_compact(parts), "|"))
 
 
-def term_patterns(terms: str | Column) -> Column:
-    """``array<struct<value,mask>>`` as one (pattern, replacement) per mask, in the order of the first value of each mask."""
+def compiled_terms(terms: str | Column) -> Column:
+    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms>: one pattern over all values, whatever their masks."""
 
-    def by_mask(present: Column) -> Column:
-        return F.transform(
-            F.array_distinct(F.transform(present, lambda t: t["mask"])),
-            lambda mask: F.struct(
-                values_pattern(F.transform(F.filter(present, lambda t: t["mask"] == mask), lambda t: t["value"])).alias("pattern"),
-                F.regexp_replace(mask, r"([\\$])", r"\\$1").alias("replacement"),
-            ),
-        )
+    def compiled(present: Column) -> Column:
+        pattern = values_pattern(F.transform(present, lambda t: t["value"]))
+        return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), present.alias("terms")))
 
-    return let(F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != "")), by_mask)
+    return let(F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != "")), compiled)
 
 
-def mask_patterns(text: str | Column, patterns: str | Column) -> Column:
-    """Fold (pattern, replacement) pairs over a text; without any the text stays."""
-    folded = F.aggregate(as_col(patterns), as_col(text), lambda acc, p: F.regexp_replace(acc, p["pattern"], p["replacement"]))
-    return F.coalesce(folded, as_col(text))
+def _mask_of(found: Column, terms: Column) -> Column:
+    """The mask of the longest value that the match is, with or without the quotes around it."""
+    bare = F.regexp_replace(found, r"^['\"/]", "")
+    forms = F.transform(
+        F.array(found, bare, F.regexp_replace(found, r"['\"]$", ""), F.regexp_replace(bare, r"['\"]$", "")), lambda x: F.lower(x)
+    )
+
+    def first_of(same: Column) -> Column:
+        hits = F.filter(terms, lambda t: F.array_contains(same, F.lower(F.trim(t["value"]))))
+        # every match is some value; should letter case hide which one, it is masked all the same
+        return F.coalesce(F.get(hits, F.lit(0))["mask"], F.get(terms, F.lit(0))["mask"])
+
+    return let(forms, first_of)
+
+
+def mask_compiled(text: str | Column, compiled: str | Column) -> Column:
+    """One pass over the text: at each place the longest value wins, and no mask is looked at again."""
+    c = as_col(compiled)
+    masked = rewrite_matches(text, c["pattern"], lambda found: _mask_of(found, c["terms"]))
+    return F.when(c.isNull(), as_col(text)).otherwise(masked)
 
 
 def mask_values(text: str | Column, terms: str | Column) -> Column:
-    """Replace the values of an ``array<struct<value,mask>>`` in a text: one pattern and one pass per mask."""
-    return mask_patterns(text, term_patterns(terms))
+    """Replace the values of an ``array<struct<value,mask>>``, longest first, in a text in one pass."""
+    return let(compiled_terms(terms), lambda c: mask_compiled(text, c))
 
 
 def mask_regexes(text: str | Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:

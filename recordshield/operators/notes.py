@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.clean import let
 from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
-from ..functions.text import mask_patterns, mask_values, term_patterns
+from ..functions.text import compiled_terms, mask_compiled, mask_values
 
 HITS = T.ArrayType(
     T.StructType([T.StructField("place", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("mask", T.StringType())])
@@ -48,7 +48,14 @@ def _grams(text: Column, most: int) -> Column:
 
 
 def _head(value: Column, most: int) -> Column:
-    return F.array_join(F.slice(_words(value), 1, most), " ")
+    """The key a value is looked up by: its first words; a value without any, its first character."""
+    first = F.array_join(F.slice(_words(value), 1, most), " ")
+    return F.xxhash64(F.when(first != "", first).otherwise(F.concat(F.lit("\0"), F.substring(F.trim(value), 1, 1))))
+
+
+def _signs(text: Column) -> Column:
+    """Distinct characters that are neither white space nor part of a word."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([^A-Za-z0-9_\s])"), F.lit(1)))
 
 
 def _longest_first(terms: Column) -> Column:
@@ -64,51 +71,52 @@ def _longest_first(terms: Column) -> Column:
 def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, by: Sequence[str] = (), most: int = 3) -> DataFrame:
     """(note_id, terms): the values of a term table whose first words occur in the note.
 
-    The words of a note are joined with the words of the terms, so neither side is held whole anywhere, and a note's list
-    holds only what its own text calls for.
+    Runs of words of a note are joined with the first words of the terms, as 64-bit hashes (two runs of one hash only add a
+    value that is then not found), so neither side is held whole anywhere, and a note's list holds only what its own text
+    calls for. A word that stands in every note is a hot key of a plain equi-join, which the adaptive skew join splits.
     """
     heads = terms.select(*by, "value", "mask", _head(F.col("value"), most).alias("__gram"))
-    grams = _grams(F.col(text), most)
-    if not heads.where(F.col("__gram") == "").isEmpty():
-        # values without any word character: every note is asked for them
-        grams = F.array_append(grams, F.lit(""))
-    grams = notes.select(note_id, *by, F.explode(grams).alias("__gram"))
+    keys = F.transform(_grams(F.col(text), most), lambda g: F.xxhash64(g))
+    if not terms.where(F.size(_words(F.col("value"))) == 0).isEmpty():
+        # values without any word character are looked up by their first sign
+        keys = F.concat(keys, F.transform(_signs(F.col(text)), lambda c: F.xxhash64(F.concat(F.lit("\0"), c))))
+    grams = notes.select(note_id, *by, F.explode(keys).alias("__gram"))
     hits = grams.join(heads, [*by, "__gram"])
     return hits.groupBy(note_id).agg(_longest_first(F.collect_set(F.struct("value", "mask"))).alias("terms"))
 
 
-def attach_terms(
-    notes: DataFrame, note_id: str, text: str, terms: DataFrame, patient: str = "sur_patient_id", limit: int = 200, most: int = 3
-) -> DataFrame:
-    """Notes with the masking list of their person, longest value first, as ``terms`` and ready to use as ``patterns``.
-
-    A person with up to ``limit`` values brings them as one array. People with more go the exact other way: only the values
-    whose words occur in the note are attached.
-    """
-    heavy = terms.groupBy(patient).count().where(F.col("count") > limit).select(patient)
-    if heavy.isEmpty():
-        return notes.join(_bundles(terms, patient), patient, "left")
-    light = notes.join(heavy, patient, "left_anti").join(
-        _bundles(terms.join(heavy, patient, "left_anti"), patient), patient, "left"
-    )
-    heavy_notes = notes.join(heavy, patient, "left_semi")
-    found = terms_in_text(heavy_notes, note_id, text, terms.join(heavy, patient, "left_semi"), [patient], most)
-    found = found.withColumn("patterns", term_patterns("terms"))
-    return light.unionByName(heavy_notes.join(found, note_id, "left").select(*light.columns))
+def attach_terms(notes: DataFrame, note_id: str, text: str, terms: DataFrame, patient: str = "sur_patient_id") -> DataFrame:
+    """Notes with the whole masking list of their person as ``terms``, longest value first."""
+    return notes.join(_bundles(terms, patient).drop("compiled"), patient, "left")
 
 
 def _bundles(terms: DataFrame, patient: str) -> DataFrame:
-    """One list per person; its patterns are built here, once per person and not once per note."""
+    """One list per person; its pattern is built here, once per person and not once per note."""
     listed = terms.groupBy(patient).agg(_longest_first(F.collect_list(F.struct("value", "mask"))).alias("terms"))
-    return listed.withColumn("patterns", term_patterns("terms"))
+    return listed.withColumn("compiled", compiled_terms("terms"))
 
 
 def mask_patient_values(
     notes: DataFrame, note_id: str, text: str, terms: DataFrame, patient: str = "sur_patient_id", limit: int = 200
 ) -> DataFrame:
-    """Every value of the person masked in the person's notes."""
-    attached = attach_terms(notes, note_id, text, terms, patient, limit)
-    return attached.withColumn(text, mask_patterns(text, "patterns")).select(*notes.columns)
+    """Every value of the person masked in the person's notes: one pass, the longest value first.
+
+    A person with up to ``limit`` values brings them as one list. For people with more, only the values whose words occur in the
+    note are brought; the others could not match, so the text is the same either way and ``limit`` only chooses the plan.
+    """
+    heavy = terms.groupBy(patient).count().where(F.col("count") > limit).select(patient)
+    if heavy.isEmpty():
+        return _masked(notes, notes.join(_bundles(terms, patient), patient, "left"), text)
+    light = notes.join(heavy, patient, "left_anti")
+    light = light.join(_bundles(terms.join(heavy, patient, "left_anti"), patient), patient, "left")
+    heavy_notes = notes.join(heavy, patient, "left_semi")
+    found = terms_in_text(heavy_notes, note_id, text, terms.join(heavy, patient, "left_semi"), [patient])
+    found = found.withColumn("compiled", compiled_terms("terms"))
+    return _masked(notes, light, text).unionByName(_masked(notes, heavy_notes.join(found, note_id, "left"), text))
+
+
+def _masked(notes: DataFrame, attached: DataFrame, text: str) -> DataFrame:
+    return attached.withColumn(text, mask_compiled(text, "compiled")).select(*notes.columns)
 
 
 def mask_dictionary(notes: DataFrame, note_id: str, text: str, dictionary: DataFrame, most: int | None = None) -> DataFrame:
@@ -154,7 +162,7 @@ def mask_near_values(
     A person's values are cut into chunks by hash; a note meets each chunk of its own person once. Only rows with a hit go
     on to the regrouping, and the text itself is masked by native expressions.
     """
-    notes = mask_patient_values(notes, note_id, text, terms, patient, chunk)
+    notes = mask_patient_values(notes, note_id, text, terms, patient)
     usable = terms.where(F.length("value") >= 3)
     norm = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[‘’`]", "'"), "[–—]", "-"), r"\s+", " "))
     usable = usable.select(patient, norm.alias("value"), "mask")

@@ -61,6 +61,27 @@ def x1_many(spark, sf):
     return N.mask_patient_values(owned, "note_id", "note", terms, limit=2).select("note_id", "note")
 
 
+@query(
+    "x1_two_masks",
+    f"""
+{NOTES}
+SELECT note_id, regexp_replace(regexp_replace(regexp_replace(note, 'Customer#[0-9]+', '((NAME))'), '716-555-[0-9]+', '((PHONE))'), 'order [0-9]+', '((ORDER))') AS note
+FROM notes JOIN pmap USING (custkey)
+""",
+)
+def x1_two_masks(spark, sf):
+    """Values inside other values under other masks, and a value that is the word of a mask: the longest wins, masks stay as they are."""
+    owned = owned_notes(spark, sf)
+    found = {"phone": r"716-555-\d+", "order": r"order \d+", "word": "order", "role": "Customer", "part": "716"}
+    values = pii(spark, sf)
+    for role, pattern in found.items():
+        values = values.unionByName(owned.select("sur_patient_id", F.regexp_extract("note", pattern, 0).alias(role)), allowMissingColumns=True)
+    values = values.withColumn("mask", F.lit("name"))
+    masks = {"word": "((A))", "role": "((B))", "part": "((C))", "mask": "((D))", "name": "((NAME))", "order": "((ORDER))", "phone": "((PHONE))"}
+    terms = N.pii_terms(values, masks)
+    return N.mask_patient_values(owned, "note_id", "note", terms, limit=6).select("note_id", "note")
+
+
 @query(
     "x2_mask_near_values",
     f"{NOTES} SELECT note_id, regexp_replace(note, 'Customer#[0-9]+', '((NAME))') AS note FROM notes JOIN pmap USING (custkey)",

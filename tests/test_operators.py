@@ -244,6 +244,20 @@ def test_all_ways_of_masking_give_the_same(spark, limit):
     assert got[4] == "Ann" and got[5] is None
 
 
+@pytest.mark.parametrize("limit", [1, 200])
+def test_longest_value_wins_over_all_masks(spark, limit):
+    texts = ["saw ann lee today", "patient Name is ann", "§§ and §§x, 'lee'", "LEE ann/lee; ann lee-x", "ann@mail.org annx"]
+    df = spark.createDataFrame([(i, 10, t) for i, t in enumerate(texts)], "note_id int, sur_patient_id int, note string")
+    terms = [("a much longer value", "((A))"), ("ann", "((A))"), ("ann lee", "((B))"), ("lee", "((C))"), ("patient", "((NAME))"), ("name", "((B))"), ("§§", "((S))")]
+    for extra in ([], [("unrelated", "((0))"), ("zz", "((9))")]):
+        frame = spark.createDataFrame([(10, v, m) for v, m in terms + extra], "sur_patient_id int, value string, mask string")
+        got = dict(rows(notes.mask_patient_values(df, "note_id", "note", frame, limit=limit)[["note_id", "note"]]))
+        assert list(got.values()) == [
+            "saw ((B)) today", "((NAME)) ((B)) is ((A))", "§§ and §§x, ((C))", "((C)) ((A))/((C)); ((B))-x", "ann@mail.org annx",
+        ]
+        assert dict(rows(notes.mask_dictionary(df, "note_id", "note", frame.drop("sur_patient_id"))[["note_id", "note"]])) == got
+
+
 @pytest.mark.parametrize("chunk", [1, 200])
 def test_near_values(spark, chunk):
     df = spark.createDataFrame([(1, 10, "Jonson saw Johnson, mary ane and Bob"), (2, 10, "nothing here")], "note_id int, sur_patient_id int, note string")
