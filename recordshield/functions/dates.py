@@ -45,9 +45,33 @@ def _steps(text: Column, steps: list[tuple[str, str]]) -> Column:
     return text
 
 
+# a time of day behind a date: 24 hours or AM/PM, a fraction, a zone (the written clock is kept, whatever its zone)
+_TIMED = (
+    r"(?i)^(.*\d)(?:T|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*(?:([ap])\.?m\.?)?\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+)
+
+
 def parse_date(c: str | Column, compact: bool = True) -> Column:
-    """The ladder: TIMESTAMP_NTZ, or null when no shape fits."""
-    t = F.trim(as_col(c).cast("string"))
+    """The ladder: TIMESTAMP_NTZ, or null when no shape fits. A time of day behind a date of any shape goes with it."""
+    text = F.trim(as_col(c).cast("string"))
+
+    def timed(t: Column) -> Column:
+        hour, minute = F.regexp_extract(t, _TIMED, 2).try_cast("int"), F.regexp_extract(t, _TIMED, 3).try_cast("int")
+        second = F.coalesce(F.regexp_extract(t, _TIMED, 4).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+        half = F.lower(F.regexp_extract(t, _TIMED, 5))
+        known = F.when(half == "", hour < 24).otherwise(hour.between(1, 12)) & (minute < 60) & (second < 60)
+        full = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
+        clock = F.make_dt_interval(F.lit(0), full, minute, second)
+        return F.when(known, (_parse_day(F.regexp_extract(t, _TIMED, 1), compact) + clock).cast("timestamp_ntz"))
+
+    def read(t: Column) -> Column:
+        return F.coalesce(_parse_day(t, compact), F.when(t.contains(":"), timed(t)))
+
+    return let(text, read)
+
+
+def _parse_day(t: Column, compact: bool) -> Column:
+    """A written day, or an ISO day with a time."""
     numeric = _steps(t, _SHORT_YEAR_STEPS + _NUMERIC_STEPS + (_COMPACT_STEPS if compact else []))
     numeric = F.regexp_extract(numeric, _ISO, 0).try_cast("timestamp_ntz")
     named = F.try_to_date(F.initcap(F.lower(_steps(t, _NAMED_STEPS))), "d MMM yyyy").cast("timestamp_ntz")

@@ -11,9 +11,13 @@ from ..functions.dates import birth_year, shift_column
 
 
 def surrogate_uid(parts: Sequence[str], salt: str, root: str) -> Column:
-    """A uid that stays the same for the same level key: ``root`` and the digits of a keyed hash."""
+    """A uid that stays the same for the same level key: ``root`` and 112 bits of a keyed hash, as up to 34 digits.
+
+    Two blocks of 56 bits; the second is filled up to 17 digits, so that the digits tell the blocks apart.
+    """
     digest = F.sha2(F.concat_ws("|", F.lit(salt), *[F.col(p).cast("string") for p in parts]), 256)
-    return F.concat(F.lit(root + "."), F.conv(F.substring(digest, 1, 15), 16, 10))
+    high, low = F.conv(F.substring(digest, 1, 14), 16, 10), F.conv(F.substring(digest, 15, 14), 16, 10)
+    return F.concat(F.lit(root + "."), high, F.lpad(low, 17, "0"))
 
 
 def mask_headers(

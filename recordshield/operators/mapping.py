@@ -131,7 +131,9 @@ def visit_map(
 
     ``visits`` holds (patient key, visit key, visit_date) as ``patient_key``, ``key``, ``visit_date``; ``patients`` maps
     ``patient_key`` to ``sur_patient_id``. New visits of a person are numbered by (date, key) after the count of visits
-    already mapped; the surrogate is the person's surrogate followed by that number with ``width`` digits.
+    already mapped; the surrogate is the person's surrogate followed by that number with ``width`` digits. A number with more digits
+    stands behind ``width`` zeros, which no shorter number is: any number of visits fits, and surrogates of persons with equally many
+    digits never meet.
     """
     fresh = visits.where(F.col(key).isNotNull())
     if existing is not None:
@@ -145,9 +147,8 @@ def visit_map(
         numbered = numbered.join(used, "sur_patient_id", "left").fillna(0, ["__used"])
         numbered = numbered.withColumn("__n", F.col("__n") + F.col("__used")).drop("__used")
     limit = 10**width - 1
-    counter = F.when(F.col("__n") <= limit, F.lpad(F.col("__n").cast("string"), width, "0")).otherwise(
-        F.raise_error(F.format_string("more than %d visits of one person", F.lit(limit)))
-    )
+    digits = F.col("__n").cast("string")
+    counter = F.when(F.col("__n") <= limit, F.lpad(digits, width, "0")).otherwise(F.concat(F.lit("0" * width), digits))
     return numbered.select(
         "sur_patient_id", key, F.concat(F.col("sur_patient_id").cast("string"), counter).cast("bigint").alias(surrogate), "visit_date"
     )

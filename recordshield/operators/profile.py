@@ -82,12 +82,16 @@ def detect_id_columns(
 
 
 def dob_columns(columns: DataFrame) -> DataFrame:
-    hit = F.lower("column_name").rlike(r"(^|_)(dob|birth_?date|date_?of_?birth|ptdob)($|_)|dateofbirth")
+    """A name is one of a birth date if it holds ``dob``, or birth (born) and date in either order."""
+    hit = F.lower("column_name").rlike("dob|birth.*date|date.*birth|born.*dat|date.*bor")
     return columns.withColumn("is_dob", hit)
 
 
 def date_share(df: DataFrame, table: str, columns: Sequence[str], as_of: date) -> DataFrame:
-    """Per column the share of values that are dates of a plausible year; a date-typed column is one without a look."""
+    """Per column the share of values that are dates of a plausible year; a date-typed column is one without a look.
+
+    A column whose name speaks of a birth is left to the birth-date rule: it is no date column here.
+    """
     parts, aggregates = [], []
     for i, c in enumerate(columns):
         dtype = df.schema[c].dataType
@@ -97,11 +101,15 @@ def date_share(df: DataFrame, table: str, columns: Sequence[str], as_of: date) -
             year = F.year(parse_date(c))
             aggregates += [F.count(c).alias(f"n{i}"), F.count_if(year.between(FIRST_YEAR, as_of.year)).alias(f"d{i}")]
         share = F.round(F.try_divide(F.col(f"d{i}"), F.col(f"n{i}")), 6)
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("values"), share.alias("date_share")))
+        birth = any(word in c.lower() for word in ("dob", "birth"))
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("values"), share.alias("date_share"), F.lit(birth).alias("birth")))
     return (
         df.agg(*aggregates)
         .select(F.lit(table).alias("table_name"), F.explode(F.array(*parts)).alias("r"))
-        .select("table_name", "r.*", F.coalesce(F.col("r.date_share") > DATE_SHARE, F.lit(False)).alias("is_date"))
+        .select(
+            "table_name", "r.column_name", "r.values", "r.date_share",
+            (F.coalesce(F.col("r.date_share") > DATE_SHARE, F.lit(False)) & ~F.col("r.birth")).alias("is_date"),
+        )
     )
 
 

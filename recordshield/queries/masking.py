@@ -230,8 +230,8 @@ def r13_bridge(spark, sf):
     "r14_image_headers",
     f"""
 WITH pmap AS ({PATIENTS_SQL})
-SELECT sur_patient_id AS patient_id, '1.2.9.' || CAST(('0x' || substr(sha256('{SALT}|' || o_custkey || '|' || l_orderkey), 1, 15))::BIGINT AS VARCHAR) AS study_uid,
-       '1.2.9.' || CAST(('0x' || substr(sha256('{SALT}|' || o_custkey || '|' || l_orderkey || '|' || l_suppkey), 1, 15))::BIGINT AS VARCHAR) AS series_uid,
+SELECT sur_patient_id AS patient_id, '1.2.9.' || CAST(('0x' || substr(sha256('{SALT}|' || o_custkey || '|' || l_orderkey), 1, 14))::BIGINT AS VARCHAR) || lpad(CAST(('0x' || substr(sha256('{SALT}|' || o_custkey || '|' || l_orderkey), 15, 14))::BIGINT AS VARCHAR), 17, '0') AS study_uid,
+       '1.2.9.' || CAST(('0x' || substr(sha256('{SALT}|' || o_custkey || '|' || l_orderkey || '|' || l_suppkey), 1, 14))::BIGINT AS VARCHAR) || lpad(CAST(('0x' || substr(sha256('{SALT}|' || o_custkey || '|' || l_orderkey || '|' || l_suppkey), 15, 14))::BIGINT AS VARCHAR), 17, '0') AS series_uid,
        'ANONYMOUS' AS patient_name, CAST(year(o_orderdate) AS INTEGER) AS birth_date, l_shipdate + to_days(day_offset) AS study_date, '' AS comment, l_linestatus AS modality
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN pmap ON o_custkey = custkey
 """,

@@ -42,15 +42,22 @@ def d2(spark, sf):
     return P.detect_id_columns(tables, {"encounter": (known, "o_orderkey")}, "orderkey|event_id", "ENCOUNTER_ID")
 
 
+# names and whether they are birth dates, by hand
+DOB_NAMES = {
+    "DOB": True, "pt_dob": True, "birth_date": True, "DateOfBirth": True, "patientdob": True, "PatientDOB": True, "born_date": True,
+    "birth_dt_date": True, "date_birth": True, "DATE_BORN": True, "dobson": True, "order_date": False, "birthplace": False, "newborn": False,
+    "dateline": False, "update_board": False,
+}
+
+
 @query(
     "d3_dob_columns",
-    """
-SELECT DISTINCT p_type AS table_name, c AS column_name, regexp_matches(lower(c), '(^|_)(dob|birth_?date|date_?of_?birth|ptdob)($|_)|dateofbirth') AS is_dob
-FROM part, (SELECT unnest(['DOB', 'pt_dob', 'birth_date', 'DateOfBirth', 'dobson', 'order_date']) AS c)
-""",
+    "SELECT DISTINCT p_type AS table_name, n AS column_name, b AS is_dob FROM part, (VALUES "
+    + ", ".join(f"('{n}', {b})" for n, b in DOB_NAMES.items())
+    + ") v(n, b)",
 )
 def d3(spark, sf):
-    names = F.explode(F.array(*[F.lit(n) for n in ("DOB", "pt_dob", "birth_date", "DateOfBirth", "dobson", "order_date")]))
+    names = F.explode(F.array(*[F.lit(n) for n in DOB_NAMES]))
     columns = table(spark, sf, "part").select(F.col("p_type").alias("table_name")).distinct()
     return P.dob_columns(columns.withColumn("column_name", names))
 

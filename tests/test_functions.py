@@ -204,3 +204,20 @@ def test_ratios():
     assert round(indel_ratio("johnson", "jonson"), 3) == round(200 * 6 / 13, 3)
     assert indel_ratio("abc", "xyz") == 0
     assert partial_ratio("ann", "joanna smith") == 100
+
+
+TIMED = {
+    "01/02/2020 10:30:00": "2020-01-02 10:30:00", "1/2/2020 3:04 PM": "2020-01-02 15:04:00", "01/02/2020 12:05 am": "2020-01-02 00:05:00",
+    "2020-01-02T10:30:00Z": "2020-01-02 10:30:00", "Jan 2, 2020 10:30": "2020-01-02 10:30:00", "2020-01-02 10:30:00 PM": "2020-01-02 22:30:00",
+    "2 January 2020, 10:30:15.5": "2020-01-02 10:30:15", "01/02/20 10:30": "2020-01-02 10:30:00", "2020-01-02 10:30:00.123456789 +02:00": "2020-01-02 10:30:00",
+    "13-2-2020 00:00": "2020-02-13 00:00:00", "20200102 10:30": "2020-01-02 10:30:00", "01/02/2020 25:00": None, "01/02/2020 10:61": None, "10:30": None,
+    "room 12 10:30": None, "01/02/2020 13:00 PM": None, "2020-01-02": "2020-01-02 00:00:00",
+}
+
+
+def test_dates_with_times(spark):
+    from recordshield.functions.dates import parse_date
+
+    df = spark.createDataFrame([(t,) for t in TIMED], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", F.substring(parse_date("t").cast("string"), 1, 19).alias("d")).collect()}
+    assert got == TIMED

@@ -210,11 +210,17 @@ def test_encounter_numbers_go_on(spark):
     assert rows(mapping.encounter_map(visits, people, known), "encounter_id", "sur_encounter_id") == [(3, 10010003)]
 
 
-def test_too_many_visits_raise(spark):
-    visits = spark.range(1000).select(F.lit(1).alias("patient_key"), F.col("id").alias("appointment_id"), F.lit(date(2020, 1, 1)).alias("visit_date"))
-    people = spark.createDataFrame([(1, 5)], "patient_key int, sur_patient_id bigint")
-    with pytest.raises(Exception, match="more than 999 visits"):
-        mapping.appointment_map(visits, people).collect()
+@pytest.mark.parametrize("build, n", [(mapping.appointment_map, 1_500), (mapping.encounter_map, 12_000)])
+def test_any_number_of_visits_gets_surrogates(spark, build, n):
+    key = "appointment_id" if n == 1_500 else "encounter_id"
+    visits = spark.range(n + 5).select(
+        F.when(F.col("id") < n, 1).otherwise(2).alias("patient_key"), F.col("id").alias(key), F.lit(date(2020, 1, 1)).alias("visit_date")
+    )
+    people = spark.createDataFrame([(1, 7000001), (2, 7000002)], "patient_key int, sur_patient_id bigint")
+    out = build(visits, people)
+    surrogate = [c for c in out.columns if c.startswith("sur_") and c != "sur_patient_id"][0]
+    got = out.agg(F.count(surrogate).alias("n"), F.count_distinct(surrogate).alias("d")).first()
+    assert (got["n"], got["d"]) == (n + 5, n + 5)
 
 
 # --- notes ------------------------------------------------------------------------------------------------------------
