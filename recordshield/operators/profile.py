@@ -173,4 +173,5 @@ def classification_summary(profile: DataFrame) -> DataFrame:
 
 
 def value_sample(df: DataFrame, column: str, n: int = 15) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).select(column).limit(n)
+    """``n`` values for a look, the same ones at every run: those whose digests are least."""
+    return df.where(F.col(column).isNotNull()).select(column).orderBy(F.md5(F.col(column).cast("string").cast("binary")), column).limit(n)

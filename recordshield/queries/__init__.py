@@ -6,7 +6,7 @@ from .base import QUERIES, SQL
 
 _MODULES = (
     "scans", "cleaning", "joining", "counting", "windows", "samples", "sets", "masking", "texts", "messages", "maps", "checks", "profiles",
-    "validation", "streams",
+    "validation", "streams", "extensions",
 )
 
 

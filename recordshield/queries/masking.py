@@ -95,6 +95,26 @@ def r6(spark, sf):
     )
 
 
+_TIMED_FORMS = {
+    "us": ("M/d/yyyy HH:mm:ss", "%H:%M:%S"), "half": ("M/d/yyyy h:mm a", "%H:%M:00"), "iso": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%H:%M:%S"),
+    "named": ("MMM d, yyyy HH:mm", "%H:%M:00"), "short": ("yyyy-MM-dd hh:mm:ss a", "%H:%M:%S"),
+}
+
+
+@query(
+    "r6_date_offset_with_time",
+    f"WITH pmap AS ({PATIENTS_SQL}), clocks AS (SELECT o_orderkey, o_orderdate + to_days(day_offset) + to_seconds(o_orderkey * 7919 % 86400) AS moved FROM orders JOIN pmap ON o_custkey = custkey) SELECT o_orderkey, "
+    + ", ".join(f"strftime(moved, '%Y-%m-%d {shown}') AS \"{name}\"" for name, (_, shown) in _TIMED_FORMS.items())
+    + " FROM clocks",
+)
+def r6_timed(spark, sf):
+    """Dates written with a time of day keep it."""
+    owned = _owned(table(spark, sf, "orders"), spark, sf, "o_custkey").where("day_offset IS NOT NULL")
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=(F.col("o_orderkey") * 7919 % 86400).cast("decimal(18,6)"))
+    moved = [apply_rule("DATE_OFFSET", F.date_format(at, form), RuleContext()).alias(name) for name, (form, _) in _TIMED_FORMS.items()]
+    return owned.select("o_orderkey", *moved)
+
+
 @query("r7_static_offset", f"SELECT {LINE_ORDER}, l_shipdate + to_days(34) AS shifted FROM lineitem")
 def r7(spark, sf):
     return table(spark, sf, "lineitem").select(*LINE_KEY, apply_rule("STATIC_OFFSET", "l_shipdate", RuleContext(NTZ)).alias("shifted"))

@@ -189,13 +189,21 @@ def s13(spark, sf):
     return scan.without_range(table(spark, sf, "orders"), "o_orderkey", 1000, 2000).select("o_orderkey", "o_custkey")
 
 
-@query("s14_export_manifest")
+@query(
+    "s14_export_manifest",
+    """
+SELECT table_name, n > 0 AS has_files, n > 0 AS summed, n > 0 AS filled FROM (SELECT 'region' AS table_name, count(*) AS n FROM region
+  UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer)
+""",
+)
 def s14(spark, sf):
     path = scratch_path(spark, "export")
     for name in ("region", "nation", "customer"):
         sink.export(table(spark, sf, name), f"{path}/{name}")
     files = sink.manifest(spark, path)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("table_name"), "md5", "bytes")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("table_name")).agg(
+        (F.count(F.lit(1)) > 0).alias("has_files"), F.min(F.col("md5").rlike("^[0-9a-f]{32}$")).alias("summed"), F.min(F.col("bytes") > 0).alias("filled")
+    )
 
 
 @query(
