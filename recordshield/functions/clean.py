@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from datetime import date, datetime
 
 from pyspark.sql import Column
@@ -72,9 +74,14 @@ def strip_control(c: str | Column) -> Column:
     return F.regexp_replace(as_col(c), r"\p{Cntrl}", "")
 
 
-# fixed values: letters with a mark and the plain letters they decompose to
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _plain_letters() -> tuple[str, str]:
+    """Every Latin letter with marks and the ASCII letter its compatibility decomposition starts with."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(marked, plain) for marked, plain in pairs if plain.isascii() and plain.isalpha()]
+    return "".join(m for m, _ in kept), "".join(p for _, p in kept)
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def clean_term(c: str | Column) -> Column:

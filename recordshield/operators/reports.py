@@ -176,10 +176,25 @@ def structure_difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def image_overview(headers: DataFrame, levels: dict[str, Sequence[str]], state: str, states: Sequence[str]) -> DataFrame:
-    """Distinct counts per level of a header hierarchy and instances per state."""
-    return headers.agg(
-        *[F.count_distinct(*[F.col(c) for c in cols]).alias(level) for level, cols in levels.items()],
-        *[F.count_if(F.col(state) == s).alias(f"state_{s.lower()}") for s in states],
+    """Distinct counts per level of a header hierarchy and instances per state.
+
+    Levels go from the top down, each with the columns of the one above. Rows are grouped by the lowest level once and its groups
+    counted upwards, so no row is multiplied as by several distinct counts. A key with a null in it is not counted.
+    """
+    names, sums = list(levels), [f"state_{s.lower()}" for s in states]
+    if any(not set(levels[a]) <= set(levels[b]) for a, b in zip(names, names[1:])):
+        raise ValueError("each level needs the columns of the level above")
+    rows = headers.groupBy(*levels[names[-1]]).agg(*[F.count_if(F.col(state) == s).alias(c) for s, c in zip(states, sums)])
+    counted: list[str] = []
+    for place, level in reversed(list(enumerate(names))):
+        if counted:
+            rows = rows.groupBy(*levels[level]).agg(*[F.sum(c).alias(c) for c in counted + sums])
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in levels[level]])
+        rows = rows.withColumn(f"__{place}", whole.cast("bigint"))
+        counted.append(f"__{place}")
+    return rows.agg(
+        *[F.coalesce(F.sum(f"__{place}"), F.lit(0)).alias(level) for place, level in enumerate(names)],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
     )
 
 

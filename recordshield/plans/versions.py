@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import one_per_key
 from ..operators.numbering import number_rows
-from ..operators.reports import union_all
+from ..session import store
 from ..sources.sink import path_exists
 
 
@@ -18,7 +19,8 @@ class VersionedTable:
     """``current/run=<n>`` holds the active row of each key as of a run, ``closed/run=<n>`` the rows that run replaced.
 
     A merge reads the newest ``current`` before its run, writes its own two partitions and touches nothing else, so a rerun
-    of a run replaces exactly what it wrote. Closed rows, the bulk of a long history, are never read by a merge.
+    of a run replaces exactly what it wrote. Closed rows, the bulk of a long history, are never read by a merge. ``ids/run=<n>``
+    holds the highest row id given so far, so that no id is given twice, whatever later runs bring. A null key is a key.
     """
 
     spark: SparkSession
@@ -51,26 +53,31 @@ class VersionedTable:
             active = one_per_key(numbered, list(self.keys), newest)
             closed = numbered.join(active.select("row_id"), "row_id", "left_anti")
         else:
-            touched = numbered.select(*self.keys).distinct()
-            rest = before.join(touched, list(self.keys), "left_anti")
-            replaced = before.join(touched, list(self.keys), "left_semi")
+            touched = numbered.select(*[F.col(k).alias(f"__{k}") for k in self.keys]).distinct()
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys])
+            rest = before.join(touched, same, "left_anti")
+            replaced = before.join(touched, same, "left_semi")
             versions = replaced.unionByName(numbered, allowMissingColumns=True)
-            winners = one_per_key(versions, list(self.keys), newest)
+            winners = store(one_per_key(versions, list(self.keys), newest), "winners")
             closed = versions.join(winners.select("row_id"), "row_id", "left_anti")
-            active = rest.unionByName(winners)
+            active = rest.unionByName(winners, allowMissingColumns=True)
+        highest = int(numbered.agg(F.max("row_id")).first()[0] or top)
+        self.spark.createDataFrame([(highest,)], "highest bigint").write.mode("overwrite").parquet(f"{self.path}/ids/run={run}")
         closed.write.mode("overwrite").parquet(f"{self.path}/closed/run={run}")
         active.write.mode("overwrite").parquet(f"{self.path}/current/run={run}")
 
     def _highest_id(self, before: int) -> int:
-        """Ids are given in order of run, so the newest run before this one holds the highest id, active or closed."""
         runs = [r for r in self.runs() if r < before]
-        if not runs:
-            return 0
-        parts = [f"{self.path}/current/run={runs[-1]}", f"{self.path}/closed/run={runs[-1]}"]
-        return int(union_all([self.spark.read.parquet(p).select("row_id") for p in parts]).agg(F.max("row_id")).first()[0] or 0)
+        return self.spark.read.parquet(f"{self.path}/ids/run={runs[-1]}").first()["highest"] if runs else 0
+
+    def retain(self, copies: int) -> None:
+        """Remove all but the newest ``copies`` of ``current``. Closed rows and ids stay; older runs can then not be run again."""
+        for run in self.runs()[: -max(copies, 1)]:
+            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current/run={run}")
+            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
     def history(self) -> DataFrame:
         """All versions with their flag."""
         closed = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/closed")
-        closed = closed.where(F.col("run").isin(self.runs())).drop("run").withColumn("active_flag", F.lit("N"))
+        closed = closed.where(F.col("run") <= max(self.runs())).drop("run").withColumn("active_flag", F.lit("N"))
         return self.current().withColumn("active_flag", F.lit("Y")).unionByName(closed, allowMissingColumns=True)

@@ -376,3 +376,25 @@ def test_column_checks_report_both_reasons(spark):
     pairs = spark.createDataFrame([(1, "x", "700"), (2, "y", "81"), (3, "z", None)], "id int, c_before string, c_after string")
     out = quality.check_columns(pairs, [quality.ColumnCheck("c", "PATIENT_ID", {"length": 3, "prefix": "7"})], "t").first()
     assert (out["passed"], out["failed"], len(out["reasons"])) == (1, 2, 2)
+
+
+def test_versions_null_keys_and_ids_never_given_twice(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "v"), ("k",))
+    runs = [
+        [(None, 1, "a"), (1, 1, "b")], [(None, 2, "c"), (1, 0, "late")], [], [(2, 1, "d"), (None, None, "unknown"), (None, 3, "e")], [], [(1, 9, "f")],
+    ]
+    for n, rows_ in enumerate(runs):
+        table.merge(spark.createDataFrame(rows_, "k int, last_updated int, v string"), n)
+    history = table.history().collect()
+    ids = [r["row_id"] for r in history]
+    assert len(ids) == len(set(ids)) == 8 and max(ids) == 8
+    assert sorted((str(r["k"]), r["v"]) for r in history if r["active_flag"] == "Y") == [("1", "f"), ("2", "d"), ("None", "e")]
+    table.retain(2)
+    assert table.runs() == [4, 5] and table.history().count() == 8
+
+
+def test_clean_term_folds_letters_beyond_latin_1(spark):
+    from recordshield.functions.clean import clean_term
+
+    df = spark.createDataFrame([("Čapek ŞİŞ ő Ǆ ệ ß",)], "t string")
+    assert df.select(clean_term("t").alias("c")).first()["c"].startswith("capek sis o d e")
