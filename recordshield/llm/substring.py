@@ -1,7 +1,9 @@
 """Operator 2, substring dedup: sliding spans of sentences.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` with white space behind, and after line ends); a sentence of more than ten words is
-cut on every ten words, so that long ones can match in part. From every sentence starts a span: the shortest run of at least
+cut further, so that long ones can match in part. The places of these cuts follow from the words around them alone (winnowing: of every ten
+neighbouring pairs of words, a cut goes after the first word of the pair with the least checksum), so that a passage is cut alike wherever
+it stands, in whatever sentence it begins. From every sentence starts a span: the shortest run of at least
 three sentences with at least fifteen words. Spans are hashed (128 bits of their lower-cased words) and joined over the whole
 corpus; all sentences that lie in a repeated span which is not its first (by document id, then text hash, then place) are removed.
 What is left keeps its bytes; a text without removals comes back as it was.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -35,11 +38,33 @@ PIECE_WORDS = 10
 SLICE_CHARS = 8 << 20
 
 _SENTENCE = re.compile(r".+?(?:[.!?]+\s+|\n\s*|$)", re.DOTALL)
-_PIECE = re.compile(rf"\s*(?:\S+\s*){{1,{PIECE_WORDS}}}")
+_WORD = re.compile(r"\s*\S+\s*")
 
 _SPANS = "h1 long, h2 long, doc_id long, text_hash long, first int, last int, known boolean"
 
 
+def cut_long(sentence: str) -> list[str]:
+    """A sentence of more than PIECE_WORDS words in pieces of at most about as many; two neighbouring cuts are never further apart."""
+    tokens = _WORD.findall(sentence)
+    if len(tokens) <= PIECE_WORDS:
+        return [sentence]
+    marks = [crc32(t.strip().lower().encode("utf-8", "surrogatepass")) for t in tokens]
+    # a checksum alone would order pairs by their first word; the odd factor mixes both
+    pairs = [((a * 0x9E3779B1 + b) * 0x85EBCA6B) & 0xFFFFFFFF for a, b in zip(marks, marks[1:])]
+    out, begin, least = [], 0, -1
+    for first in range(max(1, len(pairs) - PIECE_WORDS + 1)):
+        end = min(first + PIECE_WORDS, len(pairs))
+        if least < first:
+            to = min(range(end - 1, first - 1, -1), key=pairs.__getitem__)
+        else:
+            to = end - 1 if pairs[end - 1] <= pairs[least] else least
+        if to != least:
+            least = to
+            out.append("".join(tokens[begin : least + 1]))
+            begin = least + 1
+    return [*out, "".join(tokens[begin:])]
+
+
 def sentences(text: str | None) -> list[str]:
     """The pieces of a text; joined they are the text. Blank pieces hang on the piece before."""
     out: list[str] = []
@@ -50,7 +75,7 @@ def sentences(text: str | None) -> list[str]:
                 continue
             pieces = [sentence]
         elif len(sentence) > 2 * PIECE_WORDS:
-            pieces = _PIECE.findall(sentence)
+            pieces = cut_long(sentence)
         else:
             pieces = [sentence]
         out += pieces
@@ -59,9 +84,8 @@ def sentences(text: str | None) -> list[str]:
 
 def spans(pieces: list[str]) -> Iterator[tuple[int, int, bytes]]:
     """(first, last, hash) of the span that starts at each sentence, as long as there is one."""
-    split = [p.lower().split() for p in pieces]
-    keys = [" ".join(x) for x in split]
-    sizes = [len(x) for x in split]
+    keys = [" ".join(p.lower().split()) for p in pieces]
+    sizes = [k.count(" ") + 1 if k else 0 for k in keys]
     end, held = 0, 0
     for first in range(len(pieces)):
         while end < len(pieces) and (end - first < SPAN_SENTENCES or held < SPAN_WORDS):

@@ -67,6 +67,22 @@ def test_passage_goes_from_all_but_the_first(spark):
     assert substring.dedup_table(plain).where("n_removed > 0").count() == 0
 
 
+def test_passage_inside_longer_sentences(spark):
+    """A passage without a sentence end goes wherever the sentences around it begin."""
+    rng = random.Random(9)
+    passage = sentence(rng, 51)[:-1].split()
+    texts = []
+    for i in range(30):
+        before, after = sentence(rng, 7 + i)[:-1], sentence(rng, 5 + i % 4)
+        texts.append(" ".join([sentence(rng, 6), before, *passage, after, sentence(rng, 9)]))
+    left = {r["doc_id"]: r["text"] for r in substring.dedup_table(spark.createDataFrame(doc_rows(texts), DOCS)).collect()}
+    assert left[0] == texts[0]
+    for i in range(1, 30):
+        stays = [w for w in left[i].split() if w in passage]
+        own = [w for w in texts[i].split() if w not in passage]
+        assert len(stays) <= 20 and set(own) <= set(left[i].split())
+
+
 def test_substring_odd_rows(spark):
     rng = random.Random(4)
     body = " ".join(sentence(rng, 10) for _ in range(6))
