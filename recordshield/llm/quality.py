@@ -257,5 +257,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
     """The documents that are kept, with their own columns."""
     described = store(describe(docs.select("doc_id", "text")).drop("text"), "described")
     rules = learn_rules(described, labels, **learning)
-    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
     return judge(describe(own), rules).where("kept").select("__row.*")
