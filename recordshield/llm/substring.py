@@ -37,7 +37,7 @@ PIECE_WORDS = 10
 #: Texts that a task looks at together.
 SLICE_CHARS = 8 << 20
 
-_SENTENCE = re.compile(r".+?(?:[.!?]+\s+|\n\s*|$)", re.DOTALL)
+_END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\s*\S+\s*")
 
 _SPANS = "h1 long, h2 long, doc_id long, text_hash long, first int, last int, known boolean"
@@ -45,41 +45,47 @@ _SPANS = "h1 long, h2 long, doc_id long, text_hash long, first int, last int, kn
 
 def cut_long(sentence: str) -> list[str]:
     """A sentence of more than PIECE_WORDS words in pieces of at most about as many; two neighbouring cuts are never further apart."""
-    tokens = _WORD.findall(sentence)
-    if len(tokens) <= PIECE_WORDS:
+    words = " ".join(sentence.lower().split()).encode("utf-8", "surrogatepass").split(b" ")
+    if len(words) <= PIECE_WORDS:
         return [sentence]
-    marks = [crc32(t.strip().lower().encode("utf-8", "surrogatepass")) for t in tokens]
-    # a checksum alone would order pairs by their first word; the odd factor mixes both
-    pairs = [((a * 0x9E3779B1 + b) * 0x85EBCA6B) & 0xFFFFFFFF for a, b in zip(marks, marks[1:])]
-    out, begin, least = [], 0, -1
-    for first in range(max(1, len(pairs) - PIECE_WORDS + 1)):
-        end = min(first + PIECE_WORDS, len(pairs))
-        if least < first:
-            to = min(range(end - 1, first - 1, -1), key=pairs.__getitem__)
-        else:
-            to = end - 1 if pairs[end - 1] <= pairs[least] else least
-        if to != least:
-            least = to
-            out.append("".join(tokens[begin : least + 1]))
-            begin = least + 1
-    return [*out, "".join(tokens[begin:])]
+    pairs = list(map(crc32, words[1:], map(crc32, words)))
+    window = pairs[:PIECE_WORDS]
+    value = min(window)
+    cuts = [len(window) - 1 - window[::-1].index(value)]
+    for last in range(PIECE_WORDS, len(pairs)):
+        if pairs[last] <= value:
+            value = pairs[last]
+            cuts.append(last)
+        elif cuts[-1] <= last - PIECE_WORDS:
+            window = pairs[last - PIECE_WORDS + 1 : last + 1]
+            value = min(window)
+            cuts.append(last - window[::-1].index(value))
+    tokens, begin, out = _WORD.findall(sentence), 0, []
+    for cut in [*cuts, len(tokens) - 1]:
+        out.append("".join(tokens[begin : cut + 1]))
+        begin = cut + 1
+    return out
 
 
 def sentences(text: str | None) -> list[str]:
-    """The pieces of a text; joined they are the text. Blank pieces hang on the piece before."""
+    """The pieces of a text; joined they are the text. Blank pieces hang on the piece before, at the start on the one behind."""
+    text = text or ""
     out: list[str] = []
-    for sentence in _SENTENCE.findall(text or ""):
+    begin = 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        sentence = text[begin:end]
         if not sentence.strip():
             if out:
                 out[-1] += sentence
-                continue
-            pieces = [sentence]
-        elif len(sentence) > 2 * PIECE_WORDS:
-            pieces = cut_long(sentence)
+                begin = end
+            continue
+        begin = end
+        # a word takes two characters, the white space behind it included
+        if len(sentence) > 2 * PIECE_WORDS:
+            out += cut_long(sentence)
         else:
-            pieces = [sentence]
-        out += pieces
-    return out
+            out.append(sentence)
+    return out if begin == len(text) else [text]
 
 
 def spans(pieces: list[str]) -> Iterator[tuple[int, int, bytes]]:
