@@ -13,6 +13,11 @@ value, with t > 0 by the values with t of its bits left out. Every pair that sha
 Where ``within`` exceeds ``sure``, pairs up to ``sure`` bits apart are found for certain and those beyond with high probability only; op8
 has both at 3.
 
+The pipeline's stage links texts, not fingerprints: bits only make candidates (pairs that agree in a partition of one of two deals, at most
+STAGE_WITHIN bits apart, sizes in a ratio that allows the similarity), and a candidate is a link if the Jaccard similarity of the two sets of
+shingles, counted exactly, is at least STAGE_LIKENESS. First every node is compared with its least candidate in each group; then all candidates
+that are still in different components are.
+
 Copies: documents are first reduced to distinct fingerprints. Rows of a key are gathered in lists of at most about BLOCK; a key
 with more is split into blocks and each pair of blocks is a group of its own, so no list grows with the data. A group
 returns links of its members to the least of their component there, never all pairs.
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_intdigest, xxh128_digest
 
 from ..operators.mapping import components
 from ..session import store
@@ -74,7 +79,10 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, size: int, lanes: int = 1) -> bytes:
     """``8 * lanes`` bytes, the highest bit first."""
-    hashes = shingle_hashes(text, size)
+    return _majority(shingle_hashes(text, size), lanes)
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> bytes:
     out = b""
     for k in range(lanes):
         total = np.zeros(64, np.int64)
@@ -85,10 +93,16 @@ def fingerprint(text: bytes | None, size: int, lanes: int = 1) -> bytes:
     return out
 
 
-def fingerprint_udf(size: int, lanes: int):
+def shingle_set_print(text: bytes | None, size: int, lanes: int) -> bytes:
+    """Fingerprint of the distinct shingles, their number in 4 bytes, and 16 bytes that are equal only for equal sets."""
+    hashes = np.unique(shingle_hashes(text, size))
+    return _majority(hashes, lanes) + len(hashes).to_bytes(4, "big") + xxh128_digest(hashes.tobytes(), SEED)
+
+
+def fingerprint_udf(size: int, lanes: int, make_one=fingerprint):
     @F.pandas_udf(T.BinaryType())
     def make(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fingerprint(t, size, lanes))
+        return texts.map(lambda t: make_one(t, size, lanes))
 
     return make
 
@@ -214,13 +228,13 @@ def _keys(bits: np.ndarray, parts: Sequence[Part]) -> Iterator[np.ndarray]:
 
 
 def probe_keys(prints: DataFrame, parts: Sequence[Part], lanes: int) -> DataFrame:
-    """(key, fp): every fingerprint under each of its keys."""
+    """(key, fp): every fingerprint under each of its keys; bytes behind the ``lanes`` go along."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 piece = batch.slice(start, 2048)
-                raw = np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8).reshape(-1, 8 * lanes)
+                raw = np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8).reshape(piece.num_rows, -1)[:, : 8 * lanes]
                 for key in _keys(np.unpackbits(raw, axis=1), parts):
                     yield pa.RecordBatch.from_arrays([pa.array(key), piece.column(0)], names=["key", "fp"])
 
@@ -256,8 +270,8 @@ def _links(prints: list[bytes], other: list[bytes], within: int) -> list[tuple[b
     return [(nodes[i], nodes[nodes_order[label[i]]]) for i in np.flatnonzero(label != rank)]
 
 
-def links(prints: DataFrame, parts: Sequence[Part], lanes: int, within: int) -> DataFrame:
-    """(fp, least): links that join each component of near fingerprints."""
+def key_groups(prints: DataFrame, parts: Sequence[Part], lanes: int) -> DataFrame:
+    """(prints, other, cross): the fingerprints of a key, or two blocks of them if it has many."""
     keyed = probe_keys(prints, parts, lanes)
     hot = store(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "hot-keys")
     hot = hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -272,7 +286,16 @@ def links(prints: DataFrame, parts: Sequence[Part], lanes: int, within: int) ->
         F.collect_list(F.when(F.col("block") <= F.col("with"), F.col("fp"))).alias("prints"),
         F.collect_list(F.when(F.col("block") > F.col("with"), F.col("fp"))).alias("other"),
     )
-    groups = groups.where(F.size("prints") + F.size("other") > 1).select("prints", "other", (F.col("low") != F.col("high")).alias("cross"))
+    return groups.where(F.size("prints") + F.size("other") > 1).select("prints", "other", (F.col("low") != F.col("high")).alias("cross"))
+
+
+def links(prints: DataFrame, parts: Sequence[Part], lanes: int, within: int) -> DataFrame:
+    """(fp, least): links that join each component of near fingerprints."""
+    return _compared(key_groups(prints, parts, lanes), lambda own, other: _links(own, other, within))
+
+
+def _compared(groups: DataFrame, find) -> DataFrame:
+    """(fp, least): what ``find(prints, other)`` finds in every group; ``other`` is empty within a block."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,9 +304,9 @@ def links(prints: DataFrame, parts: Sequence[Part], lanes: int, within: int) ->
                 piece = batch.slice(start, 256)
                 for own, other, cross in zip(*[piece.column(c).to_pylist() for c in ("prints", "other", "cross")]):
                     if not cross:
-                        found.update(_links(own, [], within))
+                        found.update(find(own, []))
                     elif own and other:
-                        found.update(_links(own, other, within))
+                        found.update(find(own, other))
             if found:
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["fp", "least"])
@@ -300,10 +323,10 @@ def near_groups(prints: DataFrame, sure: int, within: int, choices: Sequence[int
     )
 
 
-def grouped(marked: DataFrame, least, sure: int, within: int, choices: Sequence[int], lanes: int) -> DataFrame:
-    """(fp, first): for every fingerprint of ``marked`` the aggregate ``least`` over its whole component."""
+def grouped(marked: DataFrame, least, group) -> DataFrame:
+    """(fp, first): for every fingerprint of ``marked`` the aggregate ``least`` over its whole component, which ``group(prints)`` finds."""
     prints = store(marked.groupBy("fp").agg(least.alias("first")), "prints")
-    roots = store(near_groups(prints, sure, within, choices, lanes), "roots")
+    roots = store(group(prints), "roots")
     joined = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     firsts = joined.where(F.col("first").isNotNull()).groupBy("root").agg(F.min("first").alias("first"))
     return store(joined.drop("first").join(firsts, "root", "left").select("fp", "first"), "groups")
@@ -315,25 +338,138 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id), one row per document."""
     make = fingerprint_udf(size, lanes)
     marked = store(docs.select("doc_id", make(F.col("text").cast("binary")).alias("fp")), "fingerprints")
-    groups = grouped(marked, F.min("doc_id"), sure, within, choices, lanes)
+    groups = grouped(marked, F.min("doc_id"), lambda prints: near_groups(prints, sure, within, choices, lanes))
     return marked.join(groups, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-#: The stage: five-word shingles, 512 bits. At a Jaccard similarity of 0.8 a bit differs with a chance of 0.15, so 77 bits do on average.
-STAGE_SIZE, STAGE_LANES, STAGE_SURE, STAGE_WITHIN = 5, 8, 31, 88
+# --- the pipeline's stage ----------------------------------------------------------------------------------------------
+
+#: Five-word shingles, 512 bits. At a Jaccard similarity of 0.8 a bit differs with a chance of 0.15 (0.19 in texts of a few words), so 77 bits
+#: (96) do on average; the limit lies far above. It makes candidates only.
+STAGE_SIZE, STAGE_LANES, STAGE_SURE, STAGE_WITHIN = 5, 8, 31, 128
+#: Numerator and denominator of the least Jaccard similarity of a link.
+STAGE_LIKENESS = (4, 5)
+
+
+def two_deals(n: int, joint: np.ndarray, m: int) -> list[Part]:
+    """The bits dealt into m partitions twice, the second time so that no two bits of a partition were together the first time."""
+    first = deal_bits(n, joint, m)
+    across = [part[place] for place in range(max(map(len, first))) for part in first if place < len(part)]
+    ends = np.cumsum([0, *map(len, first)])
+    return [(tuple(sorted(p)), 0) for p in [*first, *(across[a:b] for a, b in zip(ends, ends[1:]))]]
+
+
+def _candidates(prints: list[bytes], other: list[bytes], within: int, lanes: int, labelled: bool) -> list[tuple[bytes, bytes]]:
+    """Pairs (greater, lesser) of nodes that may be alike, among ``prints`` or only across if there are ``other`` ones.
+
+    Without labels each node with its least candidate; with labels (the last 8 bytes) all pairs of unequal labels.
+    """
+    nodes, width = prints + other, 8 * lanes
+    if len(nodes) <= 8:
+        numbers = [int.from_bytes(x[:width], "big") for x in nodes]
+        if all((a ^ b).bit_count() > within for a, b in combinations(numbers, 2)):
+            return []
+    raw = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
+    if labelled and not (raw[:, -8:] != raw[0, -8:]).any():
+        return []
+    words = np.ascontiguousarray(raw[:, :width]).view(np.uint64)
+    sizes = np.ascontiguousarray(raw[:, width : width + 4]).view(">u4")[:, 0].astype(np.int64)
+    left, right = (np.arange(len(prints)), np.arange(len(prints), len(nodes))) if other else (np.arange(len(nodes)),) * 2
+    far = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(words.shape[1]):
+        far += np.bitwise_count(words[left, k][:, None] ^ words[right, k][None, :])
+    part, whole = STAGE_LIKENESS
+    near = far <= within
+    near &= whole * np.minimum.outer(sizes[left], sizes[right]) >= part * np.maximum.outer(sizes[left], sizes[right])
+    if not other:
+        np.fill_diagonal(near, False)
+    if labelled:
+        labels = np.ascontiguousarray(raw[:, -8:]).view(np.int64)[:, 0]
+        near &= labels[left][:, None] != labels[right][None, :]
+        if not other:
+            near = np.triu(near)
+        pairs = zip(*[x.tolist() for x in np.nonzero(near)])
+        cut = -8
+    else:
+        order = sorted(range(len(nodes)), key=nodes.__getitem__)
+        rank = np.empty(len(nodes), np.int64)
+        rank[order] = np.arange(len(nodes))
+        least = np.where(near, rank[right][None, :], len(nodes)).min(1)
+        pairs = [(i, order[r] - (len(prints) if other else 0)) for i, r in enumerate(least.tolist()) if r < len(nodes)]
+        if other:
+            least = np.where(near, rank[left][:, None], len(nodes)).min(0)
+            pairs += [(order[r], j) for j, r in enumerate(least.tolist()) if r < len(nodes)]
+        cut = None
+    shift = len(prints) if other else 0
+    ends = [(nodes[i][:cut], nodes[j + shift][:cut]) for i, j in pairs]
+    return [(max(e), min(e)) for e in ends]
+
+
+def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (fp, least) whose texts are as alike as STAGE_LIKENESS, by all their shingles."""
+    nodes = pairs.select(F.explode(F.array("fp", "least")).alias("fp")).distinct()
+    owners = prints.join(nodes, "fp").select("fp", F.col("first.id").alias("o_id"), F.col("first.mark").alias("o_mark"))
+    rows = docs.select(F.col("doc_id").alias("r_id"), F.xxhash64("text").alias("r_mark"), F.col("text").cast("binary").alias("body"))
+    on = F.col("r_id").eqNullSafe(F.col("o_id")) & (F.col("r_mark") == F.col("o_mark"))
+    # rows may repeat id and text
+    texts = store(rows.join(owners, on).select("fp", "body").dropDuplicates(["fp"]), "texts")
+    # the lesser ends are the hubs: they come last, from files, where the skew join can split them
+    both = pairs.join(texts.withColumnRenamed("body", "own"), "fp")
+    both = both.join(texts.select(F.col("fp").alias("least"), F.col("body").alias("other")), "least")
+    part, whole = STAGE_LIKENESS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
+        for batch in batches:
+            found = []
+            for start in range(0, batch.num_rows, 256):
+                piece = batch.slice(start, 256)
+                for fp, least, own, other in zip(*[piece.column(c).to_pylist() for c in range(4)]):
+                    if least != hub:
+                        hub, held = least, np.unique(shingle_hashes(other, size))
+                    mine = np.unique(shingle_hashes(own, size))
+                    shared = len(np.intersect1d(mine, held, assume_unique=True))
+                    if whole * shared >= part * (len(mine) + len(held) - shared):
+                        found.append((fp, least))
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["fp", "least"])
+
+    return both.select("fp", "least", "own", "other").mapInArrow(count, "fp binary, least binary")
+
+
+def alike_groups(prints: DataFrame, docs: DataFrame, size: int, sure: int, within: int, lanes: int) -> DataFrame:
+    """(fp, root) of the nodes that are linked to others, from distinct nodes ``fp`` with an owner ``first`` in ``docs``."""
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(found.select(F.array("least", "fp").alias("nodes"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+    n, joint = bit_counts(prints.select(F.substring("fp", 1, 8 * lanes).alias("fp")), lanes)
+    parts = two_deals(n, joint, sure + 1)
+    pairs = _compared(key_groups(prints, parts, lanes), lambda own, other: _candidates(own, other, within, lanes, False))
+    pairs = store(pairs.distinct(), "candidates")
+    found = store(alike(pairs, prints, docs, size), "links")
+    roots = store(joined(found), "roots")
+    # a node without a pair has no candidate at all
+    nodes = pairs.select(F.explode(F.array("fp", "least")).alias("fp")).distinct().join(roots, "fp", "left")
+    label = F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce("root", "fp"))), 16, "0"))
+    nodes = store(nodes.select(F.concat("fp", label).alias("fp")), "labelled")
+    rest = _compared(key_groups(nodes, parts, lanes), lambda own, other: _candidates(own, other, within, lanes, True))
+    rest = store(rest.distinct(), "candidates")
+    return joined(store(found.unionByName(alike(rest, prints, docs, size)), "links"))
 
 
 def keep_one(docs: DataFrame, size: int = STAGE_SIZE, sure: int = STAGE_SURE, within: int = STAGE_WITHIN, lanes: int = STAGE_LANES) -> DataFrame:
-    """The documents without those that are near one of a smaller id; of rows that repeat id and text one stays.
+    """The documents without those that are alike with one of a smaller id, directly or through others; of rows that repeat id and text one stays.
 
     Documents without words are no copies of each other's content: they are a group of exact copies like any other.
     """
-    make = fingerprint_udf(size, lanes)
+    make = fingerprint_udf(size, lanes, shingle_set_print)
     marked = store(
         docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), make(F.col("text").cast("binary")).alias("fp")), "fingerprints"
     )
     me = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    groups = grouped(marked, F.min(me), sure, within, (sure + 1,), lanes)
+    groups = grouped(marked, F.min(me), lambda prints: alike_groups(prints, docs, size, sure, within, lanes))
     judged = marked.join(groups, "fp").groupBy("id", "mark").agg(
         F.min(F.col("first") == me).alias("stays"), F.count(F.lit(1)).alias("rows")
     )
