@@ -3,8 +3,9 @@
 A text is cut into sentences (after ``.``, ``!`` or ``?`` with white space behind, and after line ends); a sentence of more than ten words is
 cut further, so that long ones can match in part. The places of these cuts follow from the words around them alone (winnowing: of every ten
 neighbouring pairs of words, a cut goes after the first word of the pair with the least checksum), so that a passage is cut alike wherever
-it stands, in whatever sentence it begins. From every sentence starts a span: the shortest run of at least
-three sentences with at least fifteen words. Spans are hashed (128 bits of their lower-cased words) and joined over the whole
+it stands, in whatever sentence it begins. From every sentence starts a span, and at every sentence ends one: the shortest run of at least
+three sentences with at least fifteen words. So every sentence of a longer run lies in a span of that run: the one that starts there, or,
+near the run's end, the one that ends with it. Spans are hashed (128 bits of their lower-cased words) and joined over the whole
 corpus; all sentences that lie in a repeated span which is not its first (by document id, then text hash, then place) are removed.
 What is left keeps its bytes; a text without removals comes back as it was.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 from zlib import crc32
 
 import pandas as pd
@@ -89,18 +91,27 @@ def sentences(text: str | None) -> list[str]:
 
 
 def spans(pieces: list[str]) -> Iterator[tuple[int, int, bytes]]:
-    """(first, last, hash) of the span that starts at each sentence, as long as there is one."""
-    keys = [" ".join(p.lower().split()) for p in pieces]
-    sizes = [k.count(" ") + 1 if k else 0 for k in keys]
-    end, held = 0, 0
+    """(first, last, hash) of the spans that start and that end at each sentence, as long as there are any, in the order of their starts."""
+    keys = [" ".join(p.lower().split()).encode(errors="surrogatepass") for p in pieces]
+    # words before each sentence
+    before = [0, *accumulate(k.count(b" ") + 1 if k else 0 for k in keys)]
+    found, end, begin = [], 0, 0
     for first in range(len(pieces)):
-        while end < len(pieces) and (end - first < SPAN_SENTENCES or held < SPAN_WORDS):
-            held += sizes[end]
+        while end < len(pieces) and (end - first < SPAN_SENTENCES or before[end] - before[first] < SPAN_WORDS):
             end += 1
-        if end - first < SPAN_SENTENCES or held < SPAN_WORDS:
-            return
-        yield first, end - 1, blake2b(" ".join(keys[first:end]).encode(errors="surrogatepass"), digest_size=16).digest()
-        held -= sizes[first]
+        if end - first < SPAN_SENTENCES or before[end] - before[first] < SPAN_WORDS:
+            break
+        found.append((first, end))
+    if not found:
+        return
+    starting = len(found)
+    for last in range(found[0][1], len(pieces) + 1):
+        while last - begin > SPAN_SENTENCES and before[last] - before[begin + 1] >= SPAN_WORDS:
+            begin += 1
+        if begin >= starting or found[begin][1] != last:
+            found.append((begin, last))
+    for first, last in sorted(found):
+        yield first, last - 1, blake2b(b" ".join(keys[first:last]), digest_size=16).digest()
 
 
 def _merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -83,6 +83,33 @@ def test_passage_inside_longer_sentences(spark):
         assert len(stays) <= 20 and set(own) <= set(left[i].split())
 
 
+def test_ends_of_passages_go(spark):
+    """Against every run of at least three sentences and fifteen words, not spans; sentences here are never cut further."""
+    rng = random.Random(17)
+    assert [(a, b) for a, b, _ in substring.spans([sentence(rng, n) for n in (10, 3, 2, 5)])] == [(0, 2), (0, 3)]
+    texts, passages = [], [[sentence(rng, n) + " " for n in sizes] for sizes in ((10, 3, 2, 5), (1, 7, 6, 1, 1), (6, 6, 6, 2, 1, 3, 1), (2,) * 9, (9, 9, 1))]
+    for k in range(40):
+        pieces = [sentence(rng, rng.randint(1, 10)) + " " for _ in range(rng.randint(0, 4))]
+        whole = passages[k % 5]
+        cut = rng.randint(0, 2) if k > 9 else 0
+        pieces += whole[cut:] if k % 3 else whole[: len(whole) - cut]
+        pieces += [sentence(rng, rng.randint(1, 10)) + " " for _ in range(rng.choice([0, 0, 3]))]
+        texts.append(pieces)
+    texts += [list(passages[0]), passages[2] + passages[0]]
+    seen, want = {}, []
+    for k, pieces in enumerate(texts):
+        assert substring.sentences("".join(pieces)) == pieces
+        sizes, gone = [len(p.split()) for p in pieces], set()
+        for a in range(len(pieces)):
+            for b in range(a + 3, len(pieces) + 1):
+                if sum(sizes[a:b]) >= 15 and seen.setdefault(tuple(pieces[a:b]), (k, a)) != (k, a):
+                    gone |= set(range(a, b))
+        want.append("".join(p for i, p in enumerate(pieces) if i not in gone))
+    docs = spark.createDataFrame(doc_rows(["".join(t) for t in texts]), DOCS)
+    got = {r["doc_id"]: r["text"] for r in substring.dedup_documents(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want and want[-2:] == ["", ""]
+
+
 def test_substring_odd_rows(spark):
     rng = random.Random(4)
     body = " ".join(sentence(rng, 10) for _ in range(6))
