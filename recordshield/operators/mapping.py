@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import normalise_id
-from ..session import discard, store_at
+from ..session import discard, store, store_at
 from .filters import rename
 from .numbering import number_rows
 
@@ -113,15 +113,36 @@ def identity_index(labels: DataFrame, people: DataFrame, anchor: str) -> DataFra
     )
 
 
-def update_patient_map(existing: DataFrame, sources: Sequence[DataFrame], kinds: Sequence[str], primary: str, salt: str) -> DataFrame:
-    """The map with new people added: source rows whose primary identifier is known are left out, ids go on after the highest."""
-    known = existing.select(F.col(primary).alias("__k"))
-    fresh = [
-        s.join(known, normalise_id(s[primary]) == known["__k"], "left_anti") if primary in s.columns else s for s in sources
-    ]
-    highest = existing.agg(F.max("sur_patient_id")).first()[0]
-    new = patient_map(components(identifier_nodes(fresh, kinds)), kinds, int(highest or 0) + 1, salt)
-    return existing.unionByName(new, allowMissingColumns=True)
+def update_patient_map(
+    existing: DataFrame, sources: Sequence[DataFrame], kinds: Sequence[str], primary: str, salt: str, index: DataFrame | None = None
+) -> DataFrame:
+    """The map with new people added: who is joined to a known person by an identifier of any kind, directly or through other rows, is that
+    person; ids of the others go on after the highest.
+
+    ``index`` brings the identifiers that the map does not keep, see :func:`identity_index`. A known person's row stays, and identifiers it lacks are
+    filled in, unless the sources join several known persons: these keep their rows as they are.
+    """
+    own = "sur_patient_id"
+    held = existing.select(own, *[k for k in dict.fromkeys([primary, *kinds]) if k in existing.columns])
+    known = [held] if index is None else [held, *[index.where(F.col("kind") == k).select(own, F.col("value").alias(k)) for k in kinds]]
+    labels = store(components(identifier_nodes([*known, *sources], [own, *kinds])), "labels")
+    mark = f"{own}:"
+    owned = labels.where(F.col("node").startswith(mark)).groupBy("component").agg(
+        F.min(F.expr(f"substring(node, {len(mark) + 1})")).alias("__sur"), F.count(F.lit(1)).alias("__n")
+    )
+    fresh = labels.join(owned, "component", "left_anti")
+    highest = existing.agg(F.max(own)).first()[0]
+    new = patient_map(fresh, kinds, int(highest or 0) + 1, salt)
+    kind, value = F.substring_index("node", ":", 1), F.expr("substring(node, instr(node, ':') + 1)")
+    found = labels.join(owned.where("__n = 1"), "component").groupBy("__sur").agg(
+        *[F.min(F.when(kind == k, value)).alias(f"__{k}") for k in kinds]
+    )
+    met = existing.join(found, normalise_id(own) == F.col("__sur"), "left")
+    kept = [c for c in existing.columns if c not in kinds]
+    filled = {k: F.coalesce(F.col(k), F.col(f"__{k}").cast(existing.schema[k].dataType)) if k in existing.columns else F.col(f"__{k}") for k in kinds}
+    columns = [*existing.columns, *[k for k in kinds if k not in existing.columns]]
+    met = met.select(*[F.col(c) if c in kept else filled[c].alias(c) for c in columns])
+    return met.unionByName(new, allowMissingColumns=True)
 
 
 def visit_map(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mapping as M
 from ..operators.joins import or_of_chains
+from ..operators.numbering import number_rows
 from .base import MAPS_SQL, PATIENTS_SQL, SALT, encounters, patients, query, table
 
 KINDS = ["chart", "patient", "profile"]
@@ -80,6 +81,26 @@ def m3(spark, sf):
     return M.update_patient_map(old, [source], ["patient"], "patient", SALT)
 
 
+@query(
+    "m3_update_without_primary",
+    f"""
+WITH old AS (SELECT c_name AS chart, CAST(c_custkey AS VARCHAR) AS patient, 7000 + row_number() OVER (ORDER BY c_custkey) AS sur_patient_id,
+  CAST(10 + c_custkey % 21 AS INTEGER) AS day_offset FROM customer WHERE c_custkey % 2 = 0)
+SELECT chart, patient, sur_patient_id, day_offset, 'V' || patient AS profile FROM old UNION ALL
+SELECT c_name, NULL, (SELECT max(sur_patient_id) FROM old) + row_number() OVER (ORDER BY 'chart:' || c_name),
+  CAST(10 + (('0x' || substr(sha256('{SALT}|chart:' || c_name), 1, 8))::BIGINT % 21) AS INTEGER), 'V' || c_custkey FROM customer WHERE c_custkey % 2 = 1
+""",
+)
+def m3_without_primary(spark, sf):
+    """The source has no patient id: half of its persons are known by their chart."""
+    customer = table(spark, sf, "customer")
+    old = customer.where("c_custkey % 2 = 0").select(F.col("c_name").alias("chart"), F.col("c_custkey").cast("string").alias("patient"), "c_custkey")
+    old = number_rows(old, ["c_custkey"], name="sur_patient_id", start=7001)
+    old = old.select("chart", "patient", "sur_patient_id", (F.lit(10) + F.col("c_custkey") % 21).cast("int").alias("day_offset"))
+    source = customer.select(F.col("c_name").alias("chart"), F.concat(F.lit("V"), F.col("c_custkey").cast("string")).alias("profile"))
+    return M.update_patient_map(old, [source], KINDS, "patient", SALT)
+
+
 @query(
     "m4_encounter_map",
     f"""

@@ -398,3 +398,17 @@ def test_clean_term_folds_letters_beyond_latin_1(spark):
 
     df = spark.createDataFrame([("Čapek ŞİŞ ő Ǆ ệ ß",)], "t string")
     assert df.select(clean_term("t").alias("c")).first()["c"].startswith("capek sis o d e")
+
+
+def test_update_knows_persons_by_any_identifier(spark):
+    old = spark.createDataFrame([("1", "c1", 5, 11), (None, "c2", 6, 12), ("3", "c3", 7, 13)], "patient string, chart string, sur_patient_id long, day_offset int")
+    first = spark.createDataFrame([("c1", "p1"), ("c9", "p9"), (None, "p2")], "chart string, profile string")
+    second = spark.createDataFrame([("20", "c2"), ("30", "c3"), ("31", "c3"), ("90", "c90"), ("91", "c8")], "patient string, chart string")
+    third = spark.createDataFrame([("p2", "c2"), ("p9", "c90"), ("p4", "c44")], "profile string, chart string")
+    index = spark.createDataFrame([("chart", "c8", 7)], "kind string, value string, sur_patient_id long")
+    kinds = ["chart", "patient", "profile"]
+    got = mapping.update_patient_map(old, [first, second, third], kinds, "patient", "salt", index)
+    rows = {(r["patient"], r["chart"], r["profile"], r["sur_patient_id"]) for r in got.collect()}
+    assert rows == {("1", "c1", "p1", 5), ("20", "c2", "p2", 6), ("3", "c3", None, 7), ("90", "c9", "p9", 9), (None, "c44", "p4", 8)}
+    # the same sources once more add nobody
+    assert mapping.update_patient_map(got, [first, second, third], kinds, "patient", "salt", index).count() == 5
