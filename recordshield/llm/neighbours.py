@@ -109,13 +109,14 @@ class Tree:
                 waiting += [(child, rows[at == i]) for i, child in enumerate(self.children[node]) if (at == i).any()]
         return out
 
-    def visits(self, point: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order in which the priority queue gives them out."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, point: np.ndarray, most: int, sizes: np.ndarray | None = None, enough: int = 0) -> list[int]:
+        """Leaves in the order in which the priority queue gives them out: ``most``, and more until they hold ``enough`` rows by their ``sizes``."""
+        queue, out, met = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or met < enough):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                met += 0 if sizes is None else int(sizes[self.leaf[node]])
                 continue
             gaps = self.centres[node] - point
             for distance, child in zip((gaps * gaps).sum(1).tolist(), self.children[node]):
@@ -213,18 +214,25 @@ def nearest(
     index = store(candidates.select("vec_id", "vector").mapInArrow(place, "vec_id long, raw binary, leaf int"), "index")
     queries = rows.where(is_query)
     visits = _calibrate(index, queries, tree, norm, k, recall)
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    # a query's own rows are no answers to it
+    own = index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    queries = queries.join(own, "vec_id", "left").select("vec_id", "vector", F.coalesce("own", F.lit(0)).alias("own"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.ascontiguousarray(_matrix(batch.column(1)))
-                seen = [shared.value.visits(p, visits) for p in np.column_stack([x, np.zeros(len(x))])]
+                need = (k + batch.column(2).to_numpy()).tolist()
+                seen = [shared.value.visits(p, visits, sizes, n) for p, n in zip(np.column_stack([x, np.zeros(len(x))]), need)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(seen, pa.list_(pa.int32()))],
                     names=["query_id", "query", "leaves"],
                 )
 
-    asked = store(queries.select("vec_id", "vector").mapInArrow(walk, "query_id long, query binary, leaves array<int>"), "queries")
+    asked = store(queries.mapInArrow(walk, "query_id long, query binary, leaves array<int>"), "queries")
     asked = asked.select("query_id", "query", F.explode("leaves").alias("leaf"))
     # one row per leaf: bounded by the tree
     row_blocks = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("row_blocks"))

@@ -162,6 +162,33 @@ def test_neighbours_recall(spark):
     assert np.mean(share) >= 0.9
 
 
+def test_visits_go_on_until_enough_rows():
+    rng = np.random.default_rng(18)
+    dense = [c + np.r_[t, np.zeros(7)] for c in rng.normal(size=(6, 8)) * 3 for t in rng.normal(size=400) * 0.01]
+    single = rng.normal(size=(40, 8)) * 40
+    points = np.array([*dense, *single])
+    tree = neighbours.Tree(points, 24, neighbours.BRANCHES)
+    sizes = np.bincount(tree.place(points), minlength=tree.leaves)
+    held = [[int(sizes[tree.visits(p, 1, *more)].sum()) for p in single] for more in ((), (sizes, 21))]
+    assert min(held[0]) < 20 and min(held[1]) >= 21
+    assert sorted(tree.visits(single[0], 1, sizes, len(points) + 1)) == list(range(tree.leaves))
+
+
+def test_every_query_gets_k_rows(spark):
+    """Dense clusters, which set the visits, and single rows far from them and from each other."""
+    rng = np.random.default_rng(18)
+    dense = [c + np.r_[t, np.zeros(7)] for c in rng.normal(size=(6, 8)) * 3 for t in rng.normal(size=400) * 0.01]
+    vectors = [x.tolist() for x in [*dense, *(rng.normal(size=(40, 8)) * 40)]]
+    # a query with many rows of its own
+    rows = [*enumerate(vectors), *[(2439, (np.array(vectors[2439]) + i * 0.01).tolist()) for i in range(1, 31)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = F.col("vec_id") != 2439
+    got = Counter(r["query_id"] for r in neighbours.nearest(df, asked, 20, leaves=24, recall=0.9).collect())
+    assert Counter(got.values()) == {20: 2439}
+    got = neighbours.nearest(df, F.col("vec_id") == 2439, 20, leaves=24, recall=0.9).groupBy("query_id").count().collect()
+    assert [tuple(r) for r in got] == [(2439, 20)]
+
+
 def test_neighbours_copies_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 8))
