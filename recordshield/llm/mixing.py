@@ -115,7 +115,8 @@ def mix(
 def mix_documents(docs: DataFrame, weights: Sequence[float], share: float, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The documents with their own columns, each repeated as often as the mix takes it.
 
-    Copies meet their text by (doc_id, text hash); rows that repeat both are drawn one by one, and share their copies out evenly.
+    Copies meet their text by (doc_id, text hash); rows that repeat both, and the source, are drawn one by one and
+    share their copies out evenly, by their number among themselves.
     """
     mark = F.xxhash64("text")
     drawn = mix(docs.withColumn("__mark", mark), weights, share, most, seed, keep=("doc_id", "__mark"))
@@ -128,7 +129,11 @@ def mix_documents(docs: DataFrame, weights: Sequence[float], share: float, most:
     )
     on = F.col("r_id").eqNullSafe(F.col("c_id")) & F.col("r_source").eqNullSafe(F.col("c_source")) & (F.col("r_mark") == F.col("c_mark"))
     met = rows.join(copies, on)
-    # a single row takes all its copies; of rows that repeat, all take the whole share and the rest goes by their number
-    place = F.when(F.col("rows") > 1, F.pmod(F.monotonically_increasing_id(), F.col("rows"))).otherwise(F.lit(0))
-    times = F.floor(F.col("total") / F.col("rows")) + (place < F.col("total") % F.col("rows")).cast("bigint")
+    # a single row takes all its copies; of rows that repeat, all take the whole share and the rest goes by their number among equal ones
+    rest = F.col("total") % F.col("rows")
+    equal = ["c_id", "c_source", "c_mark"]
+    met = met.select("row", *equal, "total", "rows")
+    several = number_rows(met.where(F.col("rows") > 1), equal, name="place", start=0, within=equal)
+    met = met.where(F.col("rows") == 1).withColumn("place", F.lit(0).cast("bigint")).unionByName(several.select(*met.columns, F.col("place").cast("bigint")))
+    times = F.floor(F.col("total") / F.col("rows")) + (F.col("place") < rest).cast("bigint")
     return met.withColumn("times", times.cast("int")).where(F.col("times") > 0).select(F.explode(F.sequence(F.lit(1), F.col("times"))), "row").select("row.*")

@@ -251,6 +251,17 @@ def test_mix_documents_repeats_rows(spark):
     assert most <= 4
 
 
+def test_repeated_rows_share_copies_exactly(spark):
+    """Pairs of equal rows in partitions of their own: the running id of both is then 0 modulo their number."""
+    rows = [(i, " ".join([f"w{i}"] * 10), "en", "s", 1) for i in range(40)]
+    half = spark.createDataFrame(rows, DOCS).coalesce(1)
+    docs = half.unionByName(half)
+    drawn = mixing.mix(docs.withColumn("__mark", F.xxhash64("text")), (1,), 0.5, keep=("doc_id", "__mark"))
+    want = {r["doc_id"]: r["n"] for r in drawn.groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    got = Counter(r["doc_id"] for r in mixing.mix_documents(docs, (1,), 0.5).collect())
+    assert got == want and sum(want.values()) == 40
+
+
 def test_mix_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mix(empty, (5, 2, 1), 1.5).count() == 0 and mixing.mix_documents(empty, (5, 2, 1), 1.5).count() == 0
