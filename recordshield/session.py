@@ -54,10 +54,10 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return store_at(df, label)[0]
 
 
-def store_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def store_at(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """As ``store``, with the path, for frames of a loop that :func:`discard` removes once the next round is written."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
