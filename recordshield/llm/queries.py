@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neighbours, quality, sharding, simhash, substring, url_filter, warc
+from . import bpe, chunk_bpe, langid, mixing, neighbours, quality, sharding, simhash, substring, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     index = warc.write_archives(table(spark, sf, "pages"), folder)
     return warc.read_records(index, folder, payloads=False).drop("url", "payload")
+
+
+@query("op13_bpe")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return chunk_bpe.encode_table(table(spark, sf, "documents"), path, ["n_tokens", "ids_sha256", "decoded_sha256"])
