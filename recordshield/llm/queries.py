@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_bpe, langid, mixing, neighbours, quality, sharding, simhash, substring, url_filter, warc
+from . import bpe, chunk_bpe, langid, lexical, mixing, neighbours, quality, sharding, simhash, substring, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,29 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_records(index, folder, payloads=False).drop("url", "payload")
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LEXICAL_SQL = f"""
+    WITH doc_terms AS (SELECT doc_id, regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_TERM}') AS terms FROM documents),
+    item_terms AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_TERM}')) AS term FROM benchmark),
+    total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM doc_terms WHERE len(terms) > 0),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM doc_terms)
+               WHERE term IN (SELECT term FROM item_terms) GROUP BY 1, 2),
+    weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+                FROM (SELECT term, count(*) AS df FROM counts GROUP BY 1), total),
+    sizes AS (SELECT doc_id, 100 - 25 + (25 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM doc_terms, total),
+    scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+               FROM (SELECT item_id, term, count(*) AS times FROM item_terms GROUP BY 1, 2) JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id)
+               GROUP BY 1, 2),
+    ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op12_lexical_search", _LEXICAL_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
+
+
 @query("op13_bpe")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
