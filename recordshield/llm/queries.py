@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_bpe, langid, lexical, mixing, neighbours, quality, sharding, simhash, substring, url_filter, warc
+from . import bpe, chunk_bpe, langid, lexical, mixing, neighbours, prefix_trie, quality, sharding, simhash, substring, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,39 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_records(index, folder, payloads=False).drop("url", "payload")
 
 
+_TRIE_SQL = f"""
+    WITH own AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM
+                 (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+                         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+                  FROM conversations WHERE conv_id IS NOT NULL)),
+    crc AS (SELECT [{_crc_table()}]::BIGINT[] AS t),
+    convs AS (SELECT conv_id, n, conv_id - conv_id % 20 AS base,
+                     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                                     lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295::BIGINT) % 4 AS h
+              FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY 1), crc),
+    starts AS (SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) AS taken, c.h FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+    rebuilt AS (SELECT c.conv_id, o.pos AS at, o.key, o.words FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+                UNION ALL SELECT s.conv_id, taken + pos - h, key, words FROM starts s JOIN own o ON o.conv_id = s.conv_id AND o.pos >= s.h),
+    lists AS (SELECT conv_id, coalesce(keys, []) AS keys, coalesce(counts, []) AS counts FROM convs LEFT JOIN
+              (SELECT conv_id, list(key ORDER BY at) AS keys, list(words ORDER BY at) AS counts FROM rebuilt GROUP BY 1) USING (conv_id)),
+    members AS (SELECT conv_id, d, keys[1:d] AS path, CASE WHEN d = 0 THEN 0 ELSE counts[d] END AS words, d = len(keys) AS ends
+                FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM lists)),
+    nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY 1, 2),
+    children AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+    valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.path),
+    totals AS (SELECT path[1:up] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+               FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM valued) GROUP BY 1)
+    SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+    FROM valued v JOIN totals t ON t.path = v.path LEFT JOIN nodes p ON v.d > 0 AND p.path = v.path[1:v.d - 1]
+"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuild(prefix_trie.turns(table(spark, sf, "conversations"))))
+
+
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LEXICAL_SQL = f"""
     WITH doc_terms AS (SELECT doc_id, regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_TERM}') AS terms FROM documents),
