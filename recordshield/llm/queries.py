@@ -214,10 +214,10 @@ _TRIE_SQL = f"""
                                      lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295::BIGINT) % 4 AS h
               FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY 1), crc),
     starts AS (SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) AS taken, c.h FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
-    rebuilt AS (SELECT c.conv_id, o.pos AS at, o.key, o.words FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
-                UNION ALL SELECT s.conv_id, taken + pos - h, key, words FROM starts s JOIN own o ON o.conv_id = s.conv_id AND o.pos >= s.h),
+    rebuilt AS (SELECT c.conv_id, o.pos AS place, o.key, o.words FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+                UNION ALL SELECT s.conv_id, taken + pos - h AS place, key, words FROM starts s JOIN own o ON o.conv_id = s.conv_id AND o.pos >= s.h),
     lists AS (SELECT conv_id, coalesce(keys, []) AS keys, coalesce(counts, []) AS counts FROM convs LEFT JOIN
-              (SELECT conv_id, list(key ORDER BY at) AS keys, list(words ORDER BY at) AS counts FROM rebuilt GROUP BY 1) USING (conv_id)),
+              (SELECT conv_id, list(key ORDER BY place) AS keys, list(words ORDER BY place) AS counts FROM rebuilt GROUP BY 1) USING (conv_id)),
     members AS (SELECT conv_id, d, keys[1:d] AS path, CASE WHEN d = 0 THEN 0 ELSE counts[d] END AS words, d = len(keys) AS ends
                 FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM lists)),
     nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
