@@ -31,10 +31,10 @@ def hl7_person(message: str | Column) -> dict[str, Column]:
 
 
 def xml_value(text: str | Column, tag: str) -> Column:
-    """Trimmed text of the first tag of that name, any name space and case, CDATA opened; null when absent."""
-    inner = F.regexp_extract(as_col(text), rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{tag}\s*>", 1)
-    bare = F.trim(F.regexp_replace(inner, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))
-    return F.nullif(bare, F.lit(""))
+    """Trimmed text of the first tag of that name, any name space and case, up to its first child; CDATA opened, comments skipped; null when absent."""
+    held = F.regexp_extract(as_col(text), rf"(?is)<(?:[\w.-]+:)?{tag}(?:\s[^>]*)?(?<!/)>((?:[^<]++|<!--.*?-->|<!\[CDATA\[.*?\]\]>)*+)", 1)
+    bare = F.regexp_replace(F.regexp_replace(held, r"(?s)<!--.*?-->", ""), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    return F.nullif(F.trim(bare), F.lit(""))
 
 
 def xml_attribute(text: str | Column, name: str, tag: str | None = None) -> Column:

@@ -192,30 +192,149 @@ def mask_spaced_values(text: str | Column, values: Sequence[tuple[str | Column,
 
 # --- markup -----------------------------------------------------------------------------------------------------------
 
+# comment, CDATA, instruction, declaration, closing tag, opening tag, text, stray sign: together they cover any text
+TOKEN = (
+    r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z](?:[^>\[]++|\[.*?\])*+>|</[^<>]*+>"
+    r"|<[\p{L}_](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]++|<"
+)
+#: Elements of HTML that have no closing tag.
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
-def _names(names: Sequence[str]) -> str:
-    return "(?:" + "|".join(names) + ")"
 
+def _local(name: Column) -> Column:
+    return F.regexp_replace(name, "^.*:", "")
 
-def rewrite_tag(text: str | Column, names: Sequence[str], change: Callable[[Column, Column], Column], any_case: bool = True) -> Column:
-    """The text of the named tags replaced by ``change(tag name, content)``; null leaves it as it is. One scan for all names."""
-    whole = rf"(?s{'i' if any_case else ''})<(?:\w+:)?{_names(names)}(?:\s[^>]*)?>[^<]*(?=</)"
 
-    def one(m: Column) -> Column:
-        name, content = F.regexp_extract(m, r"^<(?:\w+:)?(\w+)", 1), F.regexp_extract(m, r"(?s)>([^<]*)$", 1)
-        return F.concat(F.regexp_extract(m, r"(?s)^([^>]*>)", 1), change(name, content))
+def _markup_steps(tokens: Column) -> Column:
+    """Every token as struct<i,kind,name,held>: place, kind, full tag name, and what it adds to the text of its element."""
 
-    return rewrite_matches(text, whole, one)
+    def kind(t: Column, name: Column) -> Column:
+        tag = F.when(t.startswith("<!--") | t.startswith("<?"), "aside").when(t.startswith("<![CDATA["), "text").when(t.startswith("<!"), "declared")
+        tag = tag.when(t.startswith("</"), "close").when(name == "", "stray").when(t.endswith("/>"), "empty").otherwise("open")
+        return F.when(~t.startswith("<"), "text").otherwise(tag)
 
+    def step(t: Column, i: Column) -> Column:
+        name = F.regexp_extract(t, r"^</?([\p{L}_][^\s/>]*)", 1)
+        inside = F.replace(F.replace(F.substring(t, F.lit(10), F.length(t) - 12), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        held = F.when(t.startswith("<![CDATA["), inside).otherwise(t)
+        return let(name, lambda n: F.struct(i.alias("i"), kind(t, n).alias("kind"), n.alias("name"), held.alias("held")))
 
-def mask_tags(text: str | Column, tags: dict[str, str], any_case: bool = False) -> Column:
-    """Text of the named tags, their ``value`` attribute, and attributes of that name in any tag and case."""
+    return F.transform(tokens, step)
+
+
+def _well_formed(steps: Column) -> Column:
+    """Whether the tags pair up below one root, with no stray sign and no text outside it."""
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(True).alias("ok"), F.lit(0).alias("roots"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        stack, kind, outside = acc["stack"], x["kind"], F.size(acc["stack"]) == 0
+        pairs = F.coalesce(F.get(stack, F.size(stack) - 1) == x["name"], F.lit(False))
+        begins = outside & kind.isin("open", "empty")
+        bad = (kind == "stray") | ((kind == "close") & ~pairs) | (outside & (kind == "text") & x["held"].rlike(r"\S"))
+        moved = F.when(kind == "open", F.concat(stack, F.array(x["name"]))).when((kind == "close") & pairs, F.slice(stack, F.lit(1), F.size(stack) - 1))
+        return F.struct(moved.otherwise(stack).alias("stack"), (acc["ok"] & ~bad).alias("ok"), (acc["roots"] + begins.cast("int")).alias("roots"))
+
+    return F.aggregate(steps, start, merge, lambda acc: acc["ok"] & (F.size(acc["stack"]) == 0) & (acc["roots"] == 1))
+
+
+def _markup_edits(steps: Column, exact: Column, named: Callable[[Column], Column], masked: Callable[[Column], Column]) -> Column:
+    """A scan over the tokens with the stack of open tags: array<struct<a,b,tag,value>>, the tokens a to b that are the text of an element.
+
+    The text of an element is all up to its first child, whether plain, in CDATA or around comments; found where ``named(tag)`` holds. Of an element of
+    which ``masked(tag)`` holds, all other text and comments are found too, without a tag, as they are to go. Where the markup is not well-formed (``exact`` is
+    false), a closing tag closes the last one of its name and all within, HTML's tags without an end are empty, and what is cut off ends with the text.
+    """
+    start = F.struct(
+        F.array().cast("array<string>").alias("stack"), F.lit(-1).alias("first"), F.lit("").alias("value"),
+        F.array().cast("array<struct<a:int,b:int,tag:string,value:string>>").alias("edits"),
+    )
+
+    def edit(a: Column, b: Column, tag: Column, value: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), tag.alias("tag"), value.alias("value"))
+
+    def last(stack: Column) -> Column:
+        return _local(F.get(stack, F.size(stack) - 1))
+
+    def merge(acc: Column, x: Column) -> Column:
+        stack, kind, depth = acc["stack"], x["kind"], F.size(acc["stack"])
+        opens = (kind == "open") & (exact | ~F.lower(x["name"]).isin(VOID_TAGS))
+        closes = kind == "close"
+        event = kind.isin("open", "empty", "close")
+        collecting = acc["first"] >= 0
+        back = F.array_position(F.reverse(stack), x["name"]).cast("int")
+        holds = exact | closes | acc["value"].rlike(r"\S")
+        goes = ~collecting & (depth > 0) & ((kind == "aside") | ((kind == "text") & x["held"].rlike(r"\S")))
+        found = F.when(event & collecting & holds, edit(acc["first"] + 1, x["i"] - 1, last(stack), acc["value"]))
+        found = found.when(goes & masked(last(stack)), edit(x["i"], x["i"], F.lit(None).cast("string"), F.lit("")))
+        return F.struct(
+            F.when(opens, F.concat(stack, F.array(x["name"]))).when(closes & (back > 0), F.slice(stack, F.lit(1), depth - back)).otherwise(stack).alias("stack"),
+            F.when(opens & named(_local(x["name"])), x["i"]).when(event, F.lit(-1)).otherwise(acc["first"]).alias("first"),
+            F.when(event, F.lit("")).when(collecting & (kind == "text"), F.concat(acc["value"], x["held"])).otherwise(acc["value"]).alias("value"),
+            let(found, lambda e: F.when(e.isNotNull(), F.concat(acc["edits"], F.array(e))).otherwise(acc["edits"])).alias("edits"),
+        )
+
+    def result(acc: Column) -> Column:
+        cut = edit(acc["first"] + 1, F.size(steps) - 1, last(acc["stack"]), acc["value"])
+        return F.when(acc["first"] >= 0, F.concat(acc["edits"], F.array(cut))).otherwise(acc["edits"])
+
+    return F.aggregate(steps, start, merge, result)
+
+
+def _edited(tokens: Column, edits: Column) -> Column:
+    """The tokens joined again, with the edits, which are in order and do not overlap."""
+
+    def joined(e: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(e, k - 1)["b"]).otherwise(F.lit(-1))
+        parts = F.transform(e, lambda x, k: F.concat(F.slice(tokens, before(k) + 2, x["a"] - before(k) - 1), F.array(x["new"])))
+        last = before(F.size(e))
+        return F.array_join(F.concat(F.flatten(parts), F.slice(tokens, last + 2, F.size(tokens) - last - 1)), "")
+
+    return let(edits, joined)
+
+
+def rewrite_elements(
+    text: str | Column,
+    names: Sequence[str],
+    masked: Callable[[Column], Column],
+    change: Callable[[Column, Column], Column],
+    broken: str = "tags",
+) -> Column:
+    """The text of the named elements (any name space and case) replaced by ``change(local name, text)``; null leaves it as it is.
+
+    Well-formed markup is followed exactly. Markup that is not well-formed (HTML, fragments, cut messages) is followed as far as its tags pair up, so
+    that nothing named stays readable; with ``broken="keep"`` it is left as it is.
+    """
+    low = [n.lower() for n in names]
+    named = lambda name: F.lower(name).isin(low)
+    worth = rf"(?i)<(?:[^\s/<>:]+:)?{_names(names)}[\s/>]"
+
+    def scanned(tokens: Column) -> Column:
+        def made(edits: Column) -> Column:
+            new = F.transform(edits, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), F.when(e["tag"].isNull(), "").otherwise(change(e["tag"], e["value"])).alias("new")))
+            return _edited(tokens, F.filter(new, lambda e: e["new"].isNotNull()))
+
+        def followed(steps: Column) -> Column:
+            return let(_well_formed(steps), lambda exact: F.when(exact | F.lit(broken != "keep"), made(_markup_edits(steps, exact, named, masked))).otherwise(F.array_join(tokens, "")))
+
+        return let(_markup_steps(tokens), followed)
+
+    return if_found(text, worth, lambda t: let(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), scanned))
+
+
+def _names(names: Sequence[str]) -> str:
+    return "(?:" + "|".join(names) + ")"
+
+
+def _mask_elements(
+    text: Column, tags: dict[str, str], any_case: bool, broken: str, names: Sequence[str] = (), special: Callable[[Column, Column], Column] | None = None
+) -> Column:
+    """Text of the named tags and ``special`` of further ``names``, then their ``value`` attribute and attributes of that name in any tag and case."""
     key = F.lower if any_case else (lambda c: c)
     by_name = F.create_map(*[F.lit(x) for t, m in tags.items() for x in (t.lower() if any_case else t, m)])
     by_attribute = F.create_map(*[F.lit(x) for t, m in {t.lower(): m for t, m in tags.items()}.items() for x in (t, m)])
-    flag = "(?i)" if any_case else ""
+    flag = "(?iu)" if any_case else ""
     opening = rf"{flag}<(?:\w+:)?{_names(list(tags))}\s[^>]*\bvalue=(?:\"[^\"]*\"|'[^']*')"
-    attribute = rf"(?i)(?<=\s){_names(list(tags))}=(?:\"[^\"]*\"|'[^']*')(?=[^<>]*>)"
+    attribute = rf"(?iu)(?<=\s){_names(list(tags))}=(?:\"[^\"]*\"|'[^']*')(?=[^<>]*>)"
 
     def value(m: Column) -> Column:
         name = F.regexp_extract(m, r"^<(?:\w+:)?(\w+)", 1)
@@ -224,8 +343,21 @@ def mask_tags(text: str | Column, tags: dict[str, str], any_case: bool = False)
     def named(m: Column) -> Column:
         return F.concat(F.regexp_extract(m, r"^([^=]*=)", 1), F.lit('"'), by_attribute[F.lower(F.regexp_extract(m, r"^([^=]*)=", 1))], F.lit('"'))
 
-    out = rewrite_tag(text, list(tags), lambda name, content: by_name[key(name)], any_case)
-    return rewrite_matches(rewrite_matches(out, opening, value), attribute, named)
+    def change(name: Column, content: Column) -> Column:
+        mask = by_name[key(name)]
+        return F.coalesce(mask, special(name, content)) if special is not None else mask
+
+    out = rewrite_elements(text, [*tags, *names], lambda name: by_name[key(name)].isNotNull(), change, broken)
+    changed = rewrite_matches(rewrite_matches(out, opening, value), attribute, named)
+    if broken == "keep":
+        well_formed = _well_formed(_markup_steps(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))))
+        return F.when(well_formed, changed).otherwise(text)
+    return changed
+
+
+def mask_tags(text: str | Column, tags: dict[str, str], any_case: bool = False, broken: str = "tags") -> Column:
+    """Text of the named tags, their ``value`` attribute, and attributes of that name in any tag and case."""
+    return let(as_col(text), lambda whole: _mask_elements(whole, tags, any_case, broken))
 
 
 def mask_markup(
@@ -234,16 +366,21 @@ def mask_markup(
     dob_tags: Sequence[str] = P.XML_DOB_TAGS,
     zip_tags: Sequence[str] = P.XML_ZIP_TAGS,
     any_case: bool = False,
+    broken: str = "tags",
 ) -> Column:
-    """Birth-date tags to the year, postal-code tags to three digits, named tags masked. Only text that starts as markup."""
+    """Birth-date tags to the year, postal-code tags to three digits, named tags masked. Only text that starts as markup.
+
+    A birth date that cannot be read stays as it is, CDATA and all; so does a postal code without five digits.
+    """
+    born, coded = [t.lower() for t in dob_tags], [t.lower() for t in zip_tags]
 
     def special(name: Column, content: Column) -> Column:
-        year = F.date_format(parse_date(content), "yyyy")
+        year = F.date_format(parse_date(F.trim(content)), "yyyy")
         digits = F.regexp_replace(content, r"(\d{3})\d{2}", "$1")
-        return F.when(F.lower(name).isin([t.lower() for t in dob_tags]), year).otherwise(digits)
+        return F.when(F.lower(name).isin(born), year).when(F.lower(name).isin(coded) & (digits != content), digits)
 
     def masked(whole: Column) -> Column:
-        out = rewrite_tag(whole, [*dob_tags, *zip_tags], special) if dob_tags or zip_tags else whole
-        return F.when(F.ltrim(whole).startswith("<"), mask_tags(out, tags, any_case)).otherwise(whole)
+        out = _mask_elements(whole, tags, any_case, broken, [*dob_tags, *zip_tags], special)
+        return F.when(F.ltrim(whole).startswith("<"), out).otherwise(whole)
 
     return let(as_col(text), masked)

@@ -289,6 +289,43 @@ def x11_records(spark, sf):
     return text_table(spark, sf, "orders").select("o_orderkey", X.mask_markup(message).alias("message"))
 
 
+_NESTED_MASKS = {"FirstName": "((FirstName))", "address": "((ADDRESS))", "City": "((City))", "SSN": "((SSN))"}
+
+
+@query(
+    "x11_nested_markup",
+    """
+WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, CAST(o_custkey AS VARCHAR) AS c, o_orderdate AS d FROM orders)
+SELECT o_orderkey AS id,
+  CASE WHEN p = '1-URGENT' THEN '<r><FirstName>' || c || '<!-- open -->'
+       WHEN p = '2-HIGH' THEN '<r><dob>not known<!-- ' || c || ' --></dob><City a="1">((City))<City>((City))</City><i/></City></r>'
+       WHEN s = 'F' THEN '<?xml version="1.0"?><n:r xmlns:n="u"><n:FirstName>((FirstName))</n:FirstName><dob>' || year(d) || '</dob><note>' || p || '</note></n:r>'
+       WHEN s = 'O' THEN '<r><address type="a>b">((ADDRESS))<br/><b>' || c || '</b></address><zip>123 &amp; 456</zip><SSN>((SSN))</SSN></r>'
+       ELSE '<r><!-- <City>' || c || '</City> --><City>((City))</City><other><![CDATA[<City>' || c || '</City>]]></other></r>' END AS message FROM o
+UNION ALL SELECT page_id, '<r><SSN>((SSN))</SSN><body>' || 'kept</body></r>' FROM pages
+""",
+)
+def x11_nested(spark, sf):
+    o = text_table(spark, sf, "orders")
+    c, p, s = F.col("o_custkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    day, note = F.date_format("o_orderdate", "MM/dd/yyyy"), p
+
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    cut = text("<r><FirstName>", c, "<!-- open -->")
+    unread = text("<r><dob>not known<!-- ", c, ' --></dob><City a="1">', c, "<City><![CDATA[", c, "]]></City> and ", c, "<i/> ", c, "</City></r>")
+    data = text('<?xml version="1.0"?><n:r xmlns:n="u"><n:FirstName><!-- ', c, " --><![CDATA[", c, " <x> & ]]> ", c, "</n:FirstName><dob> <![CDATA[", day)
+    data = text(data, "]]></dob><note>", note, "</note></n:r>")
+    mixed = text('<r><address type="a>b">', c, "<br/>", c, "<b>", c, "</b>", c, "</address><zip><![CDATA[12345 & 45678]]></zip><SSN>", c, "<!-- ", c, " --></SSN></r>")
+    inert = text("<r><!-- <City>", c, "</City> --><City>", c, "</City><other><![CDATA[<City>", c, "</City>]]></other></r>")
+    message = F.when(p == "1-URGENT", cut).when(p == "2-HIGH", unread).when(s == "F", data).when(s == "O", mixed).otherwise(inert)
+    pages = text_table(spark, sf, "pages")
+    page = text("<r><SSN><![CDATA[", F.col("html"), "]]></SSN><body>kept</body></r>")
+    both = o.select(F.col("o_orderkey").alias("id"), message.alias("message")).unionByName(pages.select(F.col("page_id").alias("id"), page.alias("message")))
+    return both.select("id", X.mask_markup("message", _NESTED_MASKS, broken="keep").alias("message"))
+
+
 @query("x12_tag_mask_by_config", f"SELECT page_id, {_tag_sql('html', {'a': '((LINK))', 'li': '((ITEM))'})} AS html FROM pages")
 def x12(spark, sf):
     return text_table(spark, sf, "pages").select("page_id", X.mask_tags("html", {"a": "((LINK))", "li": "((ITEM))"}).alias("html"))

@@ -168,6 +168,41 @@ def test_markup(spark):
     assert value(spark, text.mask_markup(lit("no <City>Rome</City>"))) == "no <City>Rome</City>"
 
 
+NESTED = [
+    # as written, well-formed markup masked, and what the lenient way makes of broken markup
+    ("<SSN><![CDATA[123-45-6789]]></SSN>", "<SSN>((SSN))</SSN>", None),
+    ("<address>12 Main<br/>Springfield</address>", "<address>((ADDRESS))<br/></address>", None),
+    ("<FirstName>Ann<!-- x --></FirstName>", "<FirstName>((FirstName))</FirstName>", None),
+    ("<dob><![CDATA[1980-02-03]]></dob>", "<dob>1980</dob>", None),
+    ("<r><dob>unknown <!-- 1980 --></dob></r>", "<r><dob>unknown <!-- 1980 --></dob></r>", None),
+    ("<City>a<City>b</City>c</City>", "<City>((City))<City>((City))</City></City>", None),
+    ("<Address>\n <Street>1 Way</Street>\n</Address>", "<Address>((ADDRESS))<Street>1 Way</Street>\n</Address>", None),
+    ("<r><zip><![CDATA[12345 & 6]]></zip><zip>none</zip></r>", "<r><zip>123 &amp; 6</zip><zip>none</zip></r>", None),
+    ("<a:LastName xmlns:a='u' value='Lee'/>", "<a:LastName xmlns:a='u' value=\"((LastName))\"/>", None),
+    ("<r a='x>y'><?p <City>?><City/><City></City></r>", "<r a='x>y'><?p <City>?><City/><City>((City))</City></r>", None),
+    ("<r><City>x</r>", "<r><City>x</r>", "<r><City>((City))</r>"),
+    ("<r><City>x", "<r><City>x", "<r><City>((City))"),
+    ("<r><City>x</Cit", "<r><City>x</Cit", "<r><City>((City))"),
+    ("<p><FirstName>Ann<br>Lee</FirstName><q>z", "<p><FirstName>Ann<br>Lee</FirstName><q>z", "<p><FirstName>((FirstName))<br></FirstName><q>z"),
+    ("<City>x</City><City>y</City>", "<City>x</City><City>y</City>", "<City>((City))</City><City>((City))</City>"),
+    ("<r>a < b <City>Rome</City></r>", "<r>a < b <City>Rome</City></r>", "<r>a < b <City>((City))</City></r>"),
+    ("", "", None),
+    (None, None, None),
+]
+
+
+def test_markup_is_followed_by_its_tags(spark):
+    rows = spark.createDataFrame([(n, r[0]) for n, r in enumerate(NESTED)], "n int, t string")
+    got = rows.select("n", text.mask_markup("t", broken="keep").alias("kept"), text.mask_markup("t").alias("masked")).orderBy("n").collect()
+    assert [(r["kept"], r["masked"]) for r in got] == [(exact, lenient or exact) for _, exact, lenient in NESTED]
+
+
+def test_markup_of_many_tags(spark):
+    many = "<r>" + "".join(f"<e{n}><City>x{n}</City>y</e{n}>" for n in range(3000)) + "</r>"
+    want = "<r>" + "".join(f"<e{n}><City>((City))</City>y</e{n}>" for n in range(3000)) + "</r>"
+    assert value(spark, text.mask_markup(lit(many))) == want
+
+
 def test_own_id(spark):
     assert value(spark, text.own_id_to_surrogate(lit("id 12, 120, x12."), F.lit(12), F.lit(900))) == "id 900, 120, x900."
 
@@ -183,6 +218,8 @@ def test_hl7(spark):
 def test_xml_value(spark):
     assert value(spark, messages.xml_value(lit("<a:Id x='1'><![CDATA[ 5 ]]></a:Id>"), "id")) == "5"
     assert value(spark, messages.xml_value(lit("<b>5</b>"), "id")) is None
+    assert value(spark, messages.xml_value(lit("<id>outer<id>in</id></id>"), "id")) == "outer"
+    assert value(spark, messages.xml_value(lit("<id/><n:Id><!-- 4 --><![CDATA[ 7]]>8<x/>9</n:Id>"), "id")) == "78"
 
 
 def test_checks(spark):
