@@ -12,9 +12,22 @@ from . import patterns as P
 from .clean import as_col, let
 from .dates import parse_date, rewrite_matches, shift_dates_in_text
 
+#: What a word is made of, in any script.
+WORD = r"\p{L}\p{M}\p{N}_"
 # left and right edge of a value inside a text: no word character next to it, and no mail host behind it
-LEFT_EDGE = r"(?<![A-Za-z0-9_])"
-RIGHT_EDGE = r"(?![A-Za-z0-9_])(?![A-Za-z0-9_]*@)"
+LEFT_EDGE = rf"(?<![{WORD}])"
+WORD_END = rf"(?![{WORD}])"
+WORD_BREAK = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+RIGHT_EDGE = rf"{WORD_END}(?![{WORD}]*@)"
+#: Letters of any script match in any case.
+ANY_CASE = "(?iu)"
+
+
+def fold(text: Column) -> Column:
+    """A form in which letters that ``ANY_CASE`` holds equal are equal: back and forth once, as some letters share one capital only."""
+    # the empty text keeps the optimizer from taking the way back and forth for one step
+    apart = lambda x: F.concat(x, F.lit(""))
+    return F.lower(apart(F.upper(apart(F.lower(F.translate(text, "İ", "i"))))))
 
 
 def java_replacement(mask: str) -> str:
@@ -36,17 +49,18 @@ def values_pattern(values: Column) -> Column:
     long = F.transform(F.filter(bare, lambda v: F.length(v) >= 3), quote_pattern)
     short = F.transform(F.filter(bare, lambda v: F.length(v) < 3), quote_pattern)
     long_pattern = F.concat(F.lit(LEFT_EDGE + r"(?:['\"/])?(?:"), F.array_join(long, "|"), F.lit(r")(?:['\"])?" + RIGHT_EDGE))
-    short_pattern = F.concat(F.lit(r"['\"]?\b(?:"), F.array_join(short, "|"), F.lit(r")\b['\"]?"))
+    short_pattern = F.concat(F.lit(rf"['\"]?{WORD_BREAK}(?:"), F.array_join(short, "|"), F.lit(rf"){WORD_BREAK}['\"]?"))
     parts = F.array(F.when(F.size(long) > 0, long_pattern), F.when(F.size(short) > 0, short_pattern))
-    return F.concat(F.lit("(?i)"), F.array_join(F.array_compact(parts), "|"))
+    return F.concat(F.lit(ANY_CASE), F.array_join(F.array_compact(parts), "|"))
 
 
 def compiled_terms(terms: str | Column) -> Column:
-    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms>: one pattern over all values, whatever their masks."""
+    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms>: one pattern over all values, whatever their masks, and their folded forms."""
 
     def compiled(present: Column) -> Column:
         pattern = values_pattern(F.transform(present, lambda t: t["value"]))
-        return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), present.alias("terms")))
+        folded = F.transform(present, lambda t: F.struct(fold(F.trim(t["value"])).alias("form"), t["mask"].alias("mask")))
+        return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), folded.alias("terms")))
 
     return let(F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != "")), compiled)
 
@@ -55,11 +69,11 @@ def _mask_of(found: Column, terms: Column) -> Column:
     """The mask of the longest value that the match is, with or without the quotes around it."""
     bare = F.regexp_replace(found, r"^['\"/]", "")
     forms = F.transform(
-        F.array(found, bare, F.regexp_replace(found, r"['\"]$", ""), F.regexp_replace(bare, r"['\"]$", "")), lambda x: F.lower(x)
+        F.array(found, bare, F.regexp_replace(found, r"['\"]$", ""), F.regexp_replace(bare, r"['\"]$", "")), fold
     )
 
     def first_of(same: Column) -> Column:
-        hits = F.filter(terms, lambda t: F.array_contains(same, F.lower(F.trim(t["value"]))))
+        hits = F.filter(terms, lambda t: F.array_contains(same, t["form"]))
         # every match is some value; should letter case hide which one, it is masked all the same
         return F.coalesce(F.get(hits, F.lit(0))["mask"], F.get(terms, F.lit(0))["mask"])
 
@@ -113,7 +127,7 @@ def replace_words(text: str | Column, pairs: Sequence[tuple[str, str]]) -> Colum
     for old, new in pairs:
         if old and new:
             quoted = "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in old)
-            out = F.regexp_replace(out, rf"(?i){LEFT_EDGE}{quoted}(?![A-Za-z0-9_]*@)", java_replacement(new))
+            out = F.regexp_replace(out, rf"{ANY_CASE}{LEFT_EDGE}{quoted}(?![{WORD}]*@)", java_replacement(new))
     return out
 
 
@@ -168,8 +182,8 @@ def combined_names(parts: Sequence[str | Column]) -> Column:
 
 
 def mask_combined_names(text: str | Column, parts: Sequence[str | Column], mask: str) -> Column:
-    names = F.transform(combined_names(parts), lambda n: F.concat(F.lit(r"\b"), quote_pattern(n), F.lit(r"\b")))
-    pattern = F.concat(F.lit("(?i)"), F.array_join(names, "|"))
+    names = F.transform(combined_names(parts), lambda n: F.concat(F.lit(WORD_BREAK), quote_pattern(n), F.lit(WORD_BREAK)))
+    pattern = F.concat(F.lit(ANY_CASE), F.array_join(names, "|"))
     return F.when(F.size(names) > 0, F.regexp_replace(as_col(text), pattern, F.lit(java_replacement(mask)))).otherwise(as_col(text))
 
 
@@ -306,7 +320,7 @@ def rewrite_elements(
     """
     low = [n.lower() for n in names]
     named = lambda name: F.lower(name).isin(low)
-    worth = rf"(?i)<(?:[^\s/<>:]+:)?{_names(names)}[\s/>]"
+    worth = rf"{ANY_CASE}<(?:[^\s/<>:]+:)?{_names(names)}[\s/>]"
 
     def scanned(tokens: Column) -> Column:
         def made(edits: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions.clean import let
 from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
-from ..functions.text import compiled_terms, mask_compiled, mask_values
+from ..functions.text import ANY_CASE, WORD, WORD_BREAK, compiled_terms, fold, mask_compiled, mask_values
+from ..session import store
 
 HITS = T.ArrayType(
     T.StructType([T.StructField("place", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("mask", T.StringType())])
@@ -29,7 +30,7 @@ def pii_terms(pii: DataFrame, masks: dict[str, str], patient: str = "sur_patient
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    return F.regexp_extract_all(fold(text), F.lit(rf"([{WORD}]+)"), F.lit(1))
 
 
 def _grams(text: Column, most: int) -> Column:
@@ -55,7 +56,7 @@ def _head(value: Column, most: int) -> Column:
 
 def _signs(text: Column) -> Column:
     """Distinct characters that are neither white space nor part of a word."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([^A-Za-z0-9_\s])"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"([^{WORD}\s])"), F.lit(1)))
 
 
 def _longest_first(terms: Column) -> Column:
@@ -68,6 +69,29 @@ def _longest_first(terms: Column) -> Column:
     )
 
 
+#: Bits of the table that tells which runs of words cannot be the first words of any term: half a megabyte, whatever the terms are.
+LOOKUP_BITS = 1 << 22
+_BITMAP = 1 << 15
+
+
+def _lookup_table(keys: DataFrame) -> Column:
+    """The hashes of a column ``__gram`` as bitmaps, an array of binaries that reaches the scan as one literal."""
+    number = F.pmod("__gram", F.lit(LOOKUP_BITS)) + 1
+    filled = keys.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    by_bucket = F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))
+    buckets = F.sequence(F.lit(1).cast("long"), F.lit(LOOKUP_BITS // _BITMAP).cast("long"))
+    return filled.agg(by_bucket.alias("m")).select(F.transform(buckets, lambda b: F.col("m")[b])).scalar()
+
+
+def _may_be(gram: Column, table: Column) -> Column:
+    """Whether the bit of a hash is set; hashes of terms always are."""
+    number = F.pmod(gram, F.lit(LOOKUP_BITS)).cast("int")
+    place = F.pmod(number, F.lit(_BITMAP))
+    bits = F.get(table, F.shiftright(number, 15))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+
+
 def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, by: Sequence[str] = (), most: int = 3) -> DataFrame:
     """(note_id, terms): the values of a term table whose first words occur in the note.
 
@@ -75,12 +99,15 @@ def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, b
     value that is then not found), so neither side is held whole anywhere, and a note's list holds only what its own text
     calls for. A word that stands in every note is a hot key of a plain equi-join, which the adaptive skew join splits.
     """
-    heads = terms.select(*by, "value", "mask", _head(F.col("value"), most).alias("__gram"))
+    # written once: the table of bits and the join both read it
+    heads = store(terms.select(*by, "value", "mask", _head(F.col("value"), most).alias("__gram")), "terms")
     keys = F.transform(_grams(F.col(text), most), lambda g: F.xxhash64(g))
-    if not terms.where(F.size(_words(F.col("value"))) == 0).isEmpty():
+    if not heads.where(F.size(_words(F.col("value"))) == 0).isEmpty():
         # values without any word character are looked up by their first sign
         keys = F.concat(keys, F.transform(_signs(F.col(text)), lambda c: F.xxhash64(F.concat(F.lit("\0"), c))))
-    grams = notes.select(note_id, *by, F.explode(keys).alias("__gram"))
+    # only runs that may be the first words of a term leave the scan
+    known = F.filter(keys, lambda g: _may_be(g, F.col("__known")))
+    grams = notes.withColumn("__known", _lookup_table(heads)).select(note_id, *by, F.explode(known).alias("__gram"))
     hits = grams.join(heads, [*by, "__gram"])
     return hits.groupBy(note_id).agg(_longest_first(F.collect_set(F.struct("value", "mask"))).alias("terms"))
 
@@ -190,7 +217,7 @@ def _mask_words(text: str, terms: str) -> Column:
             F.col(text),
             lambda acc, t: F.regexp_replace(
                 acc,
-                F.concat(F.lit(r"(?i)\b"), F.replace(t["value"], F.lit(" "), F.lit(r"\W+")), F.lit(r"\b")),
+                F.concat(F.lit(ANY_CASE + WORD_BREAK), F.replace(t["value"], F.lit(" "), F.lit(rf"[^{WORD}]+")), F.lit(WORD_BREAK)),
                 F.regexp_replace(t["mask"], r"([\\$])", r"\\$1"),
             ),
         ),

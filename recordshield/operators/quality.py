@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import CHECKS, all_hold, sure
 from ..functions.dates import parse_date
 from ..functions.patterns import NOTE_DATE, QC_REASONS
-from ..functions.text import values_pattern
+from ..functions.text import ANY_CASE, LEFT_EDGE, WORD_END, values_pattern
 
 
 # --- expected ignored rows --------------------------------------------------------------------------------------------
@@ -147,7 +147,7 @@ def text_dates_follow(before: str, after: str, days: str | Column | int, dob: st
 def occurrences(text: str | Column, word: str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     quoted = "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in word)
-    return F.size(F.split(text, rf"(?i)(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])", -1)) - 1
+    return F.size(F.split(text, f"{ANY_CASE}{LEFT_EDGE}{quoted}{WORD_END}", -1)) - 1
 
 
 def replacement_done(before: str, after: str, old: str, new: str) -> Column:

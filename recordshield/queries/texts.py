@@ -61,6 +61,37 @@ def x1_many(spark, sf):
     return N.mask_patient_values(owned, "note_id", "note", terms, limit=2).select("note_id", "note")
 
 
+#: Letters whose capital is one letter in every library, as the SQL folds with its own function.
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyzäöüéèêçñóíáú", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ"
+_BEYOND = "[A-Za-z]*[äöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ][A-Za-zäöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ]{3,}"
+
+
+@query(
+    "x1_letters_of_any_case",
+    f"""
+WITH d AS (SELECT doc_id, translate(regexp_replace(text, '[''"/@]', ' ', 'g'), '{_SMALL}', '{_LARGE}') AS note,
+  list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[''"/@]', ' ', 'g'), '{_BEYOND}'), lambda x: lower(x)))[1:1] AS one,
+  list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[''"/@]', ' ', 'g'), '{_BEYOND}'), lambda x: lower(x))) AS every FROM documents)
+SELECT doc_id, way, array_to_string(list_transform(regexp_extract_all(note, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+'),
+  lambda x: CASE WHEN list_contains(every, lower(x)) THEN '((NAME))' ELSE x END), '') AS note
+FROM d, (VALUES ('list'), ('lookup')) v(way)
+""",
+)
+def x1_any_case(spark, sf):
+    """Each text in capitals, its words with letters beyond ASCII as values in small ones; both ways of bringing values to notes."""
+    plain = F.regexp_replace("text", "['\"/@]", " ")
+    docs = text_table(spark, sf, "documents").select("doc_id", plain.alias("text"))
+    values = docs.select(F.col("doc_id").alias("sur_patient_id"), F.explode(F.regexp_extract_all("text", F.lit(f"({_BEYOND})"), F.lit(1))).alias("word"))
+    terms = N.pii_terms(values.select("sur_patient_id", F.lower("word").alias("name")), NAME_MASK)
+    notes = docs.select("doc_id", F.col("doc_id").alias("sur_patient_id"), F.translate("text", _SMALL, _LARGE).alias("note"))
+
+    def way(name, limit):
+        done = N.mask_patient_values(notes, "doc_id", "note", terms, limit=limit)
+        return done.select("doc_id", F.lit(name).alias("way"), "note")
+
+    return way("list", 1_000_000).unionByName(way("lookup", 0))
+
+
 @query(
     "x1_two_masks",
     f"""
@@ -346,16 +377,15 @@ def x13(spark, sf):
 
 
 def _dictionary(spark, sf):
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{8,})"), F.lit(1)))
-    found = table(spark, sf, "benchmark").select(words.alias("value")).distinct()
-    return found.where(F.col("value").rlike("^[a-z0-9_]+$")).withColumn("mask", F.lit("((TERM))"))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"([{X.WORD}]{{8,}})"), F.lit(1)))
+    return table(spark, sf, "benchmark").select(words.alias("value")).distinct().withColumn("mask", F.lit("((TERM))"))
 
 
 @query(
     "x14_dictionary_mask",
-    """
-WITH dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z0-9_]{8,})', 1)) AS w FROM benchmark),
-words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS w FROM documents)
+    rf"""
+WITH dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([{X.WORD}]{{8,}})', 1)) AS w FROM benchmark),
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([{X.WORD}]+)', 1)) AS w FROM documents)
 SELECT d.doc_id, count(dict.w) AS masked FROM documents d LEFT JOIN words USING (doc_id) LEFT JOIN dict ON words.w = dict.w GROUP BY 1
 """,
 )

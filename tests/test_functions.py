@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from recordshield.operators import quality
 from recordshield.functions import checks, clean, dates, messages, rules, text
 from recordshield.functions.likeness import indel_ratio, partial_ratio
 
@@ -258,3 +259,29 @@ def test_dates_with_times(spark):
     df = spark.createDataFrame([(t,) for t in TIMED], "t string")
     got = {r["t"]: r["d"] for r in df.select("t", F.substring(parse_date("t").cast("string"), 1, 19).alias("d")).collect()}
     assert got == TIMED
+
+
+def test_letters_of_any_script_match_in_any_case(spark):
+    """Whatever the pattern holds equal folds to one form, for every letter that has another case."""
+    pairs = set()
+    for n in range(0x80, 0x1E944):
+        c = chr(n)
+        if 0xD800 <= n < 0xE000:
+            continue
+        pairs |= {(c, x) for x in (c.lower(), c.upper(), c.swapcase()) if x != c and len(x) == 1}
+    pairs |= {("İ", "i"), ("ı", "i"), ("ſ", "s"), ("K", "k"), ("ẞ", "ß"), ("ς", "σ"), ("Σ", "ς")}
+    rows = spark.createDataFrame([(f"q{a}q", f"Q{b}Q") for a, b in sorted(pairs)], "a string, b string")
+    terms = F.array(F.struct(F.col("a").alias("value"), F.lit("#").alias("mask")))
+    seen = rows.select("a", "b", text.mask_values("b", terms).alias("m"), (text.fold(F.col("a")) == text.fold(F.col("b"))).alias("same")).collect()
+    assert len(seen) > 2000
+    assert not [r for r in seen if r["m"] == "#" and not r["same"]]
+    assert {r["a"]: r["m"] for r in seen if r["b"] in ("QÜQ", "QÉQ", "QÖQ", "QЯQ", "QΣQ")} and all(r["m"] == "#" for r in seen if r["b"] in ("QÜQ", "QÉQ", "QÖQ", "QЯQ"))
+
+
+def test_values_with_letters_beyond_ascii(spark):
+    terms = F.array(*[F.struct(F.lit(v).alias("value"), F.lit("((NAME))").alias("mask")) for v in ("Müller", "José", "Özil", "Li")])
+    assert value(spark, text.mask_values(lit("MÜLLER, JOSÉ and özil met LI; Müllerin, éLi stay"), terms)) == "((NAME)), ((NAME)) and ((NAME)) met ((NAME)); Müllerin, éLi stay"
+    assert value(spark, quality.leaked_values(lit("MÜLLER left"), terms)) == ["Müller"]
+    assert value(spark, text.replace_words(lit("ÉCOLE x"), [("école", "school")])) == "school x"
+    assert value(spark, text.mask_combined_names(lit("JOSÉÖZIL"), [lit("José"), lit("Özil")], "#")) == "#"
+    assert value(spark, quality.occurrences(lit("École éCOLE x"), "école")) == 2

@@ -412,3 +412,14 @@ def test_update_knows_persons_by_any_identifier(spark):
     assert rows == {("1", "c1", "p1", 5), ("20", "c2", "p2", 6), ("3", "c3", None, 7), ("90", "c9", "p9", 9), (None, "c44", "p4", 8)}
     # the same sources once more add nobody
     assert mapping.update_patient_map(got, [first, second, third], kinds, "patient", "salt", index).count() == 5
+
+
+def test_only_runs_that_may_be_terms_leave_the_scan(spark):
+    texts = spark.range(40).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(30)]).alias("note"))
+    terms = spark.createDataFrame([("w3x7", "#"), ("W4X8 w5x8 w6x8 w7x8", "##"), ("not there", "#")], "value string, mask string")
+    table = notes._lookup_table(terms.select(notes._head(F.col("value"), 3).alias("__gram")))
+    grams = texts.select(F.explode(F.transform(notes._grams(F.col("note"), 3), lambda g: F.xxhash64(g))).alias("g"))
+    kept = grams.withColumn("t", table).where(notes._may_be(F.col("g"), F.col("t"))).count()
+    assert 2 <= kept <= 4 and grams.count() == 40 * 87
+    got = {r["id"]: r["note"] for r in notes.mask_dictionary(texts, "id", "note", terms).collect()}
+    assert got[7].split()[3] == "#" and got[8].split()[3:6] == ["w3x8", "##", "w8x8"] and "#" not in got[9]
