@@ -10,7 +10,7 @@ from ..operators import versioned
 from ..operators.filters import rename, stack_sources
 from ..operators.joins import or_of_chains
 from ..operators.numbering import next_ids
-from ..plans.versions import VersionedTable
+from ..plans.versions import BucketedTable, VersionedTable
 from ..session import scratch_path
 from ..sources.scan import table_sets
 from .base import LAYERS_SQL, history, increment, query, table
@@ -93,16 +93,16 @@ def u5_check(spark, sf):
     return versioned.versioned_merge(history(spark, sf), increment(spark, sf), ["order_key"], table="orders").check
 
 
-@query(
-    "u5_versioned_table",
-    f"""
+_TABLE_SQL = f"""
 WITH {LAYERS_SQL},
 a AS (SELECT *, row_number() OVER (ORDER BY order_key, last_updated) AS id FROM (SELECT order_key, status, last_updated FROM h)),
 b AS (SELECT *, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY order_key, last_updated) AS id FROM (SELECT order_key, status, last_updated FROM i)),
 v AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT order_key, status, id AS row_id, CASE WHEN row_number() OVER (PARTITION BY order_key ORDER BY last_updated DESC, id DESC) = 1 THEN 'Y' ELSE 'N' END AS active_flag FROM v
-""",
-)
+"""
+
+
+@query("u5_versioned_table", _TABLE_SQL)
 def u5_table(spark, sf):
     store = VersionedTable(spark, scratch_path(spark, "versions"), ("order_key",))
     store.merge(history(spark, sf).drop("row_id", "active_flag"), run=1)
@@ -111,6 +111,15 @@ def u5_table(spark, sf):
     return store.history().select("order_key", "status", "row_id", "active_flag")
 
 
+@query("u5_bucketed_merge", _TABLE_SQL)
+def u5_bucketed(spark, sf):
+    store = BucketedTable(spark, scratch_path(spark, "buckets"), ("order_key",), buckets=16)
+    store.merge(history(spark, sf).drop("row_id", "active_flag"), run=1)
+    store.merge(increment(spark, sf), run=2)
+    store.merge(increment(spark, sf), run=2)  # a rerun replaces its own run
+    return store.history().select("order_key", "status", "row_id", "active_flag")
+
+
 @query(
     "u6_merge_dump_difference",
     f"""

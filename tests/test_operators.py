@@ -1,5 +1,6 @@
 """Operators on small frames, hot groups and nulls included."""
 
+import pathlib
 import random
 from datetime import date
 
@@ -12,7 +13,7 @@ from recordshield.operators import filters, joins, mapping, notes, numbering, qu
 from recordshield.operators.reports import merge_qc
 from recordshield.plans.deidentify import Maps, Options, deidentify_table
 from recordshield.plans.notes import NotesOptions, mask_notes
-from recordshield.plans.versions import VersionedTable
+from recordshield.plans.versions import BucketedTable, VersionedTable
 from recordshield.sources import scan, sink
 from recordshield.spec import ColumnRule, IgnoreRule, TableSpec
 
@@ -423,3 +424,33 @@ def test_only_runs_that_may_be_terms_leave_the_scan(spark):
     assert 2 <= kept <= 4 and grams.count() == 40 * 87
     got = {r["id"]: r["note"] for r in notes.mask_dictionary(texts, "id", "note", terms).collect()}
     assert got[7].split()[3] == "#" and got[8].split()[3:6] == ["w3x8", "##", "w8x8"] and "#" not in got[9]
+
+
+def _files(folder):
+    return {str(f): f.stat().st_mtime_ns for f in pathlib.Path(folder).rglob("part-*.parquet")}
+
+
+def test_a_merge_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    store = BucketedTable(spark, path, ("k", "l"), buckets=8)
+    whole = VersionedTable(spark, str(tmp_path / "whole"), ("k", "l"))
+    schema = "k long, l string, v string, last_updated long"
+    first = spark.createDataFrame([(i % 50, "a" if i % 3 else None, f"v{i}", i) for i in range(200)] + [(None, None, "n", 1)], schema)
+    assert store.merge(first, 1) == set(range(8))
+    before = _files(f"{path}/current")
+    one = spark.createDataFrame([(7, "a", "new", 500), (7, "a", "late", 2)], schema)
+    touched = store.merge(one, 2)
+    after = _files(f"{path}/current")
+    assert len(touched) == 1 and {k: after[k] for k in before} == before
+    assert {p.split("bucket=")[1].split("/")[0] for p in set(after) - set(before)} == {str(b) for b in touched}
+    assert store.merge(one, 2) == touched and {k: _files(f"{path}/current")[k] for k in before} == before
+    # a later run with a column more, then the same runs as whole copies
+    third = spark.createDataFrame([(None, None, "n2", 2, "x"), (99, "b", "v", None, "y")], schema + ", w string")
+    store.merge(third, 3)
+    for run, rows_of in enumerate((first, one, third), 1):
+        whole.merge(rows_of, run)
+    columns = ["k", "l", "v", "last_updated", "w", "row_id", "active_flag"]
+    assert sorted(map(repr, store.history().select(columns).collect())) == sorted(map(repr, whole.history().select(columns).collect()))
+    assert store.merge(first.limit(0), 4) == set() and store.current().count() == whole.current().count()
+    store.retain(1)
+    assert store.current().count() == whole.current().count() and store.runs() == [4]
