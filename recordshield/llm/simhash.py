@@ -14,9 +14,9 @@ Where ``within`` exceeds ``sure``, pairs up to ``sure`` bits apart are found for
 has both at 3.
 
 The pipeline's stage links texts, not fingerprints: bits only make candidates (pairs that agree in a partition of one of two deals, at most
-STAGE_WITHIN bits apart, sizes in a ratio that allows the similarity), and a candidate is a link if the Jaccard similarity of the two sets of
-shingles, counted exactly, is at least STAGE_LIKENESS. First every node is compared with its least candidate in each group; then all candidates
-that are still in different components are.
+STAGE_WITHIN bits apart, sizes in a ratio that allows the similarity), and nodes are linked if the Jaccard similarity of the two sets of
+shingles, counted exactly, is at least STAGE_LIKENESS. Candidates join nodes to families; of each pair's group only a forest is kept. Within a family all nodes are
+compared by their shingle hashes, block by block, and again only a forest of the links leaves a task: the rows grow with the nodes, not with their pairs.
 
 Copies: documents are first reduced to distinct fingerprints. Rows of a key are gathered in lists of at most about BLOCK; a key
 with more is split into blocks and each pair of blocks is a group of its own, so no list grows with the data. A group
@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest, xxh128_digest
 
 from ..operators.mapping import components
-from ..session import store
+from ..session import discard, store, store_at
 
 SEED = 42
 BLOCK = 1024
@@ -256,18 +256,22 @@ def _links(prints: list[bytes], other: list[bytes], within: int) -> list[tuple[b
     far = np.zeros((len(left), len(right)), np.uint16)
     for k in range(words.shape[1]):
         far += np.bitwise_count(words[left, k][:, None] ^ words[right, k][None, :])
-    near = far <= within
-    label, big = rank.copy(), np.int32(len(nodes))
+    return [(nodes[i], nodes[j]) for i, j in _forest(rank, nodes_order, left, right, far <= within)]
+
+
+def _forest(rank: np.ndarray, order: Sequence[int], left: np.ndarray, right: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """(member, least of its component), by place, for links between ``left`` and ``right``; ``order`` lists the places by rank."""
+    label, big = rank.copy(), np.int32(len(rank))
     while True:
         new = label.copy()
         new[left] = np.minimum(new[left], np.where(near, label[right][None, :], big).min(1))
         new[right] = np.minimum(new[right], np.where(near, new[left][:, None], big).min(0))
         # a label is a node's rank: go on from that node's own label
-        new = np.minimum(new, new[np.array(nodes_order)[new]])
+        new = np.minimum(new, new[np.array(order)[new]])
         if (new == label).all():
             break
         label = new
-    return [(nodes[i], nodes[nodes_order[label[i]]]) for i in np.flatnonzero(label != rank)]
+    return [(i, order[label[i]]) for i in np.flatnonzero(label != rank).tolist()]
 
 
 def key_groups(prints: DataFrame, parts: Sequence[Part], lanes: int) -> DataFrame:
@@ -345,8 +349,10 @@ def near_duplicates(
 # --- the pipeline's stage ----------------------------------------------------------------------------------------------
 
 #: Five-word shingles, 512 bits. At a Jaccard similarity of 0.8 a bit differs with a chance of 0.15 (0.19 in texts of a few words), so 77 bits
-#: (96) do on average; the limit lies far above. It makes candidates only.
-STAGE_SIZE, STAGE_LANES, STAGE_SURE, STAGE_WITHIN = 5, 8, 31, 128
+#: (96) do on average, with a deviation of 8 (9). The limits, from STAGE_SHORT shingles on and below, lie nearly four deviations above. They make candidates only.
+STAGE_SIZE, STAGE_LANES, STAGE_SURE, STAGE_WITHIN, STAGE_SHORT = 5, 8, 31, (108, 128), 20
+#: Nodes and bytes of shingle hashes in a block of a family, about.
+FAMILY_BLOCK, FAMILY_BYTES = 512, 8 << 20
 #: Numerator and denominator of the least Jaccard similarity of a link.
 STAGE_LIKENESS = (4, 5)
 
@@ -359,107 +365,127 @@ def two_deals(n: int, joint: np.ndarray, m: int) -> list[Part]:
     return [(tuple(sorted(p)), 0) for p in [*first, *(across[a:b] for a, b in zip(ends, ends[1:]))]]
 
 
-def _candidates(prints: list[bytes], other: list[bytes], within: int, lanes: int, labelled: bool) -> list[tuple[bytes, bytes]]:
-    """Pairs (greater, lesser) of nodes that may be alike, among ``prints`` or only across if there are ``other`` ones.
+def _ranked(nodes: Sequence[bytes]) -> tuple[np.ndarray, list[int]]:
+    order = sorted(range(len(nodes)), key=nodes.__getitem__)
+    rank = np.empty(len(nodes), np.int32)
+    rank[order] = np.arange(len(nodes), dtype=np.int32)
+    return rank, order
 
-    Without labels each node with its least candidate; with labels (the last 8 bytes) all pairs of unequal labels.
-    """
+
+def _sides(own: int, other: int) -> tuple[np.ndarray, np.ndarray]:
+    return (np.arange(own), np.arange(own, own + other)) if other else (np.arange(own),) * 2
+
+
+def _candidates(prints: list[bytes], other: list[bytes], lanes: int) -> list[tuple[bytes, bytes]]:
+    """(member, least) of the groups of nodes that may be alike, among ``prints`` or only across if there are ``other`` ones."""
     nodes, width = prints + other, 8 * lanes
     if len(nodes) <= 8:
         numbers = [int.from_bytes(x[:width], "big") for x in nodes]
-        if all((a ^ b).bit_count() > within for a, b in combinations(numbers, 2)):
+        if all((a ^ b).bit_count() > STAGE_WITHIN[1] for a, b in combinations(numbers, 2)):
             return []
     raw = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
-    if labelled and not (raw[:, -8:] != raw[0, -8:]).any():
-        return []
     words = np.ascontiguousarray(raw[:, :width]).view(np.uint64)
     sizes = np.ascontiguousarray(raw[:, width : width + 4]).view(">u4")[:, 0].astype(np.int64)
-    left, right = (np.arange(len(prints)), np.arange(len(prints), len(nodes))) if other else (np.arange(len(nodes)),) * 2
+    left, right = _sides(len(prints), len(other))
     far = np.zeros((len(left), len(right)), np.uint16)
     for k in range(words.shape[1]):
         far += np.bitwise_count(words[left, k][:, None] ^ words[right, k][None, :])
     part, whole = STAGE_LIKENESS
-    near = far <= within
-    near &= whole * np.minimum.outer(sizes[left], sizes[right]) >= part * np.maximum.outer(sizes[left], sizes[right])
-    if not other:
-        np.fill_diagonal(near, False)
-    if labelled:
-        labels = np.ascontiguousarray(raw[:, -8:]).view(np.int64)[:, 0]
-        near &= labels[left][:, None] != labels[right][None, :]
-        if not other:
-            near = np.triu(near)
-        pairs = zip(*[x.tolist() for x in np.nonzero(near)])
-        cut = -8
-    else:
-        order = sorted(range(len(nodes)), key=nodes.__getitem__)
-        rank = np.empty(len(nodes), np.int64)
-        rank[order] = np.arange(len(nodes))
-        least = np.where(near, rank[right][None, :], len(nodes)).min(1)
-        pairs = [(i, order[r] - (len(prints) if other else 0)) for i, r in enumerate(least.tolist()) if r < len(nodes)]
-        if other:
-            least = np.where(near, rank[left][:, None], len(nodes)).min(0)
-            pairs += [(order[r], j) for j, r in enumerate(least.tolist()) if r < len(nodes)]
-        cut = None
-    shift = len(prints) if other else 0
-    ends = [(nodes[i][:cut], nodes[j + shift][:cut]) for i, j in pairs]
-    return [(max(e), min(e)) for e in ends]
-
-
-def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (fp, least) whose texts are as alike as STAGE_LIKENESS, by all their shingles."""
-    nodes = pairs.select(F.explode(F.array("fp", "least")).alias("fp")).distinct()
-    owners = prints.join(nodes, "fp").select("fp", F.col("first.id").alias("o_id"), F.col("first.mark").alias("o_mark"))
+    lesser, greater = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    near = (far <= np.where(lesser >= STAGE_SHORT, *STAGE_WITHIN)) & (whole * lesser >= part * greater)
+    rank, order = _ranked(nodes)
+    return [(nodes[i], nodes[j]) for i, j in _forest(rank, order, left, right, near)]
+
+
+def shingle_tables(prints: DataFrame, families: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(fp, family, hashes): the distinct shingle hashes, packed and in order, of every node that is in a family."""
+    owners = prints.join(families, "fp").select("fp", "family", F.col("first.id").alias("o_id"), F.col("first.mark").alias("o_mark"))
     rows = docs.select(F.col("doc_id").alias("r_id"), F.xxhash64("text").alias("r_mark"), F.col("text").cast("binary").alias("body"))
     on = F.col("r_id").eqNullSafe(F.col("o_id")) & (F.col("r_mark") == F.col("o_mark"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                piece = batch.slice(start, 64)
+                packed = [np.unique(shingle_hashes(x.as_py(), size)).tobytes() for x in piece.column(2)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(packed, pa.binary())], names=["fp", "family", "hashes"])
+
     # rows may repeat id and text
-    texts = store(rows.join(owners, on).select("fp", "body").dropDuplicates(["fp"]), "texts")
-    # the lesser ends are the hubs: they come last, from files, where the skew join can split them
-    both = pairs.join(texts.withColumnRenamed("body", "own"), "fp")
-    both = both.join(texts.select(F.col("fp").alias("least"), F.col("body").alias("other")), "least")
+    return rows.join(owners, on).select("fp", "family", "body").mapInArrow(pack, "fp binary, family binary, hashes binary").dropDuplicates(["fp"])
+
+
+def _alike(tables: Sequence[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the sets of ``left`` and ``right`` are as alike as STAGE_LIKENESS, counted exactly over lists of who holds a hash."""
+    lengths = np.array([len(t) for t in tables])
+    held, holder = np.concatenate([tables[j] for j in right]), np.repeat(np.arange(len(right)), lengths[right])
+    order = np.argsort(held, kind="stable")
+    held, holder = held[order], holder[order]
     part, whole = STAGE_LIKENESS
+    near = np.zeros((len(left), len(right)), bool)
+    for place, i in enumerate(left.tolist()):
+        first, last = np.searchsorted(held, tables[i], "left"), np.searchsorted(held, tables[i], "right")
+        n = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(holder[at], minlength=len(right))
+        near[place] = whole * shared >= part * (lengths[i] + lengths[right] - shared)
+    return near
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, None
-        for batch in batches:
-            found = []
-            for start in range(0, batch.num_rows, 256):
-                piece = batch.slice(start, 256)
-                for fp, least, own, other in zip(*[piece.column(c).to_pylist() for c in range(4)]):
-                    if least != hub:
-                        hub, held = least, np.unique(shingle_hashes(other, size))
-                    mine = np.unique(shingle_hashes(own, size))
-                    shared = len(np.intersect1d(mine, held, assume_unique=True))
-                    if whole * shared >= part * (len(mine) + len(held) - shared):
-                        found.append((fp, least))
-            if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["fp", "least"])
 
-    return both.select("fp", "least", "own", "other").mapInArrow(count, "fp binary, least binary")
+def family_links(tables: DataFrame) -> DataFrame:
+    """(fp, least): links that join each component of alike nodes, from (fp, family, hashes).
 
+    A family is cut into blocks by number and bytes; all pairs of its nodes are compared, within a block or across two, and only a forest leaves the task.
+    """
+    sized = tables.groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK), F.ceil(F.sum(F.octet_length("hashes")) / FAMILY_BYTES)).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    placed = tables.join(sized.where(F.col("n") > 1), "family")
+    block = F.pmod(F.xxhash64("fp", F.lit("family")), F.col("blocks")).cast("int")
+    placed = placed.withColumn("block", block).select("family", "fp", "hashes", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    node = F.struct("fp", "hashes")
+    groups = placed.groupBy("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")).agg(
+        F.collect_list(F.when(F.col("block") <= F.col("with"), node)).alias("own"), F.collect_list(F.when(F.col("block") > F.col("with"), node)).alias("other")
+    )
 
-def alike_groups(prints: DataFrame, docs: DataFrame, size: int, sure: int, within: int, lanes: int) -> DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, other, cross = (batch.column(c)[row].as_py() for c in range(3))
+                if len(own) + len(other) < 2 or (cross and not (own and other)):
+                    continue
+                nodes = own + other
+                names, tables = [x["fp"] for x in nodes], [np.frombuffer(x["hashes"], np.uint64) for x in nodes]
+                left, right = _sides(len(own), len(other))
+                rank, order = _ranked(names)
+                found = _forest(rank, order, left, right, _alike(tables, left, right))
+                if found:
+                    u, v = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[i] for i in u], pa.binary()), pa.array([names[j] for j in v], pa.binary())], names=["fp", "least"]
+                    )
+
+    return groups.select("own", "other", (F.col("low") != F.col("high")).alias("cross")).mapInArrow(compare, "fp binary, least binary")
+
+
+def alike_groups(prints: DataFrame, docs: DataFrame, size: int, sure: int, lanes: int) -> DataFrame:
     """(fp, root) of the nodes that are linked to others, from distinct nodes ``fp`` with an owner ``first`` in ``docs``."""
+    spark = docs.sparkSession
 
     def joined(found: DataFrame) -> DataFrame:
-        return components(found.select(F.array("least", "fp").alias("nodes"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+        return components(found.select(F.array("least", "fp").alias("nodes")))
 
     n, joint = bit_counts(prints.select(F.substring("fp", 1, 8 * lanes).alias("fp")), lanes)
-    parts = two_deals(n, joint, sure + 1)
-    pairs = _compared(key_groups(prints, parts, lanes), lambda own, other: _candidates(own, other, within, lanes, False))
-    pairs = store(pairs.distinct(), "candidates")
-    found = store(alike(pairs, prints, docs, size), "links")
-    roots = store(joined(found), "roots")
-    # a node without a pair has no candidate at all
-    nodes = pairs.select(F.explode(F.array("fp", "least")).alias("fp")).distinct().join(roots, "fp", "left")
-    label = F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce("root", "fp"))), 16, "0"))
-    nodes = store(nodes.select(F.concat("fp", label).alias("fp")), "labelled")
-    rest = _compared(key_groups(nodes, parts, lanes), lambda own, other: _candidates(own, other, within, lanes, True))
-    rest = store(rest.distinct(), "candidates")
-    return joined(store(found.unionByName(alike(rest, prints, docs, size)), "links"))
-
-
-def keep_one(docs: DataFrame, size: int = STAGE_SIZE, sure: int = STAGE_SURE, within: int = STAGE_WITHIN, lanes: int = STAGE_LANES) -> DataFrame:
+    groups = key_groups(prints, two_deals(n, joint, sure + 1), lanes)
+    found, listed = store_at(_compared(groups, lambda own, other: _candidates(own, other, lanes)).distinct(), "candidates")
+    families, known = store_at(joined(found).select(F.col("node").alias("fp"), F.col("component").alias("family")), "families")
+    tables, packed = store_at(shingle_tables(prints, families, docs, size), "shingles")
+    links, _ = store_at(family_links(tables), "links")
+    discard(spark, listed, known, packed)
+    return joined(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
+def keep_one(docs: DataFrame, size: int = STAGE_SIZE, sure: int = STAGE_SURE, lanes: int = STAGE_LANES) -> DataFrame:
     """The documents without those that are alike with one of a smaller id, directly or through others; of rows that repeat id and text one stays.
 
     Documents without words are no copies of each other's content: they are a group of exact copies like any other.
@@ -469,7 +495,7 @@ def keep_one(docs: DataFrame, size: int = STAGE_SIZE, sure: int = STAGE_SURE, wi
         docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), make(F.col("text").cast("binary")).alias("fp")), "fingerprints"
     )
     me = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    groups = grouped(marked, F.min(me), lambda prints: alike_groups(prints, docs, size, sure, within, lanes))
+    groups = grouped(marked, F.min(me), lambda prints: alike_groups(prints, docs, size, sure, lanes))
     judged = marked.join(groups, "fp").groupBy("id", "mark").agg(
         F.min(F.col("first") == me).alias("stays"), F.count(F.lit(1)).alias("rows")
     )

@@ -510,3 +510,36 @@ def test_pipeline_is_its_stages_one_after_the_other(spark, reference):
     whole = corpus_pipeline.run(spark, SMALL)
     digest = lambda df: Counter((r["doc_id"], r["ids_sha256"]) for r in df.select("doc_id", "ids_sha256").collect())
     assert digest(whole) == digest(before)
+
+
+def near_family(rng, n, length=120, changed=9):
+    """Texts that differ from one text in a few words each: most pairs lie at a similarity of 0.5 to 0.8."""
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(length)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for place in rng.sample(range(length), rng.choice([1, changed])):
+            own[place] = "".join(rng.choice("klmnop") for _ in range(6))
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 37])
+def test_stage_compares_whole_families_but_sends_forests(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
+    rng = random.Random(21)
+    sizes = (200, 400)
+    texts = [t for n in sizes for t in near_family(rng, n)] + [sentence(rng, 40) for _ in range(50)]
+    rows = []
+    compared = simhash.family_links
+
+    def counted(tables):
+        out = compared(tables)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "family_links", counted)
+    docs = spark.createDataFrame(doc_rows(texts), DOCS).repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(brute_alike(texts)))
+    blocks = sum(-(-n // block) for n in sizes)
+    assert rows[0] <= sum(sizes) * blocks
