@@ -61,15 +61,7 @@ US_STATES = [
     "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
 ]
 
-
-
-def _by_first_letter(words: list[str]) -> str:
-    """Two-letter words as one short alternation."""
-    heads = dict.fromkeys(w[0] for w in words)
-    return "(?:" + "|".join(h + "[" + "".join(w[1] for w in words if w[0] == h) + "]" for h in heads) + ")"
-
-
-_STATE = _by_first_letter(US_STATES)
+_STATE = "(?:" + "|".join(US_STATES) + ")"
 STATE_AND_ZIP = r"[,\s]" + _STATE + r"[\s,]*\d{5}"
 # the look-ahead changes no match: it only ends hopeless tries early, before the nested runs are attempted
 ADDRESS = (
