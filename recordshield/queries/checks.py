@@ -268,7 +268,7 @@ def q12(spark, sf):
 
 @query(
     "q13_replacement_check",
-    "SELECT doc_id, NOT (lang = 'de' AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])und([^A-Za-z0-9_]|$)')) AS done FROM documents",
+    r"SELECT doc_id, NOT (lang = 'de' AND regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])und([^\p{L}\p{M}\p{N}_]|$)')) AS done FROM documents",
 )
 def q13(spark, sf):
     docs = text_table(spark, sf, "documents")
