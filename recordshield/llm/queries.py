@@ -28,6 +28,9 @@ def query(name: str, sql: str | None = None):
 #: The rules that go before the method.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
+#: levels that the SQL writes out; the query itself goes on as long as nodes have labels
+URL_LEVELS = 6
+
 
 def _url_sql() -> str:
     """The levels of the tree written out one after the other."""
@@ -47,29 +50,41 @@ def _url_sql() -> str:
         marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
         urls AS (SELECT page_id, host, path, bad FROM split2 LEFT JOIN marks
                  ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(\\.[A-Za-z]+)?/?$', 1), '') AS BIGINT)),
-        paths0 AS (SELECT host, path, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template,
+        paths0 AS (SELECT host, path, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template, false AS ended,
                           CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/') END AS segments FROM urls GROUP BY host, path)"""
     ]
-    for d in range(u.DEPTH):
+    for d in range(URL_LEVELS):
+        few = f"""CASE WHEN NOT ended AND len(segments) > {d} AND {d} >= {u.DEPTH}
+                     AND sum(labelled) FILTER (NOT ended AND len(segments) > {d}) OVER (PARTITION BY host, template) < {u.MIN_LABELS} THEN true ELSE false END"""
         parts.append(f"""
+        few{d} AS (SELECT *, {few} AS few FROM paths{d}),
+        open{d} AS (SELECT host, path, n, labelled, bad, segments, CASE WHEN few THEN template || '/**' ELSE template END AS template, ended OR few AS ended
+                    FROM few{d}),
         child{d} AS (SELECT host, template, segments[{d + 1}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad
-                     FROM paths{d} WHERE len(segments) > {d} GROUP BY 1, 2, 3),
-        often{d} AS (SELECT *, CASE WHEN labelled > 0 THEN bad / labelled END AS share FROM
-                     (SELECT *, sum(n) OVER (PARTITION BY host, template) AS total FROM child{d})
-                     WHERE n >= {u.MIN_ROWS} AND n >= total * {u.MIN_SHARE}::DOUBLE),
-        edge{d} AS (SELECT *, CASE WHEN share - lag(share) OVER w > sqrt(0.5 * ln(2 / {u.CONFIDENCE}::DOUBLE))
-                     * (1 / sqrt(labelled) + 1 / sqrt(lag(labelled) OVER w)) THEN 1 ELSE 0 END AS starts FROM often{d}
-                     WINDOW w AS (PARTITION BY host, template ORDER BY share NULLS FIRST, segment)),
-        group{d} AS (SELECT *, sum(starts) OVER (PARTITION BY host, template ORDER BY share NULLS FIRST, segment) AS cluster FROM edge{d}),
-        name{d} AS (SELECT host, template, CASE WHEN count(*) = 1 THEN min(segment) ELSE '{{' || string_agg(segment, '|' ORDER BY segment) || '}}' END AS branch,
-                     list(segment) AS members FROM group{d} GROUP BY host, template, cluster),
-        branch{d} AS (SELECT host, template, branch, unnest(members) AS segment FROM name{d}),
-        paths{d + 1} AS (SELECT p.host, p.path, p.n, p.labelled, p.bad,
-                     CASE WHEN len(segments) > {d} THEN p.template || '/' || coalesce(b.branch, '*') ELSE p.template END AS template, segments
-                     FROM paths{d} p LEFT JOIN branch{d} b ON p.host = b.host AND p.template = b.template AND p.segments[{d + 1}] = b.segment)""")
+                     FROM open{d} WHERE NOT ended AND len(segments) > {d} GROUP BY 1, 2, 3),
+        node{d} AS (SELECT host, template, sum(n) AS total, CASE WHEN sum(labelled) > 0 THEN sum(bad) / sum(labelled) END AS pool,
+                     sqrt(ln(greatest(count(*) FILTER (labelled > 0), 1) * 2 / {u.CONFIDENCE}::DOUBLE) / 2) AS reach FROM child{d} GROUP BY 1, 2),
+        apart{d} AS (SELECT * FROM (SELECT c.*, total, reach, CASE WHEN labelled > 0 AND abs(bad / labelled - pool) > reach / sqrt(labelled)
+                     THEN floor(bad / labelled * {u.BINS}) END AS bin FROM child{d} c JOIN node{d} USING (host, template))
+                     WHERE bin IS NOT NULL OR (n >= {u.MIN_ROWS} AND n >= total * {u.MIN_SHARE}::DOUBLE)),
+        bin{d} AS (SELECT *, row_number() OVER (PARTITION BY host, template ORDER BY bin) AS i FROM
+                   (SELECT host, template, bin, count(*) AS k, sum(labelled) AS l, sum(bad) AS b, max(reach) AS reach FROM apart{d} WHERE bin IS NOT NULL GROUP BY 1, 2, 3)),
+        fold{d} AS (SELECT host, template, bin, i, bin AS start, k, l, b FROM bin{d} WHERE i = 1
+                    UNION ALL SELECT host, template, bin, i, CASE WHEN differs THEN bin ELSE start END,
+                      CASE WHEN differs THEN k2 ELSE k + k2 END, CASE WHEN differs THEN l2 ELSE l + l2 END, CASE WHEN differs THEN b2 ELSE b + b2 END
+                    FROM (SELECT n.host, n.template, n.bin, n.i, f.start, f.k, f.l, f.b, n.k AS k2, n.l AS l2, n.b AS b2,
+                          n.b / n.l - f.b / f.l > n.reach * (sqrt(n.k / n.l) + sqrt(f.k / f.l)) AS differs
+                          FROM fold{d} f JOIN bin{d} n ON n.host = f.host AND n.template = f.template AND n.i = f.i + 1)),
+        member{d} AS (SELECT a.host, a.template, segment, coalesce(start, -1) AS start FROM apart{d} a LEFT JOIN fold{d} f
+                      ON a.host = f.host AND a.template = f.template AND a.bin = f.bin),
+        name{d} AS (SELECT host, template, start, CASE count(*) WHEN 1 THEN min(segment) WHEN 2 THEN '{{' || min(segment) || '|' || max(segment) || '}}'
+                     ELSE '{{' || min(segment) || '|..|' || max(segment) || '}}' END AS branch FROM member{d} GROUP BY 1, 2, 3),
+        branch{d} AS (SELECT host, template, segment, branch FROM member{d} JOIN name{d} USING (host, template, start)),
+        paths{d + 1} AS (SELECT p.host, p.path, p.n, p.labelled, p.bad, ended,
+                     CASE WHEN NOT ended AND len(segments) > {d} THEN p.template || '/' || coalesce(b.branch, '*') ELSE p.template END AS template, segments
+                     FROM open{d} p LEFT JOIN branch{d} b ON p.host = b.host AND p.template = b.template AND p.segments[{d + 1}] = b.segment)""")
     parts.append(f"""
-        done AS (SELECT host, path, labelled, bad, CASE WHEN len(segments) > {u.DEPTH} THEN template || '/**' ELSE template END AS template FROM paths{u.DEPTH}),
-        templates AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM done GROUP BY 1, 2),
+        templates AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM paths{URL_LEVELS} GROUP BY 1, 2),
         every AS (SELECT coalesce(sum(bad) / sum(labelled), 0) AS rate FROM templates),
         hosts AS (SELECT host, (sum(bad) + {u.PRIOR}::DOUBLE * any_value(rate)) / (sum(labelled) + {u.PRIOR}::DOUBLE) AS host_bad
                   FROM templates, every GROUP BY host),
@@ -78,8 +93,8 @@ def _url_sql() -> str:
         ruled AS (SELECT page_id, host, path, {rule} AS rule FROM urls)
         SELECT page_id, r.host, r.path, rule, coalesce({verdict}, CASE WHEN purity < {u.MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
                d.template, round(purity, 6) AS purity
-        FROM ruled r JOIN done d ON r.host = d.host AND r.path = d.path JOIN purity p ON d.host = p.host AND d.template = p.template""")
-    return "WITH " + ",".join(parts[:-1]) + "," + parts[-1]
+        FROM ruled r JOIN paths{URL_LEVELS} d ON r.host = d.host AND r.path = d.path JOIN purity p ON d.host = p.host AND d.template = p.template""")
+    return "WITH RECURSIVE " + ",".join(parts)
 
 
 @query("op1_url_filters", _url_sql())

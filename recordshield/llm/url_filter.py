@@ -1,20 +1,26 @@
 """Operator 1, URL filters: a path-template tree per host.
 
-The paths of a host form a tree of segments. Level by level, a node's children that hold too few of its urls are variable
-and become one wildcard ``*``; the others, at most ``1 / min_share`` of them, are ordered by their labelled share of bad
-urls and neighbours whose shares do not differ by more than Hoeffding's bound allows are merged into one branch, written
-``{a|b}``. What is left below ``depth`` levels becomes ``**``. A path thus has one template, and a template is rejected when its
-purity, the share of good labels, falls below a threshold. Purity is smoothed: a host's share of bad labels leans on that
-of all hosts, a template's on that of its host, by ``prior`` imaginary labels each.
+The paths of a host form a tree of segments. Level by level, a node's children become branches or the wildcard ``*``, by
+evidence: a child is set apart if its labelled share of bad urls differs from that of the whole node by more than Hoeffding's
+bound allows for its own number of labels, with the error shared among all labelled children of the node. How few of the
+node's rows it holds does not matter. Children set apart are put into ``BINS`` bins of their share, and the bins, in order of
+share, are merged as long as the next one does not differ from the pooled share of the branch so far by the bound of
+their typical children; so a thinly labelled child cannot join two that differ. Of the children not set apart, those with
+at least ``MIN_SHARE`` of the node's rows form one branch, the others are variable and become the wildcard: neither is told from
+the node by its labels. A branch is written ``a``, ``{a|b}`` or, with more members, ``{first|..|last}``. From ``DEPTH`` segments on, a
+node is only opened if it has ``MIN_LABELS`` labels; what is left below becomes ``**``. A path thus has one template, and a
+template is rejected when its purity, the share of good labels, falls below a threshold. Purity is smoothed: a host's share
+of bad labels leans on that of all hosts, a template's on that of its host, by ``prior`` imaginary labels each.
 
 Given rules come first: a rule fits its host and all subdomains of it if the path starts with the rule's path; the longest
 wins.
 
 Everything is counted over all urls, on distinct (host, path) pairs, so that a url in a third of the rows is one row. Sums per
-node are partial aggregates; a level's joins read both sides from files, so that the adaptive skew join can split a host
-with a third of all paths.
+node are partial aggregates, and what is merged in one place are the bins of a node, ``BINS + 1`` at most, however many
+children it has; a level's joins read both sides from files, so that the adaptive skew join can split a host with a third of
+all paths.
 
-Defined cases: a url that is null or has no ``://`` has an empty host and path; the host keeps its port and user; an empty path
+Defined cases: children of equal share always share a branch; a url that is null or has no ``://`` has an empty host and path; the host keeps its port and user; an empty path
 is a template of its own, the empty string, and no rule fits it, as every rule's path starts with ``/``; labels are counted
 per url row, and rows without one only take part in the tree; without any label every template is allowed; repeated rows
 count as often as they stand; an empty table gives an empty result.
@@ -22,11 +28,9 @@ count as often as they stand; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import store
@@ -36,6 +40,8 @@ DEPTH = 4
 MIN_SHARE = 0.02
 MIN_ROWS = 5
 CONFIDENCE = 0.05
+BINS = 20
+MIN_LABELS = 8
 PRIOR = 5.0
 MIN_PURITY = 0.5
 
@@ -71,35 +77,79 @@ def _child(depth: int) -> Column:
     return F.get(F.col("segments"), depth)
 
 
-def _branches(paths: DataFrame, depth: int) -> DataFrame:
-    """(host, template, segment, branch) of the segments that stay apart from the wildcard at this level."""
+def _apart(depth: int, paths: DataFrame) -> DataFrame:
+    """Children that become branches, with the bin of their share; without one where only their rows make them a branch."""
     children = (
-        paths.where(_child(depth).isNotNull())
+        paths.where(~F.col("ended") & _child(depth).isNotNull())
         .groupBy("host", "template", _child(depth).alias("segment"))
         .agg(F.sum("rows").alias("rows"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     )
-    nodes = children.groupBy("host", "template").agg(F.sum("rows").alias("all_rows"))
-    children, nodes = store(children, "children"), store(nodes, "nodes")
-    frequent = children.join(nodes, ["host", "template"]).where(
-        (F.col("rows") >= MIN_ROWS) & (F.col("rows") >= F.col("all_rows") * MIN_SHARE)
+    children = store(children, "children")
+    nodes = children.groupBy("host", "template").agg(
+        F.sum("rows").alias("all_rows"),
+        F.try_divide(F.sum("bad"), F.sum("labelled")).alias("all_share"),
+        F.sqrt(F.log(F.greatest(F.count_if(F.col("labelled") > 0), F.lit(1)) * 2 / F.lit(CONFIDENCE)) / 2).alias("reach"),
     )
-    # at most 1 / MIN_SHARE rows share a node from here on
-    share = F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled"))
-    node = W.partitionBy("host", "template").orderBy(F.col("share").asc_nulls_first(), "segment")
-    last_share, last_labelled = F.lag("share").over(node), F.lag("labelled").over(node)
-    bound = math.sqrt(0.5 * math.log(2 / CONFIDENCE))
-    differs = F.col("share") - last_share > F.lit(bound) * (F.try_divide(F.lit(1.0), F.sqrt("labelled")) + F.try_divide(F.lit(1.0), F.sqrt(last_labelled)))
-    merged = (
-        frequent.withColumn("share", share)
-        .withColumn("starts", F.when(differs, 1).otherwise(0))
-        .withColumn("cluster", F.sum("starts").over(node.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    known = children.join(store(nodes, "nodes"), ["host", "template"])
+    share = F.try_divide("bad", "labelled")
+    told = F.abs(share - F.col("all_share")) > F.col("reach") / F.sqrt("labelled")
+    frequent = (F.col("rows") >= MIN_ROWS) & (F.col("rows") >= F.col("all_rows") * MIN_SHARE)
+    return known.withColumn("bin", F.when(told, F.floor(share * BINS))).where(F.col("bin").isNotNull() | frequent)
+
+
+def _starts(apart: DataFrame) -> DataFrame:
+    """(host, template, starts): the first bin of every branch of a node."""
+    bins = (
+        apart.where(F.col("bin").isNotNull())
+        .groupBy("host", "template", "bin")
+        .agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max("reach").alias("reach"))
     )
-    members = F.array_sort(F.collect_list("segment"))
-    named = merged.groupBy("host", "template", "cluster").agg(members.alias("members"))
-    branch = F.when(F.size("members") == 1, F.get("members", F.lit(0))).otherwise(
-        F.concat(F.lit("{"), F.array_join("members", "|"), F.lit("}"))
+    nodes = bins.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("bin", "children", "labelled", "bad", "reach"))).alias("bins"))
+
+    def put(done: Column, b: Column) -> Column:
+        last = F.element_at(done, -1)
+        typical = F.sqrt(b["children"] / b["labelled"]) + F.sqrt(last["children"] / last["labelled"])
+        differs = b["bad"] / b["labelled"] - last["bad"] / last["labelled"] > b["reach"] * typical
+        pooled = F.struct(
+            last["bin"].alias("bin"),
+            (last["children"] + b["children"]).alias("children"),
+            (last["labelled"] + b["labelled"]).alias("labelled"),
+            (last["bad"] + b["bad"]).alias("bad"),
+            b["reach"].alias("reach"),
+        )
+        return F.when(differs, F.concat(done, F.array(b))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(pooled)))
+
+    rest = F.slice("bins", F.lit(2), F.size("bins"))
+    branches = F.aggregate(rest, F.slice("bins", 1, 1), put)
+    return nodes.select("host", "template", F.transform(branches, lambda b: b["bin"]).alias("starts"))
+
+
+def _branches(paths: DataFrame, depth: int) -> DataFrame:
+    """(host, template, segment, branch) of the segments that stay apart from the wildcard at this level."""
+    apart = store(_apart(depth, paths), "apart")
+    started = apart.join(store(_starts(apart), "starts"), ["host", "template"], "left")
+    first = F.array_max(F.filter("starts", lambda s: s <= F.col("bin")))
+    members = store(started.select("host", "template", "segment", F.coalesce(first, F.lit(-1)).alias("start")), "members")
+    named = members.groupBy("host", "template", "start").agg(
+        F.min("segment").alias("least"), F.max("segment").alias("last"), F.count(F.lit(1)).alias("n")
     )
-    return named.select("host", "template", branch.alias("branch"), F.explode("members").alias("segment"))
+    between = F.when(F.col("n") == 2, "|").otherwise("|..|")
+    branch = F.when(F.col("n") == 1, F.col("least")).otherwise(F.concat(F.lit("{"), "least", between, "last", F.lit("}")))
+    named = store(named.select("host", "template", "start", branch.alias("branch")), "named")
+    return members.join(named, ["host", "template", "start"]).select("host", "template", "segment", "branch")
+
+
+def _end_unsupported(paths: DataFrame, depth: int) -> DataFrame:
+    """Paths that go on below a node with too few labels end there in ``**``."""
+    on = ~F.col("ended") & _child(depth).isNotNull()
+    nodes = paths.where(on).groupBy(F.col("host").alias("n_host"), F.col("template").alias("n_template")).agg(F.sum("labelled").alias("n"))
+    few = store(nodes.where(F.col("n") < MIN_LABELS), "few")
+    ends = on & F.col("n").isNotNull()
+    return paths.join(few, (F.col("host") == F.col("n_host")) & (F.col("template") == F.col("n_template")), "left").select(
+        "host", "path", "rows", "labelled", "bad", "segments",
+        F.when(ends, F.concat(F.col("template"), F.lit("/**"))).otherwise(F.col("template")).alias("template"),
+        (F.col("ended") | ends).alias("ended"),
+    )
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
@@ -112,23 +162,29 @@ def path_templates(urls: DataFrame) -> DataFrame:
         "*",
         F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments).alias("segments"),
         F.lit("").alias("template"),
+        F.lit(False).alias("ended"),
     )
     paths = store(paths, "paths")
-    for depth in range(DEPTH):
+    depth = 0
+    while True:
+        if depth >= DEPTH:
+            paths = store(_end_unsupported(paths, depth), "paths")
+        if paths.where(~F.col("ended") & _child(depth).isNotNull()).isEmpty():
+            return paths.drop("segments", "ended")
         b = store(_branches(paths, depth), "branches").select(
             F.col("host").alias("b_host"), F.col("template").alias("b_template"), "segment", "branch"
         )
         on = (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template")) & (_child(depth) == F.col("segment"))
         longer = F.concat(F.col("template"), F.lit("/"), F.coalesce(F.col("branch"), F.lit("*")))
         paths = store(
-            paths.join(b, on, "left").select(
+            paths.join(b, on & ~F.col("ended"), "left").select(
                 "host", "path", "rows", "labelled", "bad", "segments",
-                F.when(_child(depth).isNotNull(), longer).otherwise(F.col("template")).alias("template"),
+                F.when(~F.col("ended") & _child(depth).isNotNull(), longer).otherwise(F.col("template")).alias("template"),
+                "ended",
             ),
             "paths",
         )
-    deep = F.when(F.size("segments") > DEPTH, F.concat(F.col("template"), F.lit("/**"))).otherwise(F.col("template"))
-    return paths.withColumn("template", deep).drop("segments")
+        depth += 1
 
 
 def template_purity(paths: DataFrame) -> DataFrame:
