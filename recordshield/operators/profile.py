@@ -69,16 +69,35 @@ def detect_id_columns(
     ``{kind}`` in it becomes the identifier kind.
     """
     named = re.compile(name_pattern)
-    parts = []
-    for table, df in tables.items():
-        for f in df.schema.fields:
-            if type_family(f.dataType) == "numeric" and named.search(f.name.lower()):
-                for id_kind, (ids, id_column) in known.items():
-                    rule = F.lit(kind.replace("{kind}", id_kind.upper()))
-                    overlap = value_overlap(df, table, f.name, ids, id_column)
-                    hit = F.coalesce(F.col("overlap") > threshold, F.lit(False))
-                    parts.append(overlap.withColumns({"id_kind": F.lit(id_kind), "proposed_rule": F.when(hit, rule)}))
-    return union_all(parts).select("table_name", "column_name", "id_kind", "overlap", "proposed_rule")
+    chosen = {
+        t: [f.name for f in df.schema.fields if type_family(f.dataType) == "numeric" and named.search(f.name.lower())] for t, df in tables.items()
+    }
+    chosen = {t: names for t, names in chosen.items() if names}
+    kinds = list(known)
+    spark = next(iter(tables.values())).sparkSession
+    if not chosen or not kinds:
+        return spark.createDataFrame([], "table_name string, column_name string, id_kind string, overlap double, proposed_rule string")
+    # one scan a table whatever the number of columns and kinds; a value that fills a third of the rows is one row from here on
+    stacked = []
+    for t, names in chosen.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), normalise_id(c).alias("v"), F.col(c).isNotNull().alias("held")) for c in names])
+        held = tables[t].select(F.explode(cells).alias("r")).select(F.lit(t).alias("table_name"), "r.*").where("held")
+        stacked.append(held.groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    ids = union_all([df.select(normalise_id(c).alias("v"), F.lit(k).alias("id_kind")) for k, (df, c) in known.items()])
+    marks = [F.max(F.when(F.col("id_kind") == k, 1).otherwise(0)).alias(f"k{i}") for i, k in enumerate(kinds)]
+    joined = union_all(stacked).join(ids.groupBy("v").agg(*marks), "v", "left")
+    hits = [F.sum(F.when(F.col(f"k{i}") == 1, F.col("n")).otherwise(0)).alias(f"h{i}") for i in range(len(kinds))]
+    counted = joined.groupBy("table_name", "column_name").agg(F.sum("n").alias("values"), *hits)
+    # columns without any value have a row, too
+    names = spark.createDataFrame([(t, c) for t, cs in chosen.items() for c in cs], "table_name string, column_name string")
+    each = F.array(*[F.struct(F.lit(k).alias("id_kind"), F.col(f"h{i}").alias("hits")) for i, k in enumerate(kinds)])
+    long = names.join(counted, ["table_name", "column_name"], "left").select("table_name", "column_name", "values", F.explode(each).alias("r"))
+    rules = F.create_map(*[F.lit(x) for k in kinds for x in (k, kind.replace("{kind}", k.upper()))])
+    overlap = F.round(F.try_divide("r.hits", "values"), 6)
+    return long.select(
+        "table_name", "column_name", "r.id_kind", overlap.alias("overlap"),
+        F.when(F.coalesce(overlap > threshold, F.lit(False)), rules[F.col("r.id_kind")]).alias("proposed_rule"),
+    )
 
 
 def dob_columns(columns: DataFrame) -> DataFrame:

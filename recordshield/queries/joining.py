@@ -250,6 +250,24 @@ def j13(spark, sf):
     return J.dump_difference(newer, older, ["extracted_date"]).select(*cols)
 
 
+CHANGED = "o_orderkey BETWEEN 1000 AND 1400 AND o_orderstatus = 'F'"
+
+
+@query(
+    "j13_range_digests",
+    f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN {CHANGED} THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, o_orderdate
+FROM orders WHERE {CHANGED} OR o_orderkey % 977 = 0
+""",
+)
+def j13_ranges(spark, sf):
+    """All orders against an older copy in which some rows differ and some are missing."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+    orders = table(spark, sf, "orders").select(*columns)
+    newer = orders.withColumn("o_orderpriority", F.when(F.expr(CHANGED), "changed").otherwise(F.col("o_orderpriority")))
+    return J.dump_difference_by_range(newer, orders.where("o_orderkey % 977 <> 0"), "o_orderkey")
+
+
 @query(
     "j14_pair_by_id",
     """

@@ -206,6 +206,28 @@ def s14(spark, sf):
     )
 
 
+@query(
+    "s14_manifest_digests",
+    """
+WITH lines AS (SELECT 'region' AS table_name, r_regionkey AS k, r_regionkey || ',' || r_name || chr(10) AS line FROM region
+  UNION ALL SELECT 'nation', n_nationkey, n_nationkey || ',' || n_name || ',' || n_regionkey || chr(10) FROM nation
+  UNION ALL SELECT 'orders', o_orderkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || chr(10) FROM orders)
+SELECT table_name, sum(strlen(line))::BIGINT AS bytes, CASE WHEN table_name <> 'orders' THEN md5(string_agg(line, '' ORDER BY k)) END AS md5 FROM lines GROUP BY 1
+""",
+)
+def s14_digests(spark, sf):
+    """Bytes of all files of a table; the checksum too where a table is one file in the order of its key."""
+    path = scratch_path(spark, "export")
+    chosen = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"]}
+    for name, columns in chosen.items():
+        rows = table(spark, sf, name).select(*columns)
+        sink.export(rows if name == "orders" else rows.sort(columns[0]).coalesce(1), f"{path}/{name}", "csv", header=False)
+    files = sink.manifest(spark, path).withColumn("table_name", F.element_at(F.split("path", "/"), -2))
+    return files.groupBy("table_name").agg(
+        F.sum("bytes").alias("bytes"), F.max(F.when(F.col("table_name") != "orders", F.col("md5"))).alias("md5")
+    )
+
+
 @query(
     "s15_export_selection",
     """

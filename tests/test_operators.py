@@ -1,5 +1,7 @@
 """Operators on small frames, hot groups and nulls included."""
 
+import hashlib
+import os
 import pathlib
 import random
 from datetime import date
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordshield.operators import filters, joins, mapping, notes, numbering, quality, sampling, versioned
+from recordshield.operators import filters, joins, mapping, notes, numbering, profile, quality, sampling, versioned
 from recordshield.operators.reports import merge_qc
 from recordshield.plans.deidentify import Maps, Options, deidentify_table
 from recordshield.plans.notes import NotesOptions, mask_notes
@@ -361,6 +363,55 @@ def test_export_and_manifest(spark, tmp_path):
     assert files.where("bytes > 0 AND length(md5) = 32").count() == files.count() >= 2
 
 
+def test_manifest_hashes_every_file(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "repeat('x', 100) AS text").repartition(3).write.parquet(str(tmp_path / "in put" / "t"))
+    (tmp_path / "in put" / "empty.bin").write_bytes(b"")
+    found = {os.path.basename(r["path"]): (r["md5"], r["bytes"]) for r in sink.manifest(spark, str(tmp_path / "in put")).collect()}
+    files = [f for f in (tmp_path / "in put").rglob("*") if f.is_file() and f.name[0] not in "._" and f.stat().st_size]
+    assert found == {f.name: (hashlib.md5(f.read_bytes()).hexdigest(), f.stat().st_size) for f in files} and len(found) == 3
+
+
+def test_export_limits_bytes_per_file(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 92) AS text").coalesce(1)
+    assert sink.row_width(df) == 100.0
+    sink.export(df, str(tmp_path / "t"), "csv", bytes_per_file=20_000)
+    assert sink.manifest(spark, str(tmp_path / "t")).count() == 5
+    sink.export(df.limit(0), str(tmp_path / "none"))
+    assert sink.row_width(df.limit(0)) == 0.0
+
+
+def test_id_columns_in_one_scan(spark):
+    t = spark.createDataFrame([(1, 7, None), (1, 8, None), (2, 9, None), (None, 7, None)], "a_id int, b_id long, c_id int")
+    people = spark.createDataFrame([(1,), (1,), (2,)], "p int")
+    visits = spark.createDataFrame([(7,), (8,)], "v long")
+    out = profile.detect_id_columns({"t": t, "none": spark.range(1).toDF("x")}, {"person": (people, "p"), "visit": (visits, "v")}, "_id$", "IS_{kind}")
+    assert rows(out) == [
+        ("t", "a_id", "person", 1.0, "IS_PERSON"), ("t", "a_id", "visit", 0.0, None), ("t", "b_id", "person", 0.0, None),
+        ("t", "b_id", "visit", 0.75, "IS_VISIT"), ("t", "c_id", "person", None, None), ("t", "c_id", "visit", None, None),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("a_id") and plan.count("LogicalRDD") <= 4  # one scan a table, one a kind and the names
+
+
+@pytest.mark.parametrize("ranges", [1, 7, joins.RANGES])
+@pytest.mark.parametrize("key", ["int", "string"])
+def test_difference_by_range_equals_plain(spark, ranges, key):
+    base = spark.range(300).selectExpr(f"CAST(id AS {key}) AS k", "id % 5 AS v", "CAST(NULL AS string) AS n")
+    newer = base.unionByName(base.where("v = 3 AND k < 40")).unionByName(spark.sql(f"SELECT CAST(NULL AS {key}) AS k, 1L AS v, 'x' AS n"))
+    older = base.where("k <> 17").withColumn("v", F.expr("IF(k = 250, 9, v)"))
+    want = rows(joins.dump_difference(newer, older).select(F.coalesce(F.col("k").cast("string"), F.lit("none")).alias("k"), "v"), "k", "v")
+    got = rows(joins.dump_difference_by_range(newer, older, "k", (), ranges).select(F.coalesce(F.col("k").cast("string"), F.lit("none")).alias("k"), "v"), "k", "v")
+    assert got == want and {r[0] for r in want} == {"17", "250", "none"}
+
+
+def test_equal_copies_open_no_range(spark):
+    df = spark.range(1000).selectExpr("id AS k", "id % 3 AS v")
+    again = df.unionByName(df.where("v = 1"))
+    assert joins.unequal_ranges(df, df.orderBy(F.desc("k")), "k")[0].isEmpty()
+    assert joins.unequal_ranges(again, df, "k")[0].count() == 333
+    assert joins.dump_difference_by_range(df.limit(0), df.limit(0), "k").isEmpty()
+
+
 def test_read_keys(spark, tmp_path):
     (tmp_path / "k.csv").write_text("table_name,primary_key\nt1,a|b\nt2, c \nt3,\n")
     keys = {r["table_name"]: r["key_columns"] for r in scan.read_keys(spark, str(tmp_path / "k.csv")).collect()}
