@@ -113,6 +113,20 @@ def identity_index(labels: DataFrame, people: DataFrame, anchor: str) -> DataFra
     )
 
 
+def met_links(known: Sequence[DataFrame], source_rows: DataFrame, own: str, kinds: Sequence[str]) -> DataFrame:
+    """(nodes) of two, a known person and one of the person's identifiers, for the identifiers that occur in the sources.
+
+    The map is scanned, but what leaves the scan is bounded by the increment: its identifiers times the persons that hold each.
+    """
+    asked = source_rows.select(F.explode("nodes").alias("node")).distinct()
+    mark = F.lit(f"{own}:")
+    held = identifier_nodes(known, [own, *kinds])
+    person = F.get(F.filter("nodes", lambda n: n.startswith(mark)), F.lit(0))
+    links = held.select(person.alias("person"), F.explode(F.filter("nodes", lambda n: ~n.startswith(mark))).alias("node"))
+    met = links.where(F.col("person").isNotNull()).join(asked, "node", "left_semi").distinct()
+    return met.select(F.array_sort(F.array("person", "node")).alias("nodes"))
+
+
 def update_patient_map(
     existing: DataFrame, sources: Sequence[DataFrame], kinds: Sequence[str], primary: str, salt: str, index: DataFrame | None = None
 ) -> DataFrame:
@@ -120,12 +134,14 @@ def update_patient_map(
     person; ids of the others go on after the highest.
 
     ``index`` brings the identifiers that the map does not keep, see :func:`identity_index`. A known person's row stays, and identifiers it lacks are
-    filled in, unless the sources join several known persons: these keep their rows as they are.
+    filled in from the sources, unless these join several known persons: such keep their rows as they are. Components are made of the rows of the
+    sources and of the known identifiers that occur in them, so their work grows with the increment and not with the map.
     """
     own = "sur_patient_id"
     held = existing.select(own, *[k for k in dict.fromkeys([primary, *kinds]) if k in existing.columns])
     known = [held] if index is None else [held, *[index.where(F.col("kind") == k).select(own, F.col("value").alias(k)) for k in kinds]]
-    labels = store(components(identifier_nodes([*known, *sources], [own, *kinds])), "labels")
+    rows = store(identifier_nodes(sources, kinds), "increment")
+    labels = store(components(rows.unionByName(met_links(known, rows, own, kinds))), "labels")
     mark = f"{own}:"
     owned = labels.where(F.col("node").startswith(mark)).groupBy("component").agg(
         F.min(F.expr(f"substring(node, {len(mark) + 1})")).alias("__sur"), F.count(F.lit(1)).alias("__n")

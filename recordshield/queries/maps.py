@@ -101,6 +101,27 @@ def m3_without_primary(spark, sf):
     return M.update_patient_map(old, [source], KINDS, "patient", SALT)
 
 
+@query(
+    "m3_update_delta",
+    f"""
+WITH old AS (SELECT c_name AS chart, CAST(c_custkey AS VARCHAR) AS patient, 7000 + row_number() OVER (ORDER BY c_custkey) AS sur_patient_id,
+  CAST(10 + c_custkey % 21 AS INTEGER) AS day_offset, CASE WHEN c_custkey % 10 = 0 THEN 'V' || c_custkey END AS profile FROM customer WHERE c_custkey % 2 = 0)
+SELECT * FROM old UNION ALL
+SELECT c_name, NULL, (SELECT max(sur_patient_id) FROM old) + row_number() OVER (ORDER BY 'chart:' || c_name),
+  CAST(10 + (('0x' || substr(sha256('{SALT}|chart:' || c_name), 1, 8))::BIGINT % 21) AS INTEGER), 'V' || c_custkey FROM customer WHERE c_custkey % 10 = 1
+""",
+)
+def m3_delta(spark, sf):
+    """An increment that meets one known person in five, with rows that repeat, and brings as many new ones."""
+    customer = table(spark, sf, "customer")
+    old = customer.where("c_custkey % 2 = 0").select(F.col("c_name").alias("chart"), F.col("c_custkey").cast("string").alias("patient"), "c_custkey")
+    old = number_rows(old, ["c_custkey"], name="sur_patient_id", start=7001)
+    old = old.select("chart", "patient", "sur_patient_id", (F.lit(10) + F.col("c_custkey") % 21).cast("int").alias("day_offset"))
+    profile = F.concat(F.lit("V"), F.col("c_custkey").cast("string")).alias("profile")
+    increment = customer.where("c_custkey % 10 IN (0, 1)").select(F.col("c_name").alias("chart"), profile)
+    return M.update_patient_map(old, [increment, increment], KINDS, "patient", SALT)
+
+
 @query(
     "m4_encounter_map",
     f"""

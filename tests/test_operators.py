@@ -466,6 +466,21 @@ def test_update_knows_persons_by_any_identifier(spark):
     assert mapping.update_patient_map(got, [first, second, third], kinds, "patient", "salt", index).count() == 5
 
 
+def test_map_update_is_bounded_by_its_increment(spark):
+    """Of a map of 20,000 persons only what the increment names goes into the components; two known persons are joined through new rows."""
+    old = spark.range(20000).selectExpr("CONCAT('c', id) AS chart", "CONCAT('p', id) AS profile", "id AS sur_patient_id")
+    fresh = spark.createDataFrame([("c5", "p77"), ("c9", "new"), ("x1", "x2"), (None, None)], "chart string, profile string")
+    rows_ = mapping.identifier_nodes([fresh], ["chart", "profile"])
+    links = mapping.met_links([old], rows_, "sur_patient_id", ["chart", "profile"])
+    assert sorted(r["nodes"] for r in links.collect()) == [
+        ["chart:c5", "sur_patient_id:5"], ["chart:c9", "sur_patient_id:9"], ["profile:p77", "sur_patient_id:77"],
+    ]
+    got = mapping.update_patient_map(old, [fresh], ["chart", "profile"], "chart", "salt")
+    changed = got.select(*old.columns).exceptAll(old)
+    assert rows(changed) == [("x1", "x2", 20000)] and got.count() == 20001
+    assert mapping.update_patient_map(old, [fresh.limit(0)], ["chart", "profile"], "chart", "salt").count() == 20000
+
+
 def test_only_runs_that_may_be_terms_leave_the_scan(spark):
     texts = spark.range(40).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(30)]).alias("note"))
     terms = spark.createDataFrame([("w3x7", "#"), ("W4X8 w5x8 w6x8 w7x8", "##"), ("not there", "#")], "value string, mask string")
