@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .clean import as_col
+from .clean import as_col, let
 
 
 def hl7_segment(message: str | Column, segment: str) -> Column:
@@ -20,6 +20,89 @@ def hl7_field(message: str | Column, segment: str, number: int) -> Column:
     return F.trim(F.get(hl7_segment(message, segment), F.lit(number - 1)))
 
 
+# fixed values: the separators of a message without a header, in the order field, component, repetition, escape, sub-component
+SEPARATORS = "|^~\\&"
+
+
+def message_separators(message: str | Column) -> Column:
+    """The five separators of a message as one text, as its header declares them; what a short header leaves out is as usual."""
+    declared = F.regexp_extract(as_col(message), r"(?:^|[\r\n])MSH([^\r\n\w\s][^\r\n\w\s]{0,4})", 1)
+    # the header's second field ends at the next field separator
+    end = F.instr(F.substring(declared, 2, 4), F.substring(declared, 1, 1))
+    own = F.when(end > 0, F.substr(declared, F.lit(1), end)).otherwise(declared)
+    return F.concat(own, F.substr(F.lit(SEPARATORS), F.length(own) + 1))
+
+
+def _cut(text: Column, separator: Column) -> Column:
+    return F.split(text, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1)
+
+
+def _plain(text: Column, marks: Column) -> Column:
+    """Escapes resolved in one pass: separators, hexadecimal bytes, line breaks; codes without a meaning here stay as they are."""
+    escape = F.substring(marks, 4, 1)
+    # fixed values: codes of the separators by their place
+    named = {"F": 1, "S": 2, "R": 3, "E": 4, "T": 5}
+
+    def resolved(parts: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            out = F.when(i % 2 == 0, x).when(i == F.size(parts) - 1, F.concat(escape, x))
+            for code, place in named.items():
+                out = out.when(x == code, F.substring(marks, place, 1))
+            out = out.when(x == ".br", F.lit("\n")).when(x.rlike("^X([0-9A-Fa-f]{2})+$"), F.decode(F.unhex(F.substr(x, F.lit(2))), "UTF-8"))
+            return out.otherwise(F.concat(escape, x, escape))
+
+        return F.array_join(F.transform(parts, part), "")
+
+    return F.when(F.instr(text, escape) > 0, let(_cut(text, escape), resolved)).otherwise(text)
+
+
+def message_tree(message: str | Column) -> Column:
+    """A whole message as a nested value: array of (name, fields), a field being repetitions of components of sub-components.
+
+    Fields count without the segment's name; those of the header begin with the field separator and the other separators, uncut. Segments end
+    at CR, LF or both, empty lines are none; null stays null; an empty message has no segments; an empty field is one empty sub-component.
+    """
+
+    def parsed(marks: Column) -> Column:
+        field, component, repetition, below = [F.substring(marks, i, 1) for i in (1, 2, 3, 5)]
+
+        def value(text: Column) -> Column:
+            return F.transform(
+                _cut(text, repetition),
+                lambda r: F.transform(_cut(r, component), lambda c: F.transform(_cut(c, below), lambda s: _plain(s, marks))),
+            )
+
+        def whole(text: Column) -> Column:
+            return F.array(F.array(F.array(text)))
+
+        def segment(line: Column) -> Column:
+            return let(
+                _cut(line, field),
+                lambda parts: F.when(
+                    F.get(parts, F.lit(0)) == "MSH",
+                    F.concat(
+                        F.array(whole(field), whole(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))),
+                        F.transform(F.slice(parts, F.lit(3), F.size(parts)), value),
+                    ),
+                ).otherwise(F.transform(F.slice(parts, F.lit(2), F.size(parts)), value)),
+            )
+
+        lines = F.filter(F.split(as_col(message), r"[\r\n]+"), lambda x: x != "")
+        return F.transform(lines, lambda x: F.struct(F.get(_cut(x, field), F.lit(0)).alias("name"), segment(x).alias("fields")))
+
+    return F.when(as_col(message).isNotNull(), let(message_separators(message), parsed))
+
+
+def tree_value(
+    tree: str | Column, segment: str, field: int, repetition: int = 1, component: int = 1, below: int = 1, occurrence: int = 1
+) -> Column:
+    """One value of a :func:`message_tree`, every place counted from 1; null where the message does not go so far."""
+    out = F.get(F.filter(as_col(tree), lambda s: s["name"] == segment), F.lit(occurrence - 1))["fields"]
+    for place in (field, repetition, component, below):
+        out = F.get(out, F.lit(place - 1))
+    return out
+
+
 def hl7_person(message: str | Column) -> dict[str, Column]:
     """Id (0 when it is missing, no number or too large for an INT), first two name parts, date of birth of the PID segment."""
     fields = F.split(F.nullif(F.regexp_extract(as_col(message), r"PID\|[^\r\n]*", 0), F.lit("")), r"\|")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -51,6 +52,56 @@ def e2(spark, sf):
     )
 
 
+def _escaped(value: Column, marks: str) -> Column:
+    """A value as it stands in a message with these separators."""
+    codes = dict(zip(marks, "FSRET"))
+    for mark in (marks[3], *[m for m in marks if m != marks[3]]):
+        value = F.replace(value, F.lit(mark), F.lit(f"{marks[3]}{codes[mark]}{marks[3]}"))
+    return value
+
+
+@query(
+    "e2_message_tree",
+    r"""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '#*+!%' ELSE '|^~\&' END AS marks, CAST(o_custkey AS VARCHAR) AS first_id, CAST(c_nationkey AS VARCHAR) AS second_id,
+       c_mktsegment AS authority, c_name || ' |^~\&#*+!% \F\' AS family, 'Zoë' || chr(10) || '\H\' AS given, CAST(NULL AS VARCHAR) AS fourth,
+       o_orderpriority AS second_note, CASE WHEN o_orderstatus = 'F' THEN '#' ELSE '|' END AS msh_1, 'SITE' AS msh_4, 4::INTEGER AS segments
+FROM orders JOIN customer ON o_custkey = c_custkey
+""",
+)
+def e2_tree(spark, sf):
+    """Two sets of separators, declared in the header; values that hold all of them; repetitions, sub-components, escapes."""
+    orders, cust = text_table(spark, sf, "orders"), table(spark, sf, "customer")
+    joined = orders.join(cust, orders["o_custkey"] == cust["c_custkey"])
+
+    def message(marks: str):
+        f, c, r, e, b = marks
+        name = F.concat(F.col("c_name"), F.lit(" |^~\\&#*+!% \\F\\"))
+        given = F.lit(f"Zo{e}XC3AB{e}{e}.br{e}") if e == "\\" else F.lit(f"Zoë{e}X0A{e}")
+        shown = F.lit(f"{e}H{e}") if e == "\\" else _escaped(F.lit("\\H\\"), marks)
+        return F.concat(
+            F.lit(f"MSH{f}{c}{r}{e}{b}{f}LAB{f}SITE\rPID{f}1{f}{f}"), F.col("o_custkey").cast("string"), F.lit(r), F.col("c_nationkey").cast("string"),
+            F.lit(f"{c}{c}{c}A{b}"), _escaped(F.col("c_mktsegment"), marks), F.lit(f + f), _escaped(name, marks), F.lit(c), given, shown,
+            F.lit(f"\r\nNTE{f}1{f}x\r\n\r\nNTE{f}2{f}"), _escaped(F.col("o_orderpriority"), marks), F.lit("\r"),
+        )
+
+    text = F.when(F.col("o_orderstatus") == "F", message("#*+!%")).otherwise(message("|^~\\&"))
+    rows = joined.select("o_orderkey", text.alias("message")).select("o_orderkey", M.message_separators("message").alias("marks"), M.message_tree("message").alias("t"))
+    return rows.select(
+        "o_orderkey", "marks",
+        M.tree_value("t", "PID", 3).alias("first_id"),
+        M.tree_value("t", "PID", 3, 2).alias("second_id"),
+        M.tree_value("t", "PID", 3, 2, 4, 2).alias("authority"),
+        M.tree_value("t", "PID", 5).alias("family"),
+        M.tree_value("t", "PID", 5, 1, 2).alias("given"),
+        M.tree_value("t", "PID", 5, 1, 4).alias("fourth"),
+        M.tree_value("t", "NTE", 2, occurrence=2).alias("second_note"),
+        M.tree_value("t", "MSH", 1).alias("msh_1"),
+        M.tree_value("t", "MSH", 4).alias("msh_4"),
+        F.size("t").alias("segments"),
+    )
+
+
 @query(
     "e3_xml_value",
     "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<(?:\\w+:)?title(?:\\s[^>]*)?>(.*?)</(?:\\w+:)?title\\s*>', 1), ' '), '') AS title FROM pages",

@@ -68,7 +68,7 @@ _BEYOND = "[A-Za-z]*[äöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ][A-Za-zä
 
 @query(
     "x1_letters_of_any_case",
-    f"""
+    rf"""
 WITH d AS (SELECT doc_id, translate(regexp_replace(text, '[''"/@]', ' ', 'g'), '{_SMALL}', '{_LARGE}') AS note,
   list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[''"/@]', ' ', 'g'), '{_BEYOND}'), lambda x: lower(x)))[1:1] AS one,
   list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[''"/@]', ' ', 'g'), '{_BEYOND}'), lambda x: lower(x))) AS every FROM documents)

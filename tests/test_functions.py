@@ -285,3 +285,29 @@ def test_values_with_letters_beyond_ascii(spark):
     assert value(spark, text.replace_words(lit("ÉCOLE x"), [("école", "school")])) == "school x"
     assert value(spark, text.mask_combined_names(lit("JOSÉÖZIL"), [lit("José"), lit("Özil")], "#")) == "#"
     assert value(spark, quality.occurrences(lit("École éCOLE x"), "école")) == 2
+
+
+# --- message trees ----------------------------------------------------------------------------------------------------
+
+
+def test_message_tree(spark):
+    texts = {
+        "usual": "MSH|^~\\&|A|B\rPID|1||7^^^X&Y~8|a\\F\\b\\E\\F\\E\\c|\\Z9\\|tail\\x\r\n\r\nPID|2",
+        "own": "MSH#*+!%#A\nPID#x|y#1+2*3%4",
+        "short": "MSH|^|A\rPID|1~2^3&4",
+        "headless": "PID|1^2",
+        "empty": "",
+        "null": None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "n string, m string")
+    got = {r["n"]: r["t"] for r in df.select("n", messages.message_tree("m").alias("t")).collect()}
+    usual = got["usual"]
+    assert [s["name"] for s in usual] == ["MSH", "PID", "PID"]
+    assert [f[0][0][0] for f in usual[0]["fields"]] == ["|", "^~\\&", "A", "B"]
+    assert usual[1]["fields"] == [
+        [[["1"]]], [[[""]]], [[["7"], [""], [""], ["X", "Y"]], [["8"]]], [[["a|b\\F\\c"]]], [[["\\Z9\\"]]], [[["tail\\x"]]],
+    ]
+    assert got["own"][1]["fields"] == [[[["x|y"]]], [[["1"]], [["2"], ["3", "4"]]]]
+    assert got["short"][1]["fields"] == [[[["1"]], [["2"], ["3", "4"]]]]
+    assert got["headless"][0]["fields"] == [[[["1"], ["2"]]]]
+    assert got["empty"] == [] and got["null"] is None
