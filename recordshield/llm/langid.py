@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import store
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -116,12 +118,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _under_bound(rows: DataFrame, wanted: int) -> DataFrame:
+    """(doc_id, lang, __h): the rows whose hash lies under a bound of their language, about four times as many as ``wanted``.
+
+    Counting a language first sets its bound, so that what meets in one window grows neither with the table nor with its tasks. Where fewer than
+    ``wanted`` rows lie under it (an id that repeats, say), the language has no bound; the least ``wanted`` hashes are the same either way.
+    """
+    hashed = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__rows"))
+    share = F.lit(4.0 * wanted) / F.col("__rows")
+    bounds = counted.select("lang", F.when(share < 1, (F.lit(2.0**64) * share - F.lit(2.0**63)).cast("bigint")).alias("__bound"))
+    under = hashed.join(bounds, "lang").withColumn("__in", F.col("__bound").isNull() | (F.col("__h") <= F.col("__bound")))
+    enough = under.where("__in").groupBy("lang").agg((F.count(F.lit(1)) >= wanted).alias("__enough"))
+    met = under.join(enough, "lang", "left").where(F.col("__in") | ~F.coalesce("__enough", F.lit(False)))
+    return met.select("doc_id", "lang", "__h")
+
+
 def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC) -> DataFrame:
     """(lang, window) of the sample, from documents that are not held out."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    least = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    # each task cuts its rows to docs_per_language a language before the shuffle
-    chosen = usable.select("doc_id", "lang").withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= docs_per_language)
+    usable_ids = store(usable.select("doc_id", "lang"), "usable")
+    least = W.partitionBy("lang").orderBy("__h", "doc_id")
+    chosen = _under_bound(usable_ids, docs_per_language).withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= docs_per_language)
     texts = usable.join(chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -298,6 +299,23 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_sample_is_the_least_hashes(spark):
+    """The bound before the window changes no choice: many rows, few rows, one id in a third of the rows, all rows of one id."""
+    big = spark.range(30000).selectExpr("id AS doc_id", "'en' AS lang")
+    hot = spark.range(6000).selectExpr("IF(id % 3 = 0, -5, id) AS doc_id", "'fr' AS lang")
+    rows = big.unionByName(hot).unionByName(spark.range(40).selectExpr("id AS doc_id", "'no' AS lang"))
+    rows = rows.unionByName(spark.range(900).selectExpr("7L AS doc_id", "'xx' AS lang"))
+    met = langid._under_bound(rows, 100)
+    assert met.where("lang = 'en'").count() < 600
+    hashed = rows.withColumn("__h", F.xxhash64(F.col("doc_id").cast("string")))
+
+    def least(df):
+        w = W.partitionBy("lang").orderBy("__h", "doc_id")
+        return Counter((r["lang"], r["doc_id"]) for r in df.withColumn("n", F.row_number().over(w)).where("n <= 100").collect())
+
+    assert least(met) == least(hashed)
+
+
 # --- 8: SimHash ----------------------------------------------------------------------------------------------------------
 
 
