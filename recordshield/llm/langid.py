@@ -140,7 +140,9 @@ def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
     usable_ids = store(usable.select("doc_id", "lang"), "usable")
     least = W.partitionBy("lang").orderBy("__h", "doc_id")
     chosen = _under_bound(usable_ids, docs_per_language).withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= docs_per_language)
-    texts = usable.join(chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("binary").alias("text"))
+    # written first, so that its measured size decides the join: docs_per_language rows a language, while the other side holds whole texts
+    chosen = store(chosen.select("doc_id", "lang"), "chosen")
+    texts = usable.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
