@@ -128,9 +128,10 @@ def _under_bound(rows: DataFrame, wanted: int) -> DataFrame:
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__rows"))
     share = F.lit(4.0 * wanted) / F.col("__rows")
     bounds = counted.select("lang", F.when(share < 1, (F.lit(2.0**64) * share - F.lit(2.0**63)).cast("bigint")).alias("__bound"))
-    under = hashed.join(bounds, "lang").withColumn("__in", F.col("__bound").isNull() | (F.col("__h") <= F.col("__bound")))
+    # both sides that hold a row a language are written first: their measured size keeps the rows from being shuffled by language
+    under = hashed.join(store(bounds, "bounds"), "lang").withColumn("__in", F.col("__bound").isNull() | (F.col("__h") <= F.col("__bound")))
     enough = under.where("__in").groupBy("lang").agg((F.count(F.lit(1)) >= wanted).alias("__enough"))
-    met = under.join(enough, "lang", "left").where(F.col("__in") | ~F.coalesce("__enough", F.lit(False)))
+    met = under.join(store(enough, "enough"), "lang", "left").where(F.col("__in") | ~F.coalesce("__enough", F.lit(False)))
     return met.select("doc_id", "lang", "__h")
 
 

@@ -307,6 +307,7 @@ def test_language_sample_is_the_least_hashes(spark):
     rows = rows.unionByName(spark.range(900).selectExpr("7L AS doc_id", "'xx' AS lang"))
     met = langid._under_bound(rows, 100)
     assert met.where("lang = 'en'").count() < 600
+    assert "hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
     hashed = rows.withColumn("__h", F.xxhash64(F.col("doc_id").cast("string")))
 
     def least(df):
