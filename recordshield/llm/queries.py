@@ -154,8 +154,11 @@ MIX_WEIGHTS, MIX_SHARE, MIX_MOST = (5, 2, 1), 1.5, 2
 MIX_SEED = "mix"
 
 _MIX_SQL = f"""
-    WITH docs AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-                         (('0x' || substr(md5('{MIX_SEED}|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+    WITH texts AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS found,
+                          row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS place FROM documents),
+    docs AS (SELECT doc_id, source, len(found)::BIGINT AS size,
+                    CASE WHEN len(found) > 0 THEN 1 + (4 * len(list_distinct(found))) // len(found) ELSE 1 END AS level,
+                    (('0x' || substr(md5(concat_ws('|', '{MIX_SEED}', doc_id, md5(text), place)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM texts),
     totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
     ranked AS (SELECT *, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM totals),
     ordered AS (SELECT *, {MIX_MOST} * source_size::DOUBLE AS cap, {MIX_MOST} * source_size / weight AS ratio FROM ranked),
@@ -163,18 +166,29 @@ _MIX_SQL = f"""
               FROM ordered WINDOW p AS (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     water AS (SELECT min_by(level, ratio) FILTER (ratio >= level) AS level FROM heads),
     plan AS (SELECT source, source_size, least(cap, weight * level) AS target,
-                    CASE WHEN source_size > 0 THEN least(cap, weight * level) / source_size ELSE 0 END AS rate FROM ordered, water),
-    ranks AS (SELECT doc_id, size, source_size, target, floor(rate) AS whole, target - floor(rate) * source_size AS due,
-                     sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
-              FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+                    CASE WHEN source_size > 0 THEN floor(least(cap, weight * level) / source_size) ELSE 0 END AS whole FROM ordered, water),
+    levels AS (SELECT source, level, sum(size)::BIGINT AS n FROM docs GROUP BY source, level),
+    steps AS (SELECT l.source, level, n, target - whole * source_size AS open,
+                     coalesce(sum(n) OVER (PARTITION BY l.source ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+                     (sum(level * n) OVER (PARTITION BY l.source ORDER BY level))::BIGINT AS rest
+              FROM levels l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source),
+    marked AS (SELECT *, rest > 0 AND level * (open - above) >= rest AS is_full FROM steps),
+    solved AS (SELECT source, min(level) FILTER (is_full) AS certain, open - coalesce(sum(n) FILTER (is_full), 0)::BIGINT AS due,
+                      (sum(level * n) FILTER (NOT is_full))::BIGINT AS weighted FROM marked GROUP BY source, open),
+    chances AS (SELECT doc_id, size, u, p.source, source_size, target, whole, due, coalesce(level >= certain, false) AS sure,
+                       least(greatest(CASE WHEN weighted > 0 THEN level * (due / weighted) ELSE 0 END, {mixing.EDGE}::DOUBLE), 1 - {mixing.EDGE}::DOUBLE) AS chance
+                FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source JOIN solved s ON d.source IS NOT DISTINCT FROM s.source),
+    ranks AS (SELECT *, sum(CASE WHEN sure THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (chance / (1 - chance)), doc_id
+                                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM chances)
     SELECT doc_id, size, source_size, target,
-           (size * (whole + CASE WHEN size > 0 AND coalesce(earlier, 0) + size / 2 <= due THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranks
+           (size * (whole + CASE WHEN size > 0 AND (sure OR coalesce(earlier, 0) + size / 2 <= due) THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranks
 """
 
 
 @query("op9_mix_sources", _MIX_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED)
+    docs = table(spark, sf, "documents")
+    mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED, mixing.variety(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

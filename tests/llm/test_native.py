@@ -325,6 +325,82 @@ def test_mix_empty(spark):
     assert mixing.mix(empty, (5, 2, 1), 1.5).count() == 0 and mixing.mix_documents(empty, (5, 2, 1), 1.5).count() == 0
 
 
+def chances(sizes, levels, due):
+    """Probabilities in proportion to the levels, at most 1, whose expected words are those due."""
+    sure = set()
+    while True:
+        open_ = [i for i in range(len(sizes)) if i not in sure]
+        weighted = sum(levels[i] * sizes[i] for i in open_)
+        factor = (due - sum(sizes[i] for i in sure)) / weighted if weighted else 0.0
+        over = {i for i in open_ if sizes[i] and levels[i] * factor >= 1}
+        if not over:
+            return [1.0 if i in sure else levels[i] * factor for i in range(len(sizes))]
+        sure |= {i for i in open_ if levels[i] >= min(levels[j] for j in over)}
+
+
+def drawn_by_hand(rows, level, weights, share):
+    """(id, text) -> words taken, summed over repeated rows, drawn source by source in plain Python."""
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(WORD.findall(text or ""))
+    want, taken, seen = targets(sizes, weights, share), Counter(), Counter()
+    for source in sizes:
+        own = [r for r in rows if r[3] == source]
+        n = [len(WORD.findall(r[1] or "")) for r in own]
+        whole = math.floor(want[source] / sizes[source]) if sizes[source] else 0
+        due = want[source] - whole * sizes[source]
+        p = chances(n, [level(r[1]) for r in own], due)
+        assert not sizes[source] or sum(a * b for a, b in zip(p, n)) == pytest.approx(due)
+        due -= sum(n[i] for i in range(len(own)) if p[i] == 1)
+        order = []
+        for i, r in enumerate(own):
+            parts = ["mix", r[0], hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else None, seen[r]]
+            seen[r] += 1
+            u = (int(hashlib.md5("|".join(str(x) for x in parts if x is not None).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            taken[r[0], r[1], source] += n[i] * (whole + (p[i] == 1 and n[i] > 0))
+            if p[i] < 1:
+                odds = max(p[i], 1e-9) / (1 - max(p[i], 1e-9))
+                order.append((u / (1 - u) / odds, i))
+        before = 0
+        for _, i in sorted(order):
+            taken[own[i][0], own[i][1], source] += n[i] * (n[i] > 0 and before + n[i] / 2 <= due)
+            before += n[i]
+    return taken
+
+
+@pytest.mark.parametrize("share", [0.3, 1.5])
+def test_mix_draws_by_importance_as_by_hand(spark, monkeypatch, share):
+    """Unequal odds, some certain; a third of the rows without an id, a third one repeated row, in pieces of 7."""
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    rows = [(i, " ".join(f"w{j % (1 + i % 7)}" for j in range(1 + i * i % 31)), "en", "ab"[i % 2], 0) for i in range(150)]
+    rows += [(None, f"none {i} " * (1 + i % 4), "en", "a", 0) for i in range(149)] + [(None, None, "en", "a", 0)]
+    rows += [(7000, "one and the same row", "en", "b", 0)] * 150
+
+    def level(text):
+        found = WORD.findall(text or "")
+        return 1 + 4 * len(set(found)) // len(found) if found else 1
+
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    out = mixing.mix(docs, (5, 2), share, importance=mixing.variety(F.col("text"))).collect()
+    assert len(out) == len(rows)
+    want, got = Counter(), Counter()
+    for (number, _, source), n in drawn_by_hand(rows, level, (5, 2), share).items():
+        want[number, source] += n
+    for r in out:
+        got[r["doc_id"], r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert +got == +want
+
+
+def test_important_documents_are_drawn_more_often(spark):
+    rows = [(i, "w " * 10, "en", "s", 1 + 8 * (i % 2)) for i in range(4000)]
+    docs, weight = spark.createDataFrame(rows, DOCS), F.col("n_chars")
+    drawn = Counter(r["doc_id"] % 2 for r in mixing.mix(docs, (1,), 0.25, importance=weight).collect() if r["copies"])
+    assert sum(drawn.values()) == 1000 and 860 <= drawn[1] <= 940  # nine in ten
+    sure = Counter(r["doc_id"] % 2 for r in mixing.mix(docs, (1,), 0.75, importance=weight).collect() if r["copies"])
+    assert sure[1] == 2000 and sure[0] == 1000
+
+
 def test_unit_is_even():
     values = [(int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(5000)]
     assert math.isclose(sum(values) / 5000, 0.5, abs_tol=0.02)
