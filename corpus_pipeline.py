@@ -31,8 +31,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: none, once or twice."""
-    return mixing.mix_documents(docs, MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED)
+    """Each document as many times as the mix takes it, none, once or twice; texts of varied words are likelier to be drawn."""
+    return mixing.mix_documents(docs, MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED, mixing.variety(F.col("text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
