@@ -8,6 +8,7 @@ from ..plans.deidentify import Maps
 from ..plans.versions import VersionedTable
 from ..session import scratch_path
 from ..spec import ColumnRule, TableSpec
+from ..streaming.changes import ChangeLog
 from ..streaming.merge import mask_stream, merge_stream
 from .base import PATIENTS_SQL, patients, query, table
 
@@ -32,6 +33,24 @@ def g1(spark, sf):
     return store.history().select("user_id", "event_id", "active_flag")
 
 
+@query(
+    "g1_stateful_changes",
+    """
+SELECT user_id, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 'Y' ELSE 'N' END AS active_flag FROM events
+""",
+)
+def g1_changes(spark, sf):
+    """All events, each delivered twice and out of order, over several micro-batches."""
+    path = scratch_path(spark, "late-feed")
+    events = table(spark, sf, "events")
+    sent = events.withColumn("turn", F.lit(1)).unionByName(events.withColumn("turn", F.lit(2)))
+    sent.repartition(8, "event_id", "turn").drop("turn").write.parquet(path)
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    log = ChangeLog(spark, scratch_path(spark, "changes"), events.schema, ("user_id",), "ts", "event_id", lanes=4)
+    log.follow(feed, scratch_path(spark, "changes-checkpoint")).awaitTermination()
+    return log.flags().select("user_id", "event_id", "active_flag")
+
+
 @query(
     "g2_streamed_masking",
     f"""
