@@ -254,8 +254,8 @@ def quality_table(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    described = store(describe(docs.select("doc_id", "text")).drop("text"), "described")
-    rules = learn_rules(described, labels, **learning)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
-    return judge(describe(own), rules).where("kept").select("__row.*")
+    """The documents that are kept, with their own columns; texts are described once, and stored beside their counts."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id"), F.col("text"))
+    described = store(describe(own).drop("text"), "described")
+    rules = learn_rules(described.drop("__row"), labels, **learning)
+    return judge(described, rules).where("kept").select("__row.*")
