@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -35,20 +36,39 @@ def partial_ratio(a: str, b: str) -> float:
     return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
 
 
+def word_runs(words: str, most: int = 3) -> list[tuple[int, int]]:
+    """Where the runs of 1..most words begin and end: single words before pairs before triples, in the order of the text."""
+    if not words:
+        return []
+    starts = [0, *accumulate(len(w) + 1 for w in words.split(" "))]
+    ends = [s - 1 for s in starts[1:]]
+    return [span for n in range(most) for span in zip(starts, ends[n:])]
+
+
 def near_terms(threshold: float):
-    """(runs of words, wanted terms) -> the runs that are nearly a term, with its mask and the place of the run."""
+    """(words joined by a blank, wanted values, their masks) -> the runs of 1..3 words that are nearly a value, with its mask and the place of the run."""
 
-    def near(grams: pd.Series, terms: pd.Series) -> pd.Series:
+    def near(words: pd.Series, values: pd.Series, masks: pd.Series) -> pd.Series:
         out = []
-        for found, wanted in zip(grams, terms):
+        for text, wanted, shown in zip(words, values, masks):
             hits = []
-            for term in wanted if wanted is not None else ():
-                value = term["value"].lower()
+            runs = word_runs(text) if text and wanted is not None else []
+            for value, mask in zip(wanted, shown) if runs else ():
+                value = value.lower()
                 # a ratio of t needs lengths within t / (200 - t) of each other
-                low, high = len(value) * threshold / (200 - threshold), len(value) * (200 - threshold) / threshold
-                for place, gram in enumerate(found if found is not None else ()):
-                    if low <= len(gram) <= high and indel_ratio(value, gram) >= threshold:
-                        hits.append({"place": place, "value": gram, "mask": term["mask"]})
+                low, high = max(3, len(value) * threshold / (200 - threshold)), len(value) * (200 - threshold) / threshold
+                letters, met = set(value), set()
+                for place, (start, end) in enumerate(runs):
+                    if not low <= end - start <= high:
+                        continue
+                    run = text[start:end]
+                    # a run that stands twice counts where it stands first
+                    if run not in met:
+                        met.add(run)
+                        # letters of the run that the value has at all bound the ratio (one more is allowed for rounding)
+                        enough = sum(map(letters.__contains__, run)) >= (len(value) + len(run)) * threshold / 200 - 1
+                        if enough and indel_ratio(value, run) >= threshold:
+                            hits.append({"place": place, "value": run, "mask": mask})
             out.append(hits)
         return pd.Series(out)
 

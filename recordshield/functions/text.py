@@ -27,7 +27,7 @@ def fold(text: Column) -> Column:
     """A form in which letters that ``ANY_CASE`` holds equal are equal: back and forth once, as some letters share one capital only."""
     # the empty text keeps the optimizer from taking the way back and forth for one step
     apart = lambda x: F.concat(x, F.lit(""))
-    return F.lower(apart(F.upper(apart(F.lower(F.translate(text, "İ", "i"))))))
+    return F.lower(apart(F.upper(apart(F.lower(F.replace(text, F.lit("İ"), F.lit("i")))))))
 
 
 def java_replacement(mask: str) -> str:
@@ -55,12 +55,15 @@ def values_pattern(values: Column) -> Column:
 
 
 def compiled_terms(terms: str | Column) -> Column:
-    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms>: one pattern over all values, whatever their masks, and their folded forms."""
+    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms,only>: one pattern over all values, whatever their masks, their folded forms,
+    and, where all have one mask, that mask as a replacement string."""
 
     def compiled(present: Column) -> Column:
         pattern = values_pattern(F.transform(present, lambda t: t["value"]))
         folded = F.transform(present, lambda t: F.struct(fold(F.trim(t["value"])).alias("form"), t["mask"].alias("mask")))
-        return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), folded.alias("terms")))
+        masks = F.array_distinct(F.transform(present, lambda t: t["mask"]))
+        only = F.when(F.size(masks) == 1, F.regexp_replace(F.get(masks, F.lit(0)), r"([\\$])", r"\\$1"))
+        return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), folded.alias("terms"), only.alias("only")))
 
     return let(F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != "")), compiled)
 
@@ -68,9 +71,9 @@ def compiled_terms(terms: str | Column) -> Column:
 def _mask_of(found: Column, terms: Column) -> Column:
     """The mask of the longest value that the match is, with or without the quotes around it."""
     bare = F.regexp_replace(found, r"^['\"/]", "")
-    forms = F.transform(
-        F.array(found, bare, F.regexp_replace(found, r"['\"]$", ""), F.regexp_replace(bare, r"['\"]$", "")), fold
-    )
+    quoted = F.array(found, bare, F.regexp_replace(found, r"['\"]$", ""), F.regexp_replace(bare, r"['\"]$", ""))
+    # without a sign at either end all four are one
+    forms = F.transform(F.when(found.rlike(r"^['\"/]|['\"]$"), quoted).otherwise(F.array(found)), fold)
 
     def first_of(same: Column) -> Column:
         hits = F.filter(terms, lambda t: F.array_contains(same, t["form"]))
@@ -84,7 +87,8 @@ def mask_compiled(text: str | Column, compiled: str | Column) -> Column:
     """One pass over the text: at each place the longest value wins, and no mask is looked at again."""
     c = as_col(compiled)
     masked = rewrite_matches(text, c["pattern"], lambda found: _mask_of(found, c["terms"]))
-    return F.when(c.isNull(), as_col(text)).otherwise(masked)
+    # with one mask it does not matter which value a match is
+    return F.when(c.isNull(), as_col(text)).when(c["only"].isNotNull(), F.regexp_replace(as_col(text), c["pattern"], c["only"])).otherwise(masked)
 
 
 def mask_values(text: str | Column, terms: str | Column) -> Column:

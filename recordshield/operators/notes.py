@@ -14,6 +14,7 @@ from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
 from ..functions.text import ANY_CASE, WORD, WORD_BREAK, compiled_terms, fold, mask_compiled, mask_values
 from ..session import store
+from ..sources.scan import row_tasks
 
 HITS = T.ArrayType(
     T.StructType([T.StructField("place", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("mask", T.StringType())])
@@ -131,19 +132,26 @@ def mask_patient_values(
     A person with up to ``limit`` values brings them as one list. For people with more, only the values whose words occur in the
     note are brought; the others could not match, so the text is the same either way and ``limit`` only chooses the plan.
     """
+    # written once: the count, the lists and the look-up all read them
+    terms = store(terms.select(patient, "value", "mask"), "values")
     heavy = terms.groupBy(patient).count().where(F.col("count") > limit).select(patient)
     if heavy.isEmpty():
         return _masked(notes, notes.join(_bundles(terms, patient), patient, "left"), text)
+    # likewise; nothing of the way the notes were made is done again for the light, the look-up and the heavy ones
+    notes = store(notes, "notes")
     light = notes.join(heavy, patient, "left_anti")
     light = light.join(_bundles(terms.join(heavy, patient, "left_anti"), patient), patient, "left")
     heavy_notes = notes.join(heavy, patient, "left_semi")
     found = terms_in_text(heavy_notes, note_id, text, terms.join(heavy, patient, "left_semi"), [patient])
     found = found.withColumn("compiled", compiled_terms("terms"))
-    return _masked(notes, light, text).unionByName(_masked(notes, heavy_notes.join(found, note_id, "left"), text))
+    tasks = row_tasks(notes)
+    return _masked(notes, light, text, tasks).unionByName(_masked(notes, heavy_notes.join(found, note_id, "left"), text, tasks))
 
 
-def _masked(notes: DataFrame, attached: DataFrame, text: str) -> DataFrame:
-    return attached.withColumn(text, mask_compiled(text, "compiled")).select(*notes.columns)
+def _masked(notes: DataFrame, attached: DataFrame, text: str, tasks: int = 0) -> DataFrame:
+    """With a number of tasks, rows are dealt out anew: joined rows are few bytes but long work, and tasks cut by bytes would grow with the table."""
+    dealt = attached.repartition(tasks) if tasks else attached
+    return dealt.withColumn(text, mask_compiled(text, "compiled")).select(*notes.columns)
 
 
 def mask_dictionary(notes: DataFrame, note_id: str, text: str, dictionary: DataFrame, most: int | None = None) -> DataFrame:
@@ -189,7 +197,9 @@ def mask_near_values(
     A person's values are cut into chunks by hash; a note meets each chunk of its own person once. Only rows with a hit go
     on to the regrouping, and the text itself is masked by native expressions.
     """
-    notes = mask_patient_values(notes, note_id, text, terms, patient)
+    terms = store(terms.select(patient, "value", "mask"), "values")
+    notes = store(mask_patient_values(notes, note_id, text, terms, patient), "masked")
+    tasks = row_tasks(notes)
     usable = terms.where(F.length("value") >= 3)
     norm = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[‘’`]", "'"), "[–—]", "-"), r"\s+", " "))
     usable = usable.select(patient, norm.alias("value"), "mask")
@@ -199,11 +209,12 @@ def mask_near_values(
         .withColumn("__chunk", F.pmod(F.xxhash64("value"), F.col("__chunks")))
         .groupBy(patient, "__chunk")
         .agg(F.collect_list(F.struct("value", "mask")).alias("__terms"))
+        .select(patient, F.col("__terms.value").alias("__values"), F.col("__terms.mask").alias("__masks"))
     )
     near = F.pandas_udf(near_terms(threshold), HITS)
-    grams = F.filter(_grams(F.col(text), 3), lambda g: F.length(g) >= 3)
-    pairs = notes.select(note_id, patient, grams.alias("__grams")).join(bundles.drop("__chunk"), patient)
-    hits = pairs.select(note_id, F.explode(near("__grams", "__terms")).alias("t"))
+    words = F.array_join(_words(F.col(text)), " ")
+    pairs = notes.select(note_id, patient, words.alias("__words")).join(bundles, patient).repartition(tasks)
+    hits = pairs.select(note_id, F.explode(near("__words", "__values", "__masks")).alias("t"))
     found = hits.groupBy(note_id).agg(F.sort_array(F.collect_set("t")).alias("terms"))
     return notes.join(found, note_id, "left").withColumn(text, _mask_words(text, "terms")).select(*notes.columns)
 

@@ -33,13 +33,19 @@ def incremental_scan(
     return out.where((at > low) & ((at <= high) if closed else (at < high)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the session has cores (a few large row groups) dealt out over all cores.
+#: Rows of a task whose work is heavy per row.
+TASK_ROWS = 25_000
 
-    For work that is heavy per row. A large input has more partitions than cores and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def row_tasks(df: DataFrame) -> int:
+    """The tasks for heavy work on each row of a scan: as many as there are cores, and more as its rows grow. Counts the rows, for files by their footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than heavy work on its rows needs (a few large row groups) dealt out, so that no task grows with the table."""
+    tasks = row_tasks(df)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def day_start(at: date | datetime) -> datetime:

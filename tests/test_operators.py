@@ -275,6 +275,28 @@ def test_near_values(spark, chunk):
     assert rows(out, "note_id", "note") == [(1, "((N)) saw ((N)), ((N)) and Bob"), (2, "nothing here")]
 
 
+def test_rows_with_long_work_are_dealt_to_tasks_of_bounded_size(spark, tmp_path):
+    spark.range(5 * scan.TASK_ROWS, numPartitions=1).write.parquet(str(tmp_path / "t"))
+    assert scan.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 5
+
+
+def test_near_values_reads_its_notes_once(spark):
+    """Exact masking and what made the notes run once, not again for the pairs and the result; runs that stand twice count once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def note(text):
+        made.add(1)
+        return text
+
+    texts = [(1, 10, "nam sent nam, then nam"), (2, 10, "x"), (None, 10, "nam")]
+    df = spark.createDataFrame(texts, "note_id int, sur_patient_id int, t string").withColumn("note", note("t"))
+    terms = spark.createDataFrame([(10, "name", "((NAME))"), (10, "nam sent", "((B))")], "sur_patient_id int, value string, mask string")
+    got = {r.t: r.note for r in notes.mask_near_values(df, "note_id", "note", terms).collect()}
+    assert got == {"nam sent nam, then nam": "((B)) ((NAME)), then ((NAME))", "x": "x", "nam": "nam"}
+    assert made.value == 3
+
+
 def test_dictionary_against_brute_force(spark):
     rnd = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
