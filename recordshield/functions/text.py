@@ -316,27 +316,36 @@ def rewrite_elements(
     masked: Callable[[Column], Column],
     change: Callable[[Column, Column], Column],
     broken: str = "tags",
+    then: Callable[[Column], Column] = lambda out: out,
+    also: str = "",
 ) -> Column:
     """The text of the named elements (any name space and case) replaced by ``change(local name, text)``; null leaves it as it is.
 
     Well-formed markup is followed exactly. Markup that is not well-formed (HTML, fragments, cut messages) is followed as far as its tags pair up, so
-    that nothing named stays readable; with ``broken="keep"`` it is left as it is.
+    that nothing named stays readable; with ``broken="keep"`` it is left as it is. ``then`` works on the result, in texts left as they are on none
+    of it; texts without a named element are read only if they hold the pattern ``also``, which has to stand in all that ``then`` would change there.
     """
     low = [n.lower() for n in names]
     named = lambda name: F.lower(name).isin(low)
     worth = rf"{ANY_CASE}<(?:[^\s/<>:]+:)?{_names(names)}[\s/>]"
 
-    def scanned(tokens: Column) -> Column:
+    def read(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda tokens: let(_markup_steps(tokens), lambda steps: followed(t, tokens, steps)))
+
+    def followed(t: Column, tokens: Column, steps: Column) -> Column:
         def made(edits: Column) -> Column:
             new = F.transform(edits, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), F.when(e["tag"].isNull(), "").otherwise(change(e["tag"], e["value"])).alias("new")))
             return _edited(tokens, F.filter(new, lambda e: e["new"].isNotNull()))
 
-        def followed(steps: Column) -> Column:
-            return let(_well_formed(steps), lambda exact: F.when(exact | F.lit(broken != "keep"), made(_markup_edits(steps, exact, named, masked))).otherwise(F.array_join(tokens, "")))
-
-        return let(_markup_steps(tokens), followed)
+        if broken == "keep":
+            # only well-formed markup is followed, so that one reading serves the test, the edits and what comes then
+            out = F.when(t.rlike(worth), made(_markup_edits(steps, F.lit(True), named, masked))).otherwise(t)
+            return F.when(_well_formed(steps), then(out)).otherwise(t)
+        return let(_well_formed(steps), lambda exact: made(_markup_edits(steps, exact, named, masked)))
 
-    return if_found(text, worth, lambda t: let(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), scanned))
+    if broken == "keep":
+        return if_found(text, rf"{worth}|{also}" if also else worth, read)
+    return then(if_found(text, worth, read))
 
 
 def _names(names: Sequence[str]) -> str:
@@ -365,12 +374,10 @@ def _mask_elements(
         mask = by_name[key(name)]
         return F.coalesce(mask, special(name, content)) if special is not None else mask
 
-    out = rewrite_elements(text, [*tags, *names], lambda name: by_name[key(name)].isNotNull(), change, broken)
-    changed = rewrite_matches(rewrite_matches(out, opening, value), attribute, named)
-    if broken == "keep":
-        well_formed = _well_formed(_markup_steps(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))))
-        return F.when(well_formed, changed).otherwise(text)
-    return changed
+    def attributes(out: Column) -> Column:
+        return rewrite_matches(rewrite_matches(out, opening, value), attribute, named)
+
+    return rewrite_elements(text, [*tags, *names], lambda name: by_name[key(name)].isNotNull(), change, broken, attributes, attribute)
 
 
 def mask_tags(text: str | Column, tags: dict[str, str], any_case: bool = False, broken: str = "tags") -> Column:

@@ -198,6 +198,13 @@ def test_markup_is_followed_by_its_tags(spark):
     assert [(r["kept"], r["masked"]) for r in got] == [(exact, lenient or exact) for _, exact, lenient in NESTED]
 
 
+def test_markup_that_is_kept_when_broken_is_read_once(spark, monkeypatch):
+    read, steps = [], text._markup_steps
+    monkeypatch.setattr(text, "_markup_steps", lambda tokens: read.append(1) or steps(tokens))
+    assert value(spark, text.mask_markup(lit("<r><City>x</City></r>"), broken="keep")) == "<r><City>((City))</City></r>"
+    assert len(read) == 1
+
+
 def test_markup_of_many_tags(spark):
     many = "<r>" + "".join(f"<e{n}><City>x{n}</City>y</e{n}>" for n in range(3000)) + "</r>"
     want = "<r>" + "".join(f"<e{n}><City>((City))</City>y</e{n}>" for n in range(3000)) + "</r>"
