@@ -39,20 +39,20 @@ def newest_so_far(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator
     """The changes that the events of one key and lane bring, chunk by chunk; ties in time go to the greater id."""
     top = tuple(state.get) if state.exists else None
     for chunk in chunks:
-        chunk = chunk[["key", "lane", "at", "id"]].drop_duplicates(["at", "id"]).sort_values(["at", "id"])
-        last = (int(chunk["at"].iloc[-1]), int(chunk["id"].iloc[-1]))
-        if top is not None:
-            # the active version came once more: it stays as it is
-            chunk = chunk[(chunk["at"] != top[0]) | (chunk["id"] != top[1])]
-        out = chunk.assign(change="N")
+        # one frame a chunk: groups are many and small, and steps on frames cost more than their rows
+        versions = set(zip(chunk["at"].tolist(), chunk["id"].tolist()))
+        last = max(versions)
+        lowered = versions if top is None else versions | {top}
         if top is None or last > top:
-            out.loc[out.index[-1], "change"] = "Y"
-            if top is not None:
-                old = pd.DataFrame([(key[0], key[1], *top, "N")], columns=out.columns).astype(out.dtypes.to_dict())
-                out = pd.concat([old, out], ignore_index=True)
-            top = last
-        if len(out):
-            yield out
+            top, change = last, ["Y"]
+        else:
+            # the active version, come once more or not, stays as it is
+            change = []
+        out = [*([top] if change else []), *sorted(lowered - {top})]
+        if out:
+            at, number = zip(*out)
+            flags = change + ["N"] * (len(out) - len(change))
+            yield pd.DataFrame({"key": [key[0]] * len(out), "lane": [key[1]] * len(out), "at": at, "id": number, "change": flags})
     state.update(top)
 
 

@@ -2,9 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
-from recordshield.streaming.changes import ChangeLog
+from recordshield.streaming.changes import ChangeLog, newest_so_far
 
 SCHEMA = "who long, at timestamp, n long"
 START = datetime(2024, 1, 1)
@@ -53,3 +54,21 @@ def test_a_repeated_active_version_changes_nothing(spark, tmp_path):
         log.follow(spark.readStream.schema(schema).parquet(feed), str(tmp_path / "checkpoint")).awaitTermination()
         counts.append(log.changes().count())
     assert counts == [1, 1]
+
+
+def test_a_chunk_costs_one_frame(monkeypatch):
+    """Groups are many and small: their versions are compared as numbers, and only the result is a frame."""
+    chunks = [pd.DataFrame({"key": "k", "lane": 0, "at": at, "id": n}) for at, n in (([3, 1, 3], [7, 9, 7]), ([2, 3], [1, 7]), ([4], [0]))]
+
+    class State:
+        exists, get = False, None
+
+        def update(self, top):
+            self.get = top
+
+    for step in ("sort_values", "drop_duplicates", "assign"):
+        monkeypatch.delattr(pd.DataFrame, step)
+    state = State()
+    out = [set(frame.itertuples(index=False, name=None)) for frame in newest_so_far(("k", 0), iter(chunks), state)]
+    assert out == [{("k", 0, 3, 7, "Y"), ("k", 0, 1, 9, "N")}, {("k", 0, 2, 1, "N")}, {("k", 0, 4, 0, "Y"), ("k", 0, 3, 7, "N")}]
+    assert state.get == (4, 0)
