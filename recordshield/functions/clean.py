@@ -86,6 +86,9 @@ MARKED, PLAIN = _plain_letters()
 
 def clean_term(c: str | Column) -> Column:
     """Plain lower-case ASCII for term lookup: marks dropped, letters, digits and ``% / . -`` kept."""
-    text = F.translate(F.coalesce(as_col(c), F.lit("")), MARKED, PLAIN)
-    text = F.lower(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9 %/.\-]", " "), r"\s+", " "))
+    def plain(text: Column) -> Column:
+        # only texts with letters beyond ASCII have marks to drop
+        marked = F.regexp_replace(F.translate(text, MARKED, PLAIN), r"[^\x00-\x7F]+", "")
+        return F.lower(F.when(F.octet_length(text) > F.length(text), marked).otherwise(text))
+
+    return F.trim(F.regexp_replace(let(F.coalesce(as_col(c), F.lit("")), plain), r"[^a-z0-9%/.\-]+", " "))

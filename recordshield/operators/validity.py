@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_term
+from ..session import store
 from .notes import mask_dictionary
 
 Validator = Callable[[DataFrame], DataFrame]
@@ -63,7 +64,8 @@ def standardise_terms(notes: DataFrame, note_id: str, text: str, terminology: Da
     """
     known = terminology.select(clean_term("term").alias("value"), "display", "priority").where(F.col("value") != "")
     best = known.groupBy("value").agg(F.min_by("display", "priority").alias("mask"))
-    cleaned = notes.withColumn(text, clean_term(text))
+    # written once: the look-up and the masking both read it
+    cleaned = store(notes.withColumn(text, clean_term(text)), "cleaned")
     return mask_dictionary(cleaned, note_id, text, best, most)
 
 
