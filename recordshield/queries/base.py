@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import moment
 from ..operators.mapping import keyed_offset
-from ..sources.scan import spread
+from ..sources.scan import row_tasks, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,8 +152,10 @@ NOTES_SQL = """
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customer = text_table(spark, sf, "orders"), table(spark, sf, "customer")
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    # dealt out behind the join: tasks cut by bytes would be few and long
+    joined = joined.select("o_orderkey", "o_custkey", "o_orderdate", "c_name").repartition(row_tasks(orders))
     text = F.concat(
         "c_name",
         F.lit(" seen "),
