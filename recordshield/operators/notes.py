@@ -35,7 +35,7 @@ def _words(text: Column) -> Column:
 
 
 def _grams(text: Column, most: int) -> Column:
-    """Distinct runs of 1..most words."""
+    """Runs of 1..most words, one for each place."""
 
     def of_size(words: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - n + 1)
@@ -44,7 +44,7 @@ def _grams(text: Column, most: int) -> Column:
         )
 
     def runs(words: Column) -> Column:
-        return F.array_distinct(F.concat(*[of_size(words, n) for n in range(1, most + 1)]))
+        return F.concat(words, *[of_size(words, n) for n in range(2, most + 1)])
 
     return let(_words(text), runs)
 
@@ -72,25 +72,24 @@ def _longest_first(terms: Column) -> Column:
 
 #: Bits of the table that tells which runs of words cannot be the first words of any term: half a megabyte, whatever the terms are.
 LOOKUP_BITS = 1 << 22
-_BITMAP = 1 << 15
+_NUMBERS = LOOKUP_BITS >> 6
 
 
 def _lookup_table(keys: DataFrame) -> Column:
-    """The hashes of a column ``__gram`` as bitmaps, an array of binaries that reaches the scan as one literal."""
-    number = F.pmod("__gram", F.lit(LOOKUP_BITS)) + 1
-    filled = keys.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    by_bucket = F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))
-    buckets = F.sequence(F.lit(1).cast("long"), F.lit(LOOKUP_BITS // _BITMAP).cast("long"))
-    return filled.agg(by_bucket.alias("m")).select(F.transform(buckets, lambda b: F.col("m")[b])).scalar()
+    """The hashes of a column ``__gram`` as bits of an array of numbers that reaches the scan as one literal."""
+    filled = keys.groupBy(_place(F.col("__gram")).alias("__place")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(__gram & 63 AS INT))")).alias("__bits"))
+    every = keys.sparkSession.range(0, _NUMBERS, 1, 1).select(F.col("id").cast("int").alias("__place")).join(filled, "__place", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("__place", F.coalesce("__bits", F.lit(0).cast("bigint")).alias("__bits"))))
+    return every.agg(F.transform(ordered, lambda b: b["__bits"])).scalar()
+
+
+def _place(gram: Column) -> Column:
+    return F.shiftright(gram, 6).bitwiseAND(F.lit(_NUMBERS - 1).cast("bigint")).cast("int")
 
 
 def _may_be(gram: Column, table: Column) -> Column:
     """Whether the bit of a hash is set; hashes of terms always are."""
-    number = F.pmod(gram, F.lit(LOOKUP_BITS)).cast("int")
-    place = F.pmod(number, F.lit(_BITMAP))
-    bits = F.get(table, F.shiftright(number, 15))
-    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    return F.getbit(F.get(table, _place(gram)), gram.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
 
 
 def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, by: Sequence[str] = (), most: int = 3) -> DataFrame:
@@ -107,7 +106,7 @@ def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, b
         # values without any word character are looked up by their first sign
         keys = F.concat(keys, F.transform(_signs(F.col(text)), lambda c: F.xxhash64(F.concat(F.lit("\0"), c))))
     # only runs that may be the first words of a term leave the scan
-    known = F.filter(keys, lambda g: _may_be(g, F.col("__known")))
+    known = F.array_distinct(F.filter(keys, lambda g: _may_be(g, F.col("__known"))))
     grams = notes.withColumn("__known", _lookup_table(heads)).select(note_id, *by, F.explode(known).alias("__gram"))
     hits = grams.join(heads, [*by, "__gram"])
     return hits.groupBy(note_id).agg(_longest_first(F.collect_set(F.struct("value", "mask"))).alias("terms"))

@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordshield.operators import filters, joins, mapping, notes, numbering, profile, quality, sampling, versioned
+from recordshield.operators import filters, joins, mapping, notes, numbering, profile, quality, sampling, validity, versioned
 from recordshield.operators.reports import merge_qc
 from recordshield.plans.deidentify import Maps, Options, deidentify_table
 from recordshield.plans.notes import NotesOptions, mask_notes
 from recordshield.plans.versions import BucketedTable, VersionedTable
+from recordshield.queries import base
 from recordshield.sources import scan, sink
 from recordshield.spec import ColumnRule, IgnoreRule, TableSpec
 
@@ -297,6 +298,47 @@ def test_near_values_reads_its_notes_once(spark):
     assert made.value == 3
 
 
+def test_notes_are_dealt_out_behind_their_join(spark, tmp_path):
+    """Also where the join shuffles and Spark would leave a few large tasks."""
+    many = spark.range(5 * scan.TASK_ROWS)
+    many.selectExpr("id AS o_orderkey", "id AS o_custkey", "TIMESTAMP '2000-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    many.selectExpr("id AS c_custkey", "'x' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = base.notes(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(dealt) == 5 and sum(r["count"] for r in dealt) == 5 * scan.TASK_ROWS
+
+
+def made_once(spark, df, column):
+    """The frame with a column that counts how often it is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(text):
+        made.add(1)
+        return text
+
+    return df.withColumn(column, same(column)), made
+
+
+@pytest.mark.parametrize("limit", [0, 1])
+def test_notes_and_values_of_people_with_many_values_are_made_once(spark, limit):
+    df, noted = made_once(spark, spark.createDataFrame([(1, 10, "ann lee 7"), (2, 11, "bob"), (3, None, "ann")], "note_id int, sur_patient_id int, note string"), "note")
+    terms, valued = made_once(spark, spark.createDataFrame([(10, "ann", "((A))"), (10, "lee", "((B))"), (11, "bob", "((A))")], "sur_patient_id int, value string, mask string"), "value")
+    assert rows(notes.mask_patient_values(df, "note_id", "note", terms, limit=limit).select("note_id", "note")) == [(1, "((A)) ((B)) 7"), (2, "((A))"), (3, "ann")]
+    assert (noted.value, valued.value) == (3, 3)
+
+
+def test_texts_are_cleaned_once_for_standard_terms(spark):
+    df, made = made_once(spark, spark.createDataFrame([(1, "Größe: ALPHA–Beta\t(alpha)"), (2, None)], "id int, t string"), "t")
+    terms = spark.createDataFrame([("Alpha", "1", "ONE", 1), ("grosse", "2", "TWO", 1)], "term string, code string, display string, priority int")
+    got = dict(rows(validity.standardise_terms(df, "id", "t", terms)))
+    assert got[2] == "" and got[1].split(" ")[1:] == ["alphabeta", "ONE"]
+    assert made.value == 2
+
+
 def test_dictionary_against_brute_force(spark):
     rnd = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
