@@ -11,6 +11,7 @@ from ..operators import notes as N
 from ..operators.joins import PatientKey, map_patient, resolve_identity
 from ..operators.mapping import pii_rows
 from ..plans.notes import NotesOptions, mask_notes, mask_row_notes
+from ..session import store
 from .base import NOTES_SQL, PATIENTS_SQL, notes, patients, query, table, text_table
 
 NOTES = f"WITH pmap AS ({PATIENTS_SQL}), notes AS ({NOTES_SQL})"
@@ -54,13 +55,17 @@ FROM notes JOIN pmap USING (custkey)
 def x1_many(spark, sf):
     """Every person with more values than the limit: each order number of a person is a value of that person."""
     owned = owned_notes(spark, sf)
-    phones = owned.select("sur_patient_id", F.regexp_extract("note", r"716-555-\d+", 0).alias("phone"))
-    orders = owned.select("sur_patient_id", F.regexp_extract("note", r"order \d+", 0).alias("order"))
-    values = pii(spark, sf).unionByName(phones, allowMissingColumns=True).unionByName(orders, allowMissingColumns=True)
+    found = {"phone": r"716-555-\d+", "order": r"order \d+"}
+    values = pii(spark, sf).unionByName(_in_notes(owned, found), allowMissingColumns=True)
     terms = N.pii_terms(values, {"name": "((NAME))", "phone": "((PHONE))", "order": "((ORDER))"})
     return N.mask_patient_values(owned, "note_id", "note", terms, limit=2).select("note_id", "note")
 
 
+def _in_notes(owned, found):
+    """The first match of each pattern in a note as a value of the note's person; all patterns in one pass over the notes."""
+    return owned.select("sur_patient_id", *[F.regexp_extract("note", pattern, 0).alias(role) for role, pattern in found.items()])
+
+
 #: Letters whose capital is one letter in every library, as the SQL folds with its own function.
 _SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyzäöüéèêçñóíáú", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ"
 _BEYOND = "[A-Za-z]*[äöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ][A-Za-zäöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ]{3,}"
@@ -82,7 +87,8 @@ def x1_any_case(spark, sf):
     plain = F.regexp_replace("text", "['\"/@]", " ")
     docs = text_table(spark, sf, "documents").select("doc_id", plain.alias("text"))
     values = docs.select(F.col("doc_id").alias("sur_patient_id"), F.explode(F.regexp_extract_all("text", F.lit(f"({_BEYOND})"), F.lit(1))).alias("word"))
-    terms = N.pii_terms(values.select("sur_patient_id", F.lower("word").alias("name")), NAME_MASK)
+    # both ways read them
+    terms = store(N.pii_terms(values.select("sur_patient_id", F.lower("word").alias("name")), NAME_MASK), "words")
     notes = docs.select("doc_id", F.col("doc_id").alias("sur_patient_id"), F.translate("text", _SMALL, _LARGE).alias("note"))
 
     def way(name, limit):
@@ -104,9 +110,7 @@ def x1_two_masks(spark, sf):
     """Values inside other values under other masks, and a value that is the word of a mask: the longest wins, masks stay as they are."""
     owned = owned_notes(spark, sf)
     found = {"phone": r"716-555-\d+", "order": r"order \d+", "word": "order", "role": "Customer", "part": "716"}
-    values = pii(spark, sf)
-    for role, pattern in found.items():
-        values = values.unionByName(owned.select("sur_patient_id", F.regexp_extract("note", pattern, 0).alias(role)), allowMissingColumns=True)
+    values = pii(spark, sf).unionByName(_in_notes(owned, found), allowMissingColumns=True)
     values = values.withColumn("mask", F.lit("name"))
     masks = {"word": "((A))", "role": "((B))", "part": "((C))", "mask": "((D))", "name": "((NAME))", "order": "((ORDER))", "phone": "((PHONE))"}
     terms = N.pii_terms(values, masks)
