@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 from zlib import crc32
 
 import pandas as pd
@@ -37,7 +37,7 @@ SPAN_SENTENCES = 3
 SPAN_WORDS = 15
 PIECE_WORDS = 10
 #: Texts that a task looks at together.
-SLICE_CHARS = 8 << 20
+SLICE_CHARS = 4 << 20
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\s*\S+\s*")
@@ -156,10 +156,11 @@ def _batch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if before[:3] != at[:3]:
                     again.append((first, last))
             known += [(doc, mark, a, b) for a, b in _merge(again)]
-        out = [(int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), *at, False) for d, at in seen.items()]
-        out += [(hash((doc, mark, a)), -1, doc, mark, a, b, True) for doc, mark, a, b in known]
-        for start in range(0, len(out), 100_000):
-            columns = list(zip(*out[start : start + 100_000]))
+        firsts = ((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), *at, False) for d, at in seen.items())
+        out = chain(firsts, ((hash((doc, mark, a)), -1, doc, mark, a, b, True) for doc, mark, a, b in known))
+        # made batch by batch, never as a second list of the whole slice
+        while part := list(islice(out, 50_000)):
+            columns = list(zip(*part))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import Window as W
@@ -44,6 +45,13 @@ def brute_cut(rows):
     return ["".join(p for k, p in enumerate(substring.sentences(r[1])) if k not in gone[i]) for i, r in enumerate(rows)]
 
 
+def test_spans_of_a_slice_leave_in_small_batches():
+    text = " ".join(f"word{n} is here now again." for n in range(120_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_hash": [2], "text": [text]})
+    sizes = [b.num_rows for b in substring._batch_spans(iter([batch]))]
+    assert sum(sizes) == 119_998 and max(sizes) <= 50_000
+
+
 def test_substring_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"], r["h"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("h", F.xxhash64("text")).collect()]
     want = {r[0]: t for r, t in zip(rows, brute_cut(rows))}
