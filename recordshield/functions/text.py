@@ -45,25 +45,62 @@ def values_pattern(values: Column) -> Column:
 
     A quote or slash before a value and a quote behind it go with it.
     """
-    bare = F.transform(values, lambda v: F.trim(v))
-    long = F.transform(F.filter(bare, lambda v: F.length(v) >= 3), quote_pattern)
-    short = F.transform(F.filter(bare, lambda v: F.length(v) < 3), quote_pattern)
-    long_pattern = F.concat(F.lit(LEFT_EDGE + r"(?:['\"/])?(?:"), F.array_join(long, "|"), F.lit(r")(?:['\"])?" + RIGHT_EDGE))
-    short_pattern = F.concat(F.lit(rf"['\"]?{WORD_BREAK}(?:"), F.array_join(short, "|"), F.lit(rf"){WORD_BREAK}['\"]?"))
-    parts = F.array(F.when(F.size(long) > 0, long_pattern), F.when(F.size(short) > 0, short_pattern))
-    return F.concat(F.lit(ANY_CASE), F.array_join(F.array_compact(parts), "|"))
+    head, tail = F.lit(LEFT_EDGE + r"(?:['\"/])?(?:"), F.lit(r")(?:['\"])?" + RIGHT_EDGE)
+    brief, end = F.lit(rf"['\"]?{WORD_BREAK}(?:"), F.lit(rf"){WORD_BREAK}['\"]?")
+
+    def pattern(bare: Column) -> Column:
+        long = let(F.filter(bare, lambda v: F.length(v) >= 3), lambda vs: F.when(F.size(vs) > 0, F.concat(head, _alternatives(vs), tail)))
+        short = let(F.filter(bare, lambda v: F.length(v) < 3), lambda vs: F.when(F.size(vs) > 0, F.concat(brief, _listed(vs), end)))
+        return F.concat(F.lit(ANY_CASE), F.array_join(F.array_compact(F.array(long, short)), "|"))
+
+    return let(F.transform(values, lambda v: F.trim(v)), pattern)
+
+
+def _literal(value: Column) -> Column:
+    """As ``quote_pattern``, for long arrays: no pattern is run over the value."""
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _listed(values: Column) -> Column:
+    return F.array_join(F.transform(values, _literal), "|")
+
+
+def _alternatives(values: Column, letters: int = 2) -> Column:
+    """Many values are listed behind their first letters, in their order, so that only those of the same letters are tried at a place.
+
+    Where two first letters are one in another case, all values are listed in their order.
+    """
+    if not letters:
+        return _listed(values)
+
+    def behind(head: Column) -> Column:
+        rests = F.transform(F.filter(values, lambda v: F.startswith(v, head)), lambda v: F.substr(v, F.lit(2)))
+        return F.concat(_literal(head), F.lit("(?:"), let(rests, lambda r: _alternatives(r, letters - 1)), F.lit(")"))
+
+    def listed(heads: Column) -> Column:
+        apart = F.size(F.array_distinct(F.transform(heads, fold))) == F.size(heads)
+        return F.when(apart, F.array_join(F.transform(heads, behind), "|")).otherwise(_listed(values))
+
+    heads = F.array_distinct(F.transform(values, lambda v: F.substring(v, 1, 1)))
+    return F.when(F.size(values) > 4, let(heads, listed)).otherwise(_listed(values))
 
 
 def compiled_terms(terms: str | Column) -> Column:
-    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms,only>: one pattern over all values, whatever their masks, their folded forms,
-    and, where all have one mask, that mask as a replacement string."""
+    """``array<struct<value,mask>>``, longest value first, as struct<pattern,terms,only>: one pattern over all values, whatever their masks, and their folded forms
+    or, where all have one mask, that mask as a replacement string."""
 
     def compiled(present: Column) -> Column:
-        pattern = values_pattern(F.transform(present, lambda t: t["value"]))
+        pattern = values_pattern(present["value"])
         folded = F.transform(present, lambda t: F.struct(fold(F.trim(t["value"])).alias("form"), t["mask"].alias("mask")))
-        masks = F.array_distinct(F.transform(present, lambda t: t["mask"]))
-        only = F.when(F.size(masks) == 1, F.regexp_replace(F.get(masks, F.lit(0)), r"([\\$])", r"\\$1"))
-        return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), folded.alias("terms"), only.alias("only")))
+
+        def parts(only: Column) -> Column:
+            # forms are only looked up where there are several masks
+            return F.when(F.size(present) > 0, F.struct(pattern.alias("pattern"), F.when(only.isNull(), folded).alias("terms"), only.alias("only")))
+
+        def single(masks: Column) -> Column:
+            return F.when(F.size(masks) == 1, F.regexp_replace(F.get(masks, F.lit(0)), r"([\\$])", r"\\$1"))
+
+        return let(let(F.array_distinct(present["mask"]), single), parts)
 
     return let(F.filter(as_col(terms), lambda t: t["value"].isNotNull() & (F.trim(t["value"]) != "")), compiled)
 

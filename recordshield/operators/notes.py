@@ -13,7 +13,7 @@ from ..functions.clean import let
 from ..functions.dates import add_days, parse_date, rewrite_dates
 from ..functions.likeness import name_likeness, near_terms
 from ..functions.text import ANY_CASE, WORD, WORD_BREAK, compiled_terms, fold, mask_compiled, mask_values
-from ..session import store
+from ..session import is_scan, once, store
 from ..sources.scan import row_tasks
 
 HITS = T.ArrayType(
@@ -24,10 +24,13 @@ HITS = T.ArrayType(
 def pii_terms(pii: DataFrame, masks: dict[str, str], patient: str = "sur_patient_id", least: int = 1) -> DataFrame:
     """(patient, value, mask), one row per distinct value of a person. Nulls and null words are no values."""
     present = {c: m for c, m in masks.items() if c in pii.columns}
-    pairs = F.array(*[F.struct(F.trim(F.col(c)).alias("value"), F.lit(m).alias("mask")) for c, m in present.items()])
-    long = pii.select(patient, F.explode(pairs).alias("t")).select(patient, "t.value", "t.mask")
+    # masks by their rank: numbers are aggregated by hash, texts would be sorted
+    ranked = sorted(set(present.values()))
+    pairs = F.array(*[F.struct(F.trim(F.col(c)).alias("value"), F.lit(ranked.index(m)).alias("rank")) for c, m in present.items()])
+    long = pii.select(patient, F.explode(pairs).alias("t")).select(patient, "t.value", "t.rank")
     real = F.col("value").isNotNull() & ~F.lower("value").isin("", "none", "null", "nan") & (F.length("value") >= least)
-    return long.where(real).groupBy(patient, "value").agg(F.min("mask").alias("mask"))
+    found = long.where(real).groupBy(patient, "value").agg(F.min("rank").alias("rank"))
+    return found.select(patient, "value", F.get(F.array(*[F.lit(m) for m in ranked]), F.col("rank")).alias("mask"))
 
 
 def _words(text: Column) -> Column:
@@ -51,8 +54,12 @@ def _grams(text: Column, most: int) -> Column:
 
 def _head(value: Column, most: int) -> Column:
     """The key a value is looked up by: its first words; a value without any, its first character."""
-    first = F.array_join(F.slice(_words(value), 1, most), " ")
-    return F.xxhash64(F.when(first != "", first).otherwise(F.concat(F.lit("\0"), F.substring(F.trim(value), 1, 1))))
+    return let(_words(value), lambda words: _key(value, words, most))
+
+
+def _key(value: Column, words: Column, most: int) -> Column:
+    first = F.array_join(F.slice(words, 1, most), " ")
+    return F.xxhash64(F.when(F.size(words) > 0, first).otherwise(F.concat(F.lit("\0"), F.substring(F.trim(value), 1, 1))))
 
 
 def _signs(text: Column) -> Column:
@@ -70,26 +77,32 @@ def _longest_first(terms: Column) -> Column:
     )
 
 
-#: Bits of the table that tells which runs of words cannot be the first words of any term: half a megabyte, whatever the terms are.
+#: Bits of the tables that tell which runs of words cannot be the first words of any term, and which persons have no values: half a megabyte.
 LOOKUP_BITS = 1 << 22
-_NUMBERS = LOOKUP_BITS >> 6
+#: The same where keys are many: two megabytes, however many they are.
+MANY_BITS = 1 << 24
+
+
+def _bits_for(keys: int) -> int:
+    return LOOKUP_BITS if 8 * keys <= LOOKUP_BITS else MANY_BITS
 
 
-def _lookup_table(keys: DataFrame) -> Column:
+def _lookup_table(keys: DataFrame, bits: int = LOOKUP_BITS) -> Column:
     """The hashes of a column ``__gram`` as bits of an array of numbers that reaches the scan as one literal."""
-    filled = keys.groupBy(_place(F.col("__gram")).alias("__place")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(__gram & 63 AS INT))")).alias("__bits"))
-    every = keys.sparkSession.range(0, _NUMBERS, 1, 1).select(F.col("id").cast("int").alias("__place")).join(filled, "__place", "left")
+    place = _place(F.col("__gram"), bits).alias("__place")
+    filled = keys.groupBy(place).agg(F.bit_or(F.expr("shiftleft(1L, CAST(__gram & 63 AS INT))")).alias("__bits"))
+    every = keys.sparkSession.range(0, bits >> 6, 1, 1).select(F.col("id").cast("int").alias("__place")).join(filled, "__place", "left")
     ordered = F.array_sort(F.collect_list(F.struct("__place", F.coalesce("__bits", F.lit(0).cast("bigint")).alias("__bits"))))
     return every.agg(F.transform(ordered, lambda b: b["__bits"])).scalar()
 
 
-def _place(gram: Column) -> Column:
-    return F.shiftright(gram, 6).bitwiseAND(F.lit(_NUMBERS - 1).cast("bigint")).cast("int")
+def _place(gram: Column, bits: int) -> Column:
+    return F.shiftright(gram, 6).bitwiseAND(F.lit((bits >> 6) - 1).cast("bigint")).cast("int")
 
 
-def _may_be(gram: Column, table: Column) -> Column:
+def _may_be(gram: Column, table: Column, bits: int = LOOKUP_BITS) -> Column:
     """Whether the bit of a hash is set; hashes of terms always are."""
-    return F.getbit(F.get(table, _place(gram)), gram.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+    return F.getbit(F.get(table, _place(gram, bits)), gram.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
 
 
 def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, by: Sequence[str] = (), most: int = 3) -> DataFrame:
@@ -99,17 +112,26 @@ def terms_in_text(notes: DataFrame, note_id: str, text: str, terms: DataFrame, b
     value that is then not found), so neither side is held whole anywhere, and a note's list holds only what its own text
     calls for. A word that stands in every note is a hot key of a plain equi-join, which the adaptive skew join splits.
     """
-    # written once: the table of bits and the join both read it
-    heads = store(terms.select(*by, "value", "mask", _head(F.col("value"), most).alias("__gram")), "terms")
-    keys = F.transform(_grams(F.col(text), most), lambda g: F.xxhash64(g))
-    if not heads.where(F.size(_words(F.col("value"))) == 0).isEmpty():
+    hits = _hits(notes, note_id, text, terms, by, most)
+    return hits.groupBy(note_id).agg(_longest_first(F.collect_set(F.struct("value", "mask"))).alias("terms"))
+
+
+def _hits(notes: DataFrame, note_id: str, text: str, terms: DataFrame, by: Sequence[str], most: int = 3) -> DataFrame:
+    """``terms_in_text`` with a row for each value of a note."""
+    # written once: the lengths, the table of bits and the join all read it
+    head = let(_words(F.col("value")), lambda words: F.struct(_key(F.col("value"), words, most).alias("__gram"), F.size(words).alias("__words")))
+    heads = store(terms.select(*by, "value", "mask", head.alias("__head")).select(*by, "value", "mask", "__head.__gram", "__head.__words"), "terms")
+    size, least, longest = heads.agg(F.count(F.lit(1)), F.min("__words"), F.max("__words")).first()
+    # no longer runs than some term has words
+    keys = F.transform(_grams(F.col(text), max(1, min(most, longest or 1))), lambda g: F.xxhash64(g))
+    if least == 0:
         # values without any word character are looked up by their first sign
         keys = F.concat(keys, F.transform(_signs(F.col(text)), lambda c: F.xxhash64(F.concat(F.lit("\0"), c))))
     # only runs that may be the first words of a term leave the scan
-    known = F.array_distinct(F.filter(keys, lambda g: _may_be(g, F.col("__known"))))
-    grams = notes.withColumn("__known", _lookup_table(heads)).select(note_id, *by, F.explode(known).alias("__gram"))
-    hits = grams.join(heads, [*by, "__gram"])
-    return hits.groupBy(note_id).agg(_longest_first(F.collect_set(F.struct("value", "mask"))).alias("terms"))
+    bits = _bits_for(size)
+    grams = notes.select(note_id, *by, F.explode(F.array_distinct(keys)).alias("__gram"))
+    grams = grams.where(_may_be(F.col("__gram"), _lookup_table(heads, bits), bits))
+    return grams.join(heads.drop("__words"), [*by, "__gram"])
 
 
 def attach_terms(notes: DataFrame, note_id: str, text: str, terms: DataFrame, patient: str = "sur_patient_id") -> DataFrame:
@@ -131,22 +153,60 @@ def mask_patient_values(
     A person with up to ``limit`` values brings them as one list. For people with more, only the values whose words occur in the
     note are brought; the others could not match, so the text is the same either way and ``limit`` only chooses the plan.
     """
-    # written once: the count, the lists and the look-up all read them
-    terms = store(terms.select(patient, "value", "mask"), "values")
-    heavy = terms.groupBy(patient).count().where(F.col("count") > limit).select(patient)
-    if heavy.isEmpty():
-        return _masked(notes, notes.join(_bundles(terms, patient), patient, "left"), text)
+    # the counts, the lists and the look-up all read them
+    terms = once(terms.select(patient, "value", "mask"), "values")
+    counts = terms.where(F.col(patient).isNotNull()).groupBy(patient).count()
+    few, many = counts.agg(F.count_if(F.col("count") <= limit), F.count_if(F.col("count") > limit)).first()
+    if not many:
+        some, others = _with_values(notes, text, terms, patient, few)
+        return _masked(notes, some.join(_bundles(terms, patient), patient, "left"), text).unionByName(others)
     # likewise; nothing of the way the notes were made is done again for the light, the look-up and the heavy ones
-    notes = store(notes, "notes")
+    notes = once(notes, "notes")
+    tasks = row_tasks(notes)
+    if not few:
+        some, others = _with_values(notes, text, terms, patient, many, F.col(note_id).isNotNull())
+        return _looked_up(some, note_id, text, terms, patient, tasks).unionByName(others)
+    heavy = counts.where(F.col("count") > limit).select(patient)
     light = notes.join(heavy, patient, "left_anti")
     light = light.join(_bundles(terms.join(heavy, patient, "left_anti"), patient), patient, "left")
     heavy_notes = notes.join(heavy, patient, "left_semi")
     found = terms_in_text(heavy_notes, note_id, text, terms.join(heavy, patient, "left_semi"), [patient])
     found = found.withColumn("compiled", compiled_terms("terms"))
-    tasks = row_tasks(notes)
     return _masked(notes, light, text, tasks).unionByName(_masked(notes, heavy_notes.join(found, note_id, "left"), text, tasks))
 
 
+def _with_values(
+    notes: DataFrame, text: str, terms: DataFrame, patient: str, persons: int, also: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The notes whose person may have values, and all others, whose text stays where it is.
+
+    Bits of the persons' hashes tell them apart in the scan; a person without values whose bit is set merely travels with the first ones.
+    Notes that are no scan are not made twice for it.
+    """
+    if not is_scan(notes) or notes.schema[patient].dataType != terms.schema[patient].dataType:
+        return notes, notes.where(F.lit(False))
+    bits = _bits_for(persons)
+    person = F.xxhash64(patient)
+    has = F.col(patient).isNotNull() & _may_be(person, _lookup_table(terms.select(person.alias("__gram")), bits), bits)
+    has = has if also is None else has & also
+    return notes.where(has), notes.where(~has).withColumn(text, F.col(text).cast("string"))
+
+
+def _looked_up(notes: DataFrame, note_id: str, text: str, terms: DataFrame, patient: str, tasks: int) -> DataFrame:
+    """Notes whose persons have values by the look-up alone. The text is dealt out once, by the note, and meets there what was found in it."""
+    hits = _hits(notes, note_id, text, terms, [patient]).select(note_id, F.struct("value", "mask").alias("__hit"))
+    persons = terms.select(patient).distinct()
+    # whose note it is: a note of a person without values stays as it is, whatever was found in another one of its id
+    owners = notes.select(note_id, patient).join(persons, patient, "left_semi").select(note_id, F.col(patient).alias("__owner"))
+    # at least as many tasks as any other exchange, for long texts
+    tasks = max(tasks, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = hits.unionByName(owners, allowMissingColumns=True).repartition(tasks, note_id).groupBy(note_id)
+    found = found.agg(_longest_first(F.collect_set("__hit")).alias("terms"), F.collect_set("__owner").alias("__owners"))
+    own = F.when(F.array_contains("__owners", F.col(patient)), F.col("terms"))
+    joined = notes.repartition(tasks, note_id).join(found, note_id, "left")
+    return _masked(notes, joined.withColumn("compiled", compiled_terms(own)), text)
+
+
 def _masked(notes: DataFrame, attached: DataFrame, text: str, tasks: int = 0) -> DataFrame:
     """With a number of tasks, rows are dealt out anew: joined rows are few bytes but long work, and tasks cut by bytes would grow with the table."""
     dealt = attached.repartition(tasks) if tasks else attached

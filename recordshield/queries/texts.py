@@ -11,7 +11,7 @@ from ..operators import notes as N
 from ..operators.joins import PatientKey, map_patient, resolve_identity
 from ..operators.mapping import pii_rows
 from ..plans.notes import NotesOptions, mask_notes, mask_row_notes
-from ..session import store
+from ..session import once, store
 from .base import NOTES_SQL, PATIENTS_SQL, notes, patients, query, table, text_table
 
 NOTES = f"WITH pmap AS ({PATIENTS_SQL}), notes AS ({NOTES_SQL})"
@@ -69,6 +69,7 @@ def _in_notes(owned, found):
 #: Letters whose capital is one letter in every library, as the SQL folds with its own function.
 _SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyzäöüéèêçñóíáú", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ"
 _BEYOND = "[A-Za-z]*[äöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ][A-Za-zäöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ]{3,}"
+_NEEDED = "[äöüéèêçñóíáúÄÖÜÉÈÊÇÑÓÍÁÚ]"
 
 
 @query(
@@ -85,8 +86,11 @@ FROM d, (VALUES ('list'), ('lookup')) v(way)
 def x1_any_case(spark, sf):
     """Each text in capitals, its words with letters beyond ASCII as values in small ones; both ways of bringing values to notes."""
     plain = F.regexp_replace("text", "['\"/@]", " ")
-    docs = text_table(spark, sf, "documents").select("doc_id", plain.alias("text"))
-    values = docs.select(F.col("doc_id").alias("sur_patient_id"), F.explode(F.regexp_extract_all("text", F.lit(f"({_BEYOND})"), F.lit(1))).alias("word"))
+    # where they had to be dealt out, that is done once for the values and both ways
+    docs = once(text_table(spark, sf, "documents").select("doc_id", plain.alias("text")), "texts")
+    # texts of plain letters hold none of them
+    beyond = docs.where(F.col("text").rlike(_NEEDED))
+    values = beyond.select(F.col("doc_id").alias("sur_patient_id"), F.explode(F.regexp_extract_all("text", F.lit(f"({_BEYOND})"), F.lit(1))).alias("word"))
     # both ways read them
     terms = store(N.pii_terms(values.select("sur_patient_id", F.lower("word").alias("name")), NAME_MASK), "words")
     notes = docs.select("doc_id", F.col("doc_id").alias("sur_patient_id"), F.translate("text", _SMALL, _LARGE).alias("note"))

@@ -1,5 +1,6 @@
 """Literal cases of column functions."""
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -318,3 +319,19 @@ def test_message_tree(spark):
     assert got["short"][1]["fields"] == [[[["1"]], [["2"], ["3", "4"]]]]
     assert got["headless"][0]["fields"] == [[[["1"], ["2"]]]]
     assert got["empty"] == [] and got["null"] is None
+
+
+def test_values_behind_their_first_letters_match_as_a_plain_list(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("aakkKKſsSİiıßẞé.$\\EQ-1") for _ in range(n))
+    data = []
+    for k in range(150):
+        letters = word(3) if k % 3 else ""
+        values = sorted({(rnd.choice(letters) if letters else "") + word(rnd.randrange(3, 6)) for _ in range(14)}, key=len, reverse=True)
+        data.append((values, " ".join(rnd.choice([word(3), rnd.choice(values), rnd.choice(values).swapcase() + rnd.choice(["", "@", "'", "a"])]) for _ in range(40))))
+    rows = spark.createDataFrame(data, "v array<string>, t string")
+    quoted = F.array_join(F.transform("v", text.quote_pattern), "|")
+    plain = F.concat(F.lit(text.ANY_CASE + text.LEFT_EDGE + r"(?:['\"/])?(?:"), quoted, F.lit(r")(?:['\"])?" + text.RIGHT_EDGE))
+    seen = rows.select(F.regexp_replace("t", text.values_pattern(F.col("v")), "#").alias("got"), F.regexp_replace("t", plain, "#").alias("want"), text.values_pattern(F.col("v")).alias("p")).collect()
+    assert [r["got"] for r in seen] == [r["want"] for r in seen] and sum("#" in r["got"] for r in seen) > 140
+    assert sum(r["p"].count("(?:") > 2 for r in seen) > 50

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordshield import session
 from recordshield.operators import filters, joins, mapping, notes, numbering, profile, quality, sampling, validity, versioned
 from recordshield.operators.reports import merge_qc
 from recordshield.plans.deidentify import Maps, Options, deidentify_table
@@ -584,3 +585,43 @@ def test_a_merge_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
     assert store.merge(first.limit(0), 4) == set() and store.current().count() == whole.current().count()
     store.retain(1)
     assert store.current().count() == whole.current().count() and store.runs() == [4]
+
+
+def _exchanges(plan, column):
+    """The exchanges of a plan that carry a column."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.initialPlan()
+    carried = any(plan.output().apply(i).name() == column for i in range(plan.output().size()))
+    below = sum(_exchanges(plan.children().apply(i), column) for i in range(plan.children().size()))
+    return below + (carried and plan.nodeName() == "Exchange")
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_the_text_of_a_note_is_moved_once_and_not_written(spark, tmp_path, monkeypatch, limit):
+    """Notes without a value stay in their scan; ids that repeat, null ids and null persons included."""
+    data = [(1, 1, "ann MET Ann Lee at Öz"), (1, 2, "ANN met bo"), (2, 2, "bo, ann lee"), (3, 3, "ann bo"), (None, 1, "ann"), (4, None, "ann"), (5, 1, None)]
+    spark.createDataFrame(data, "id long, who long, note string").write.parquet(str(tmp_path / "notes"))
+    terms = spark.createDataFrame([(1, "Ann", "((N))"), (1, "Ann Lee", "((N))"), (1, "öz", "((P))"), (2, "bo", "((N))"), (None, "bo", "((N))")], "who long, value string, mask string")
+    monkeypatch.setattr(session, "scratch_folder", lambda spark: str(tmp_path / "scratch"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = spark.read.parquet(str(tmp_path / "notes")).select("id", "who", F.trim("note").alias("note"))
+        done = notes.mask_patient_values(read, "id", "note", terms, "who", limit)
+        assert _exchanges(done._jdf.queryExecution().executedPlan(), "note") == 1
+        got = sorted(map(str, (tuple(r) for r in done.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not list((tmp_path / "scratch" / "recordshield").glob("notes-*"))
+    # a note without an id is looked up by nothing, notes of one id are looked up together
+    shared, unnamed = (("((N)) met ((N))", "ann") if limit == 0 else ("ANN met ((N))", "((N))"))
+    want = [(1, 1, "((N)) MET ((N)) at ((P))"), (1, 2, shared), (2, 2, "((N)), ann lee"), (3, 3, "ann bo"), (None, 1, unnamed), (4, None, "ann"), (5, 1, None)]
+    assert got == sorted(map(str, want))
+
+
+def test_frames_that_are_scans_are_not_written(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert session.is_scan(read) and session.is_scan(read.where("id > 1").select((F.col("id") + 1).alias("n")))
+    for other in (read.repartition(2), read.distinct(), read.join(read, "id"), read.select(F.rand().alias("r")), spark.range(5), read.limit(2)):
+        assert not session.is_scan(other)
