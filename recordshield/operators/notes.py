@@ -159,13 +159,15 @@ def mask_patient_values(
     few, many = counts.agg(F.count_if(F.col("count") <= limit), F.count_if(F.col("count") > limit)).first()
     if not many:
         some, others = _with_values(notes, text, terms, patient, few)
-        return _masked(notes, some.join(_bundles(terms, patient), patient, "left"), text).unionByName(others)
+        done = _masked(notes, some.join(_bundles(terms, patient), patient, "left"), text)
+        return done if others is None else done.unionByName(others)
     # likewise; nothing of the way the notes were made is done again for the light, the look-up and the heavy ones
     notes = once(notes, "notes")
     tasks = row_tasks(notes)
     if not few:
         some, others = _with_values(notes, text, terms, patient, many, F.col(note_id).isNotNull())
-        return _looked_up(some, note_id, text, terms, patient, tasks).unionByName(others)
+        done = _looked_up(some, note_id, text, terms, patient, tasks)
+        return done if others is None else done.unionByName(others)
     heavy = counts.where(F.col("count") > limit).select(patient)
     light = notes.join(heavy, patient, "left_anti")
     light = light.join(_bundles(terms.join(heavy, patient, "left_anti"), patient), patient, "left")
@@ -177,14 +179,14 @@ def mask_patient_values(
 
 def _with_values(
     notes: DataFrame, text: str, terms: DataFrame, patient: str, persons: int, also: Column | None = None
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """The notes whose person may have values, and all others, whose text stays where it is.
 
     Bits of the persons' hashes tell them apart in the scan; a person without values whose bit is set merely travels with the first ones.
     Notes that are no scan are not made twice for it.
     """
     if not is_scan(notes) or notes.schema[patient].dataType != terms.schema[patient].dataType:
-        return notes, notes.where(F.lit(False))
+        return notes, None
     bits = _bits_for(persons)
     person = F.xxhash64(patient)
     has = F.col(patient).isNotNull() & _may_be(person, _lookup_table(terms.select(person.alias("__gram")), bits), bits)

@@ -625,3 +625,6 @@ def test_frames_that_are_scans_are_not_written(spark, tmp_path):
     assert session.is_scan(read) and session.is_scan(read.where("id > 1").select((F.col("id") + 1).alias("n")))
     for other in (read.repartition(2), read.distinct(), read.join(read, "id"), read.select(F.rand().alias("r")), spark.range(5), read.limit(2)):
         assert not session.is_scan(other)
+    stream = spark.readStream.format("rate").load().selectExpr("value AS id", "value AS who", "'Ann' AS note")
+    assert not session.is_scan(stream)
+    assert notes.mask_patient_values(stream, "id", "note", spark.createDataFrame([(1, "Ann", "#")], "who long, value string, mask string"), "who").isStreaming
